@@ -7,8 +7,10 @@ import importlib
 #: (query, module, function, name of its SQL)
 _OPS = [
     ("op3_mix_sources", "mix", "op3_mix_sources", "OP3_SQL"),
+    ("op5_media", "media", "op5_media", None),
     ("op6_bpe", "bpe", "op6_bpe", None),
     ("op7_langid", "langid", "op7_langid", None),
+    ("op8_token_files", "tokenfile", "op8_token_files", None),
     ("op10_exact_dedup", "exact", "op10_exact_dedup", "OP10_SQL"),
 ]
 
