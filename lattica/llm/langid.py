@@ -217,9 +217,10 @@ def predicted(text: Column, model: Model) -> Column:
 def learned(docs: DataFrame, file: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The model of the rows of docs (doc_id, text, lang) that may be learned from: of each lang, the sample_docs that come first by a digest of doc_id."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    rows = rows.select("lang", "text", "doc_id").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_docs)
-    pairs = sorted((r[0], r[1]) for r in rows.select("lang", "text").collect())  # at most sample_docs a language
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_draw"))
+    first = Window.partitionBy("lang").orderBy("_draw")
+    drawn = rows.select("lang", "_draw").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_docs).select("lang", "_draw")
+    pairs = sorted({(r[0], r[1]) for r in rows.join(F.broadcast(drawn), ["lang", "_draw"]).select("lang", "text").collect()})  # at most sample_docs a language
     return fit(pairs, file or tokenizer_path(PIECE_FILE))
 
 

@@ -6,7 +6,9 @@ import importlib
 
 #: (query, module, function, name of its SQL)
 _OPS = [
+    ("op2_secrets", "secretscan", "op2_secrets", None),
     ("op3_mix_sources", "mix", "op3_mix_sources", "OP3_SQL"),
+    ("op4_toxicity", "toxicity", "op4_toxicity", None),
     ("op5_media", "media", "op5_media", None),
     ("op6_bpe", "bpe", "op6_bpe", None),
     ("op7_langid", "langid", "op7_langid", None),
