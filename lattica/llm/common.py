@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -116,3 +117,39 @@ def word_hashes(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.nd
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     h = (sums[ends - 1] - before) * _powers(_INVERSE, "inverse", len(raw))[starts]
     return mixed(h ^ (ends - starts).astype(np.uint64)), starts, ends
+
+
+class Words:
+    """The words of texts (UTF-8 bytes), hashed together: those of text i are bounds[i]:bounds[i + 1]."""
+
+    def __init__(self, raws: list[bytes], lower: bool = False):
+        self.buffer = b" ".join(raws)
+        self.hash, self.start, self.end = word_hashes(np.frombuffer(self.buffer, np.uint8), lower)
+        sizes = np.array([len(r) for r in raws], np.int64)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        self.bounds = np.searchsorted(self.start, np.append(begin, len(self.buffer) + 1), "left")
+
+    def grams(self, k: int) -> np.ndarray:
+        """Hash of the k words from each place on, over the ends of texts too; shorter by k - 1."""
+        n = len(self.hash)
+        if n < k:
+            return np.zeros(0, np.uint64)
+        total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(self.hash * _powers(_BASE, "base", n)[:n])))
+        return mixed((total[k:] - total[:-k]) * _powers(_INVERSE, "inverse", n)[: n - k + 1] + np.uint64(k))
+
+
+def byte_slices(raws: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about `size` bytes together."""
+    start = have = 0
+    for i, r in enumerate(raws):
+        if have and have + len(r) > size:
+            yield start, i
+            start, have = i, 0
+        have += len(r)
+    if start < len(raws):
+        yield start, len(raws)
+
+
+def utf8(column) -> list[bytes]:
+    """The texts of an Arrow string column as bytes; null is empty."""
+    return [x or b"" for x in column.cast("binary").to_pylist()]

@@ -13,6 +13,7 @@ _OPS = [
     ("op6_bpe", "bpe", "op6_bpe", None),
     ("op7_langid", "langid", "op7_langid", None),
     ("op8_token_files", "tokenfile", "op8_token_files", None),
+    ("op9_near_duplicates", "near", "op9_near_duplicates", None),
     ("op10_exact_dedup", "exact", "op10_exact_dedup", "OP10_SQL"),
 ]
 
