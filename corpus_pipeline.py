@@ -1,14 +1,62 @@
-"""The corpus pipeline: stages applied in order to `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages applied in order to `documents`, each written as Parquet and read again as the next one's input.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
+docs. doc_id is taken to name a document: of rows that repeat a doc_id and its text one is left after exact dedup.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lattica.llm.bpe import bpe_documents
 from lattica.llm.common import documents, staged
+from lattica.llm.exact import exact_duplicates
+from lattica.llm.langid import UNDETERMINED, learned, predicted
+from lattica.llm.mix import mixed_shards
+from lattica.llm.near import near_duplicates
+
+#: A language that is less likely than this is not accepted.
+LEAST_SCORE = 0.5
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model tells; texts without a letter, null ones and undecided ones go."""
+    told = docs.withColumn("_told", predicted(F.col("text"), learned(docs)))
+    return told.where((F.col("_told.lang_pred") != UNDETERMINED) & (F.col("_told.score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    kept = exact_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: five words a shingle, similarity 0.8."""
+    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them, the last ones of a source cut to the words taken; n_chars is of the text as it is then."""
+    return mixed_shards(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every row."""
+    return bpe_documents(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", keep_languages),
+    ("exact dedup", drop_exact),
+    ("near dedup", drop_near),
+    ("mix", mix),
+    ("BPE", encode),
+]
 
-#: SQL can't express the stages.
+#: SQL can't express the language model and the merges of the vocabulary; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
@@ -18,5 +66,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = staged(docs, name.replace(" ", "-"))
+            docs = staged(docs, "pipeline-" + name.replace(" ", "-"))
     return docs

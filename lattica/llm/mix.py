@@ -105,6 +105,8 @@ def mixed_shards(docs: DataFrame, **options) -> DataFrame:
     whole = F.regexp_count("text", F.lit(WORD)) <= F.col("words")
     cut = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("words").cast("int")), " "))
     joined = docs.join(body, docs["doc_id"] == F.col("_id")).withColumn("text", cut)
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.length("text").cast("long"))
     shards = options.get("shards", SHARDS)
     return joined.repartition(shards, "shard").sortWithinPartitions("shard", "place").select(*docs.columns, "copy", "shard")
 

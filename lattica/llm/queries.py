@@ -6,6 +6,7 @@ import importlib
 
 #: (query, module, function, name of its SQL)
 _OPS = [
+    ("op1_substring_dedup", "substring", "op1_substring_dedup", None),
     ("op2_secrets", "secretscan", "op2_secrets", None),
     ("op3_mix_sources", "mix", "op3_mix_sources", "OP3_SQL"),
     ("op4_toxicity", "toxicity", "op4_toxicity", None),
