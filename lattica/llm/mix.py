@@ -99,16 +99,16 @@ def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, block
 
 
 def mixed_shards(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs repeated as drawn, cut to the words taken, in `shards` partitions, each in its own random order; columns of docs and copy, shard."""
+    """The mix itself: docs repeated as drawn, cut to the words taken (n_chars, where there is one, follows), each shard in its own random order; columns of docs, then _copy, _shard."""
     _, draws = mixture(docs, **options)
-    body = draws.select(F.col("doc_id").alias("_id"), "copy", "words", "shard", "place")
-    whole = F.regexp_count("text", F.lit(WORD)) <= F.col("words")
-    cut = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("words").cast("int")), " "))
-    joined = docs.join(body, docs["doc_id"] == F.col("_id")).withColumn("text", cut)
+    body = draws.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "copy", "words", "shard", "place")])
+    joined = docs.join(body, docs["doc_id"] == F.col("_doc_id"))
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("_words").cast("int")), " ")
+    joined = joined.withColumn("text", F.when(F.regexp_count("text", F.lit(WORD)) <= F.col("_words"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast("long"))
-    shards = options.get("shards", SHARDS)
-    return joined.repartition(shards, "shard").sortWithinPartitions("shard", "place").select(*docs.columns, "copy", "shard")
+        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    joined = joined.repartition(options.get("shards", SHARDS), "_shard").sortWithinPartitions("_shard", "_place")
+    return joined.select(*docs.columns, "_copy", "_shard")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
     n_tox, n_clean = rows.pop("", (0, 0))
     if not n_tox or not n_clean:
         return Grammar({})
-    # Copies of a document repeat its rare words: a stem counts once for each pair of neighbours, the smaller number of either side's.
+    # Copies of a document repeat its rare words: a stem counts once for each pair of neighbours.
     wanted = set(rows)
 
     def beside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,8 +175,8 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
                     near.update((s, left, right) for s in (w[:n] for n in range(LEAST, min(len(w), MOST) + 1)) if s in wanted)
             yield pd.DataFrame(list(near), columns=["stem", "left", "right"])
 
-    near = labelled.select("text", "toxic").mapInPandas(beside, "stem string, left string, right string").groupBy("stem").agg(F.countDistinct("left").alias("l"), F.countDistinct("right").alias("r"))
-    apart = {r["stem"]: min(r["l"], r["r"]) for r in near.collect()}
+    near = labelled.select("text", "toxic").mapInPandas(beside, "stem string, left string, right string").groupBy("stem").agg(F.countDistinct("left", "right").alias("n"))
+    apart = {r["stem"]: r["n"] for r in near.collect()}
     raw = {s: t for s, (t, _) in rows.items()}
     rows = {s: (min(t, apart.get(s, 0)), c) for s, (t, c) in rows.items()}
     base = n_tox / (n_tox + n_clean)
