@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, byte_slices, documents, shared_dir, staged, utf8
@@ -24,7 +24,7 @@ WINDOW, GRAM = 20, 8
 BITS = 48
 #: Runs that an index holds before they are merged into one.
 RUNS = 4
-#: Windows are sent in blocks, by hash; of this many, each task of the exchange gets some.
+#: Windows are sent in blocks, by fingerprint; of this many, each task of the exchange gets some.
 BLOCKS = 4096
 
 
@@ -67,80 +67,109 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     return docs.select("doc_id", "text").mapInArrow(make, "print long, doc_id long, times int")
 
 
+#: A fingerprint that more than one in HEAVY of sampled documents has is spread over SALTS tasks when a run is sorted; only its place depends on the sample.
+HEAVY, SAMPLE, SALTS = 1000, 64, 64
+
+
 class Index:
-    """Runs under a folder of the shared file system. A run is a table (print, doc_id, times), sorted by print within each part; runs never change."""
+    """Runs under a folder of the shared file system. A run is a table (print, doc_id, times, many), sorted by print within each part; many: more than one place of the run has the print. Runs never change."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
         self.runs: list[str] = []
 
     def _write(self, rows: DataFrame) -> str:
+        """Sorts rows (print, doc_id, times) into a run, in one exchange: it brings a print's rows together, where they are counted; heavy prints, which are in many documents anyway, are salted."""
         at = f"{self.folder}/run-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions("print", "doc_id").write.option("compression", "zstd").parquet(at)
+        some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+        least = max(2, some.select("doc_id").distinct().count() // HEAVY)
+        heavy = staged(some.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("print", F.lit(True).alias("heavy")), "substring-heavy")  # at most HEAVY a print of a document
+        salted = rows.join(F.broadcast(heavy), "print", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+        total = F.sum("times").over(Window.partitionBy("print", "salt"))
+        many = F.coalesce("heavy", F.lit(False)) | (total > 1)
+        salted.select("print", "doc_id", "times", many.alias("many")).write.option("compression", "zstd").parquet(at)
         return at
 
     def read(self, runs: list[str] | None = None) -> DataFrame | None:
         runs = self.runs if runs is None else runs
-        return self.spark.read.schema("print long, doc_id long, times int").parquet(*runs) if runs else None
+        return self.spark.read.schema("print long, doc_id long, times int, many boolean").parquet(*runs) if runs else None
 
     def add(self, rows: DataFrame) -> str:
         """A new run; merges all runs when there are more than RUNS."""
-        run = self._write(rows.repartition("print", F.pmod(F.xxhash64("doc_id"), F.lit(64))))  # a print that very many documents have is spread
+        run = self._write(rows)
         self.runs.append(run)
         if len(self.runs) > RUNS:
-            self.runs = [self._write(self.read().repartition("print", F.pmod(F.xxhash64("doc_id"), F.lit(64))))]
+            self.runs = [self._write(self.read().drop("many"))]
         return run
 
 
 def _suspects(index: Index, run: str, history: list[str]) -> DataFrame:
     """(doc_id, prints) of documents of the new run, and of old ones, with fingerprints that more than one place has, a place of the new run among them."""
     new, old = index.read([run]), index.read(history)
-    shared = new.groupBy("print").agg(F.sum("times").alias("n"))
     if old is None:
-        many = shared.where("n > 1").select("print")
-        hit = new.join(many, "print")
+        hit = new.where("many")
     else:
-        before = old.groupBy("print").agg(F.sum("times").alias("m"))
-        many = shared.join(before, "print", "left").where("n + coalesce(m, 0) > 1").select("print")
-        hit = new.unionByName(old).join(many, "print")
+        fresh, before = new.groupBy("print").agg(F.max("many").alias("m")), old.select("print").distinct().withColumn("old", F.lit(True))
+        wanted = fresh.join(before, "print", "left").where("m OR old").select("print")
+        hit = new.unionByName(old).join(wanted, "print")
     return hit.groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
 
 
-def _windows(docs: DataFrame, window: int, gram: int):
-    """Rows (block, hash, doc_id, start, length, first) of docs (doc_id, text, prints).
+def _later(h: np.ndarray, d: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Of windows, which have an equal one that starts earlier."""
+    order = np.lexsort((s, d, h))
+    same = np.zeros(len(h), bool)
+    same[1:] = h[order][1:] == h[order][:-1]
+    head = np.flatnonzero(~same)
+    first = order[np.repeat(head, np.diff(np.append(head, len(h))))]
+    out = np.zeros(len(h), bool)
+    out[order] = same & ((d[order] != d[first]) | (s[order] != s[first]))
+    return out
+
 
-    Each task sorts its suspect windows and keeps the first of equal ones, as (hash, doc_id, start) in blocks; later ones are
-    repeats whatever other tasks hold, and go out as runs of starts (start, length) with block -1.
+def _runs(d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, length) of stretches of windows in (document, start) order that follow each other."""
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + 1)
+    at = np.flatnonzero(new)
+    return at, np.diff(np.append(at, len(d)))
+
+
+def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """Blocks of windows, and repeats, of docs (doc_id, text, prints).
+
+    Each task compares its suspect windows and keeps the first of equal ones; later ones are repeats whatever other tasks
+    hold, and go out as such (block -1). The others go by the high bits of their fingerprint, so that equal windows meet and
+    windows in a row stay in a row: their hashes, and (document, start, length) of each row.
     """
 
     def make(batches):
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kept: list[tuple] = []
         size = 0
 
         def flush():
-            h, d, s = (np.concatenate(x) for x in zip(*kept))
-            order = np.lexsort((s, d, h))
-            h, d, s = h[order], d[order], s[order]
-            same = np.zeros(len(h), bool)
-            same[1:] = h[1:] == h[:-1]
-            head = np.flatnonzero(~same)
-            first = np.repeat(head, np.diff(np.append(head, len(h))))
-            later = same & ((d != d[first]) | (s != s[first]))
+            h, d, s, f = (np.concatenate(x) for x in zip(*kept))
+            later = _later(h, d, s)
             yield from _marks(d[later], s[later])
-            yield from _blocks(h[~same], d[~same], s[~same])
+            yield from _blocks(h[~later], d[~later], s[~later], f[~later])
 
         for batch in batches:
             ids, raws, prints = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1)), batch.column(2).to_pylist()
             for a, b in byte_slices(raws):
+                if not any(prints[a:b]):
+                    continue
                 w = Words(raws[a:b])
                 grams, full = w.grams(gram), w.grams(window)
                 for i in range(b - a):
+                    if not prints[a + i]:
+                        continue
                     lo = int(w.bounds[i])
                     place, _ = anchors(grams, lo, int(w.bounds[i + 1]), window, gram)
-                    start = np.flatnonzero(np.isin(_short(grams[lo + place]), np.array(prints[a + i], np.int64)))
-                    kept.append((full[lo + start], np.full(len(start), ids[a + i], np.int64), start))
+                    own = _short(grams[lo + place])
+                    start = np.flatnonzero(np.isin(own, np.array(prints[a + i], np.int64)))
+                    kept.append((full[lo + start], np.full(len(start), int(ids[a + i]), np.int64), start, own[start]))
                     size += len(start)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 kept, size = [], 0
         if kept:
@@ -149,77 +178,81 @@ def _windows(docs: DataFrame, window: int, gram: int):
     return docs.select("doc_id", "text", "prints").mapInArrow(make, _BLOCK)
 
 
-_BLOCK = "block int, doc_id long, hashes binary, docs binary, starts binary"
-_NAMES = ["block", "doc_id", "hashes", "docs", "starts"]
-_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_BLOCK = "block int, doc_id long, hashes binary, rows binary"
+_NAMES = ["block", "doc_id", "hashes", "rows"]
+_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+_ROW = np.dtype([("doc", "<i8"), ("start", "<i4"), ("length", "<i4")])
 
 
-def _rows(columns: list[list]) -> pa.RecordBatch:
+def _batch(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
 
 def _marks(d: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Repeated windows, a row per document: starts and lengths of their runs."""
+    """Repeated windows: of each document one row, with the first and last start of each stretch."""
     if not len(d):
         return
     order = np.lexsort((s, d))
     d, s = d[order], s[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)
-    at = np.flatnonzero(new)
-    begin, owner = s[at], d[at]
-    last = s[np.append(at[1:], len(s)) - 1]
+    at, n = _runs(d, s)
+    owner, begin = d[at], s[at]
     cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     ends = np.append(cut[1:], len(owner))
-    pairs = [np.stack((begin[x:y], last[x:y]), 1).astype("<i4").tobytes() for x, y in zip(cut.tolist(), ends.tolist())]
-    n = len(cut)
-    yield _rows([[-1] * n, owner[cut].tolist(), [None] * n, [None] * n, pairs])
+    pairs = np.stack((begin, begin + n - 1), 1).astype("<i4")
+    yield _batch([[-1] * len(cut), owner[cut].tolist(), [None] * len(cut), [pairs[x:y].tobytes() for x, y in zip(cut.tolist(), ends.tolist())]])
 
 
-def _blocks(h: np.ndarray, d: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Windows sorted by hash, in blocks by their high bits."""
-    block = (h >> np.uint64(52)).astype(np.int64)
+def _blocks(h: np.ndarray, d: np.ndarray, s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    block = f * BLOCKS >> BITS
+    order = np.lexsort((s, d, block))
+    h, d, s, block = h[order], d[order], s[order], block[order]
     cut = np.searchsorted(block, np.arange(BLOCKS + 1))
-    step = 256
-    for x in range(0, BLOCKS, step):
-        rows = [(i, *(v[cut[i] : cut[i + 1]].astype(t).tobytes() for v, t in ((h, "<u8"), (d, "<i8"), (s, "<i4")))) for i in range(x, min(x + step, BLOCKS)) if cut[i] < cut[i + 1]]
-        if rows:
-            yield _rows([[r[0] for r in rows], [None] * len(rows), *([r[k] for r in rows] for k in (1, 2, 3))])
+    out: list[list] = [[], [], [], []]
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        x, y = cut[i], cut[i + 1]
+        at, n = _runs(d[x:y], s[x:y])
+        rows = np.empty(len(at), _ROW)
+        rows["doc"], rows["start"], rows["length"] = d[x:y][at], s[x:y][at], n
+        for c, v in zip(out, (i, None, h[x:y].astype("<u8").tobytes(), rows.tobytes())):
+            c.append(v)
+        if len(out[0]) >= 256:
+            yield _batch(out)
+            out = [[], [], [], []]
+    if out[0]:
+        yield _batch(out)
 
 
 def _repeats(blocks: DataFrame) -> DataFrame:
-    """(doc_id, starts): runs of windows that an earlier place has, from blocks of all tasks."""
+    """(doc_id, starts): stretches of windows that an earlier place has, from blocks of all tasks."""
 
     def merge(batches):
         block, parts = None, []
 
         def close():
-            h, d, s = (np.concatenate([np.frombuffer(p[k], t) for p in parts]) for k, t in ((0, "<u8"), (1, "<i8"), (2, "<i4")))
-            order = np.lexsort((s, d, h))
-            h, d, s = h[order], d[order], s[order]
-            same = np.zeros(len(h), bool)
-            same[1:] = h[1:] == h[:-1]
-            head = np.flatnonzero(~same)
-            first = np.repeat(head, np.diff(np.append(head, len(h))))
-            later = same & ((d != d[first]) | (s != s[first]))
-            yield from _marks(d[later], s[later].astype(np.int64))
+            h = np.concatenate([np.frombuffer(p[0], "<u8") for p in parts])
+            rows = np.concatenate([np.frombuffer(p[1], _ROW) for p in parts])
+            n = rows["length"].astype(np.int64)
+            d = np.repeat(rows["doc"], n)
+            s = np.repeat(rows["start"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(len(h))
+            later = _later(h, d, s)
+            yield from _marks(d[later], s[later])
 
         for batch in batches:
-            for b, doc, h, d, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, doc, h, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 if b < 0:
-                    yield _rows([[b], [doc], [None], [None], [s]])
+                    yield _batch([[b], [doc], [None], [rows]])
                     continue
                 if b != block and parts:
                     yield from close()
                     parts = []
                 block = b
-                parts.append((h, d, s))
+                parts.append((h, rows))
         if parts:
             yield from close()
 
     spread = F.when(F.col("block") >= 0, F.col("block").cast("long")).otherwise(F.xxhash64("doc_id"))
     merged = blocks.withColumn("_to", spread).repartition("_to").drop("_to").sortWithinPartitions("block").mapInArrow(merge, _BLOCK)
-    return merged.select("doc_id", "starts")
+    return merged.select("doc_id", F.col("rows").alias("starts"))
 
 
 def removed(n: int, runs: list[bytes], window: int) -> np.ndarray:
@@ -266,40 +299,15 @@ def deduplicate(docs: DataFrame, index: Index | None = None, history: DataFrame
     earlier = list(index.runs)
     run = index.add(fingerprints(base.where("doc_id IS NOT NULL"), window, gram))
     suspects = _suspects(index, run, earlier)
-    joined = base.join(suspects, "doc_id", "left")
+    # Both joins below take the texts by doc_id, from one exchange: so nothing here may filter what goes into it.
+    todo = base.join(suspects, "doc_id", "left").select("doc_id", "text", "prints")
     if earlier and history is not None:
-        past = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(suspects, "doc_id")
-    joined = _split(joined, window, with_text)
-    open_rows = joined.where("prints IS NOT NULL").select("doc_id", "text", "prints")
-    both = open_rows.unionByName(past.select("doc_id", "text", "prints")) if earlier and history is not None else open_rows
-    runs = _repeats(_windows(both, window, gram)).groupBy("doc_id").agg(F.collect_list("starts").alias("runs"))
-    closed = joined.where("prints IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
-    done = _kept(open_rows.select("doc_id", "text").join(runs, "doc_id", "left"), window, with_text)
-    out = closed.unionByName(done)
+        past = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        todo = todo.unionByName(past.join(suspects, "doc_id").select("doc_id", "text", "prints"))
+    runs = _repeats(_windows(todo, window, gram)).groupBy("doc_id").agg(F.collect_list("starts").alias("runs"))
+    out = _kept(base.join(runs, "doc_id", "left"), window, with_text)
     return out if with_text else out.drop("kept_text")
 
 
-def _split(joined: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """The join, written once: rows without a suspect fingerprint are done and lose their text; the others go on with it."""
-
-    def split(batches):
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for doc, raw, text, prints in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if prints:
-                    row = (doc, None, None, None, None, text, prints)
-                else:
-                    words = raw.split()
-                    kept = b" ".join(words)
-                    row = (doc, len(words), 0, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None, None, None)
-                for x, y in zip(out, row):
-                    x.append(y)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "text", "prints"])
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, text string, prints array<long>"
-    return staged(joined.select("doc_id", "text", "prints").mapInArrow(split, schema), "substring-split")
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(documents(spark, sf_dir))
