@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOISE_DIRS = (
-    ".cache .codegraph .git .gradle .graphify .hg .idea .mypy_cache .next .nox .nuxt .pytest_cache .ruff_cache .svelte-kit .svn .tox .venv .vscode .worktrees "
-    "__pycache__ bin build codegraph-out coverage dist env graphify-out node_modules obj out site-packages target vendor venv .env"
+    ".cache .git .gradle .hg .idea .lattica .mypy_cache .next .nox .nuxt .pytest_cache .ruff_cache .svelte-kit .svn .tox .venv .vscode .worktrees "
+    "__pycache__ bin build coverage dist env lattica-out node_modules obj out site-packages target vendor venv .env"
 ).split()
-SKIPPED = "Cargo.lock composer.lock go.sum package-lock.json pnpm-lock.yaml poetry.lock yarn.lock .gitignore .codegraphignore".split()
+SKIPPED = "Cargo.lock composer.lock go.sum package-lock.json pnpm-lock.yaml poetry.lock yarn.lock .gitignore .latticaignore".split()
 CODE = {
     "bash": "bash sh", "c": "c h", "cpp": "cc cpp cu cxx hh hpp", "csharp": "cs", "elixir": "ex exs", "go": "go", "java": "java", "javascript": "cjs js jsx mjs", "julia": "jl", "kotlin": "kt kts", "lua": "lua",
     "php": "php php3 php4 php5 phtml", "powershell": "ps1 psm1", "python": "py pyi", "r": "r", "ruby": "rake rb", "rust": "rs", "scala": "sc scala", "swift": "swift", "typescript": "cts mts ts tsx",
