@@ -48,6 +48,12 @@ def resolve(refs: DataFrame, nodes: DataFrame, resolve_imports: bool = False) ->
     wanted = wanted.withColumn("kinds", F.coalesce(F.try_element_at(allowed, "relation"), F.array(*map(F.lit, KINDS_OF["calls"]))))
     want = F.regexp_replace(F.lower(F.coalesce("import_module", F.lit(""))), "^/+|/+$", "")
     wanted = wanted.withColumn("want", want)
+    popular = popular_names(refs).withColumnRenamed("name", "callee_name").withColumn("popular", F.lit(True))
+    typed = F.coalesce("is_method", F.lit(False)) & (F.coalesce("recv_type", F.lit("")) != "")
+    call = F.col("relation") == "calls"
+    # A popular name that nothing pins can't be resolved: it goes before the join, where it would meet every definition of that name.
+    hopeless = call & ~typed & F.coalesce("popular", F.lit(False)) & (F.col("want") == "") & ~F.coalesce("import_evidence", F.lit(False))
+    wanted = wanted.join(popular, "callee_name", "left").where(~hopeless)
 
     defs = definitions(nodes)
     first = wanted.join(defs, (F.col("lookup") == F.col("name")) & F.array_contains("kinds", F.col("kind")))
@@ -64,12 +70,9 @@ def resolve(refs: DataFrame, nodes: DataFrame, resolve_imports: bool = False) ->
     away = away.where(~has | F.col("known")).where(~has | (F.col("n_module") == 0) | F.col("in_module"))
     away = away.withColumn("mod_match", has & (F.col("n_module") == 1))
 
-    typed = F.coalesce("is_method", F.lit(False)) & (F.coalesce("recv_type", F.lit("")) != "")
-    call = F.col("relation") == "calls"
     away = away.withColumn("recv_match", call & typed).where(~F.col("recv_match") | (F.col("def_cls") == bare_name(F.col("recv_type"))))
-    popular = popular_names(refs).withColumnRenamed("name", "callee_name").withColumn("popular", F.lit(True))
     evident = F.col("mod_match") | F.coalesce("import_evidence", F.lit(False))
-    away = away.join(popular, "callee_name", "left").where(~(call & ~typed & F.coalesce("popular", F.lit(False)) & ~evident))
+    away = away.where(~(call & ~typed & F.coalesce("popular", F.lit(False)) & ~evident))
 
     one = away.withColumn("left", F.size(F.collect_set("def_id").over(ref))).where("`left` = 1 AND def_id <> caller_id")
     same_root = F.split("source_file", "/")[0] == F.split("def_file", "/")[0]

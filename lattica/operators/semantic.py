@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import json_object, location_start, normalize, quantize_confidence
 from .graph import plain_label
+from .staging import numbered
 
 RATIONALE, CONCEPTS, CONCEPT_CHARS, NAME, CHUNK_FILES, FILE_CHARS = 300, 6, 40, 60, 25, 18_000
 RESPONSE = (
@@ -18,8 +19,7 @@ RESPONSE = (
 def work_order(files: DataFrame, nodes: DataFrame, per_chunk: int = CHUNK_FILES, text_chars: int = FILE_CHARS) -> DataFrame:
     """(chunk, request): JSON requests of up to per_chunk files (path, content), each with its symbols. The model sees at most text_chars of a file: the limit is the model's."""
     symbols = nodes.where("kind <> 'file'").groupBy(F.col("source_file").alias("path")).agg(F.array_sort(F.collect_list(F.struct("source_location", "label", "kind"))).alias("symbols"))
-    n = F.row_number().over(Window.orderBy("path")) - 1  # paths only; the texts join afterwards
-    chunk = files.select("path").withColumn("chunk", F.floor(n / per_chunk).cast("int"))
+    chunk = numbered(files.select("path"), ["path"]).select("path", F.floor(F.col("n") / per_chunk).cast("int").alias("chunk"))  # the texts join afterwards
     body = files.join(chunk, "path").join(symbols, "path", "left").select("chunk", F.struct("path", F.substring("content", 1, text_chars).alias("text"), "symbols").alias("f"))
     return body.groupBy("chunk").agg(F.to_json(F.struct(F.array_sort(F.collect_list("f"), lambda a, b: F.when(a["path"] < b["path"], -1).otherwise(1)).alias("files"))).alias("request"))
 

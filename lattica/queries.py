@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
 from .functions.fuzzy import embedded, partial_ratios, stemmed
 from .operators import analysis, community, export, graph, precise, resolve, retrieval, semantic, store
-from .operators.staging import written
+from .operators.staging import numbered, written
 from .plans import tables
 from .plans.tables import BASE, GRAPH_SQL, read
 from .sources import code, scan, text
@@ -303,8 +303,7 @@ def document_sections(s, d):
 
 @query("SELECT conv_id, turn, CAST(floor((row_number() OVER (ORDER BY conv_id, turn) - 1) / 25) AS INTEGER) AS chunk FROM conversations")
 def chunk_ids(s, d):
-    n = F.row_number().over(Window.orderBy("conv_id", "turn")) - 1
-    return read(s, d, "conversations").select("conv_id", "turn").withColumn("chunk", F.floor(n / 25).cast("int"))
+    return numbered(read(s, d, "conversations").select("conv_id", "turn"), ["conv_id", "turn"]).select("conv_id", "turn", F.floor(F.col("n") / 25).cast("int").alias("chunk"))
 
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '^(arxiv:|https?://arxiv\.org/)') THEN 'arxiv' WHEN regexp_matches(url, '^(notion:|https?://([\w-]+\.)?notion\.(so|site)/)') THEN 'notion' WHEN regexp_matches(url, '^(confluence:|https?://[^/]+/wiki/)') THEN 'confluence'
