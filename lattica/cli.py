@@ -27,8 +27,8 @@ def main(argv: list[str] | None = None) -> int:
         for w in words:
             p.add_argument(w, **({"nargs": "?"} if name == "global" and w != "action" else {}))
         p.add_argument("--store", default="lattica-out")
-        p.add_argument("--depth", type=int, default=3)
-        p.add_argument("--budget", type=int, default=2000)
+        for option, value in (("--depth", 3), ("--budget", 2000)):
+            p.add_argument(option, default=value, type=int)
         p.add_argument("--registry", default="lattica-registry.json")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("lattica").getOrCreate()

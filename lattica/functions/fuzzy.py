@@ -133,16 +133,17 @@ def stem(w: str) -> str:
     return w
 
 
-def hash_embedding(text: str, dim: int = 256) -> list[float]:
+def hash_embedding(words: str, dim: int = 256) -> list[float]:
     """Signed hashed bag of trigrams, of length 1."""
     out = [0.0] * dim
-    low = re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
+    low = re.sub(r"[^a-z0-9]+", " ", words.lower()).strip()
     grams = [low[i : i + 3] for i in range(len(low) - 2)] or ([low] if low else [])
-    for g in grams:
-        h = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big")
-        out[h % dim] += 1.0 if h >> 8 & 1 else -1.0
-    norm = math.sqrt(sum(x * x for x in out))
-    return [x / norm for x in out] if norm else out
+    for gram in grams:
+        digest = hashlib.blake2b(bytes(gram, "ascii"), digest_size=8).digest()
+        code = int.from_bytes(digest, "big")
+        out[code % dim] += (code >> 8 & 1) * 2.0 - 1.0
+    length = math.hypot(*out)
+    return [v / length for v in out] if length else out
 
 
 def _batched(f, kind: str):

@@ -197,7 +197,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: int) -> DataFrame:
     return nodes.join(near, "id", "left_semi")
 
 
-def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, node_id: int, callers: int = 8, callees: int = 10, body_lines: int = 60) -> DataFrame:
+def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, node_id: int, body_lines: int = 60, callees: int = 10, callers: int = 8) -> DataFrame:
     """(part, id, label, place, text): the node's lines, then signatures of callers and callees; `more` rows count what is left out. files: (path, content)."""
     from ..functions.scalars import location_end, location_start
 

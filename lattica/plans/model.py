@@ -23,11 +23,10 @@ VECTORS = "node_id long, text_sha string, model string, dim int, embedding array
 TABLES = {"meta": META, "files": FILES, "nodes": NODES, "edges": EDGES, "raw_refs": RAW_REFS, "hyperedges": HYPEREDGES, "communities": COMMUNITIES, "queries": QUERY_LOG, "vec_cache": VECTORS}
 
 #: What the traversals follow.
-WALKED = ["calls", "references", "imports_from", "implements", "inherits", "method", "contains"]
+WALKED = "calls contains implements imports_from inherits method references".split()
 IMPORTS = ["imports", "imports_from", "re_exports"]
 EDGE_KEY = ["src", "dst", "relation", "source_file", "source_location"]
-DEFAULT_SCORE = {"EXTRACTED": 1.0, "INFERRED": 0.55, "AMBIGUOUS": 0.2}
-LADDER = [0.55, 0.65, 0.75, 0.85, 0.95]
+LADDER = [x / 100 for x in range(55, 100, 10)]
 DOC_TYPES = ["document", "paper", "section"]
 BUILTIN_LABELS = "any bool dict false float int list none object os path self set str sys true tuple".split()
 KINDS_OF = {"calls": ["function", "method", "class"], "inherits": ["class"], "implements": ["class"], "references": ["class", "function", "method"]}
@@ -38,7 +37,7 @@ RELATIONAL = "affected affects breaks dependencies dependency depends".split()
 STOP_DIRS = "app apps backend client common core frontend internal lib packages pkg server shared src".split()
 GENERIC = "build call check compute create execute get handle handler init load main make process run save send set setup start step stop update".split()
 SOURCE_SUFFIXES = ["." + x for x in "c cc cjs cpp cs go h hpp java js jsx kt lua mjs php py pyi rb rs scala swift ts tsx".split()]
-PALETTE = ["#5b9dd9", "#d98b5b", "#7bd95b", "#d95b9d", "#d9cf5b", "#5bd9cf", "#9d5bd9", "#d95b5b"]
+PALETTE = [f"#{x}" for x in "5b9dd9 d98b5b 7bd95b d95b9d d9cf5b 5bd9cf 9d5bd9 d95b5b".split()]
 NO_COLOR = "#cccccc"
 OUTCOMES = ["useful", "dead_end", "corrected"]
 HUB_FLOOR = 50

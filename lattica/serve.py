@@ -36,24 +36,25 @@ def handle(engine: GraphEngine | None, message: dict, most: int = 500) -> dict |
     if "id" not in message:
         return None
     method, params = message.get("method"), message.get("params") or {}
-    ok = lambda r: {"jsonrpc": "2.0", "id": message["id"], "result": r}
+    ok = lambda r, part="result": {"id": message["id"], part: r, "jsonrpc": "2.0"}
+    shown = lambda t, **more: ok({"content": [dict(text=t, type="text")], **more})
     if method == "initialize":
-        return ok({"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "lattica", "version": "0.1"}})
+        return ok({"serverInfo": {"version": "0.1", "name": "lattica"}, "protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}})
     if method == "ping":
         return ok({})
     if method == "tools/list":
-        return ok({"tools": [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": p}} for n, (d, p, _) in TOOLS.items()]})
+        return ok({"tools": [{"inputSchema": {"properties": p, "type": "object"}, "description": d, "name": n} for n, (d, p, _) in TOOLS.items()]})
     if method != "tools/call":
-        return {"jsonrpc": "2.0", "id": message["id"], "error": {"code": -32601, "message": f"no such method: {method}"}}
+        return ok({"message": f"no such method: {method}", "code": -32601}, "error")
     try:
         if engine is None:
             raise LookupError("there is no graph yet")
         out = TOOLS[params["name"]][2](engine, params.get("arguments") or {})
         rows = out.limit(most + 1).collect()
         lines = [r[0] if len(r) == 1 and isinstance(r[0], str) else json.dumps(r.asDict(recursive=True), default=str) for r in rows[:most]]
-        return ok({"content": [{"type": "text", "text": "\n".join(lines + (["and more"] if len(rows) > most else []))}]})
+        return shown("\n".join(lines + (["and more"] if len(rows) > most else [])))
     except (LookupError, ValueError) as error:
-        return ok({"content": [{"type": "text", "text": str(error)}], "isError": True})
+        return shown(str(error), isError=True)
 
 
 def serve(engine: GraphEngine | None, source: IO[str], sink: IO[str]) -> None:

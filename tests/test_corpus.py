@@ -6,7 +6,7 @@ from lattica.functions import fuzzy, scalars
 from lattica.operators import export, precise, resolve, semantic
 from lattica.sources import code, scan, text
 
-AUTH = "class User:\n    def check(self):\n        return verify(self)\n\ndef verify(u):\n    return True\n\ndef login(u):\n    return verify(u)\n"
+AUTH = "class User:\n    def check(self):\n        return verify(self)\n\ndef verify(u):\n    return bool(u)\n\ndef login(u):\n    return verify(u)\n"
 API = "from core.auth import login\n\ndef handle_request(u):\n    return login(u)\n"
 DOC = "# Spec\n\ntext\n\n## Login flow\n\n### Details\n\n## Other\n"
 FILES = {"core/auth.py": AUTH, "api.py": API, "docs/spec.md": DOC, ".env": "X=1", "node_modules/x.js": "function a() {}", "pic.png": "\x89"}
