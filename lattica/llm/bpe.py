@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, tokenizer_path
+from .common import documents, in_batches, tokenizer_path
 from .segment import Points, WordTable, byte_level_pieces, slices, text_ranges, word_level_pieces
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -145,7 +145,7 @@ def bpe_documents(docs: DataFrame, file: str | None = None) -> DataFrame:
     table gives an empty result; other columns are not read.
     """
     file = file or tokenizer_path(WORD_FILE)
-    return docs.select("doc_id", round_trip(F.col("text"), file).alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+    return in_batches(docs).select("doc_id", round_trip(F.col("text"), file).alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

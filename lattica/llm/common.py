@@ -41,6 +41,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of a batch that a Python worker gets at once: texts are large, and two workers share what an executor has beside its heap.
+BATCH_ROWS = 1000
+
+
+def in_batches(docs: DataFrame) -> DataFrame:
+    """docs, its session set to send Python workers at most BATCH_ROWS rows at once."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def held_out(doc_id) -> "F.Column":
     """True for the rows that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, mixed, tokenizer_path
+from .common import documents, held_out, in_batches, mixed, tokenizer_path
 from .segment import LETTER, Points, WordTable, slices, text_ranges
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -180,7 +180,7 @@ _TABLES: dict[str, tuple[Model, WordTable]] = {}
 def _predict(model: Model, key: str, texts: list[str]) -> list[tuple[str, float]]:
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = model, WordTable(lambda words: list(model.word_scores(words)), 200_000)
+        _TABLES[key] = model, WordTable(lambda words: list(model.word_scores(words)), 100_000)
     model, table = _TABLES[key]
     out: list[tuple[str, float]] = []
     for a, b in slices(texts):
@@ -216,7 +216,7 @@ def predicted(text: Column, model: Model) -> Column:
 
 def learned(docs: DataFrame, file: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The model of the rows of docs (doc_id, text, lang) that may be learned from: of each lang, the sample_docs that come first by a digest of doc_id."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
+    rows = in_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_draw"))
     first = Window.partitionBy("lang").orderBy("_draw")
     drawn = rows.select("lang", "_draw").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample_docs).select("lang", "_draw")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_batches
 
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -168,7 +168,7 @@ def features(media: Column) -> Column:
 
 def media_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (of the text in UTF-8) and media (the PNG, binary) of docs (doc_id, text)."""
-    return docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), stored(F.col("text")).alias("media"))
+    return in_batches(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), stored(F.col("text")).alias("media"))
 
 
 def media_features(media: DataFrame) -> DataFrame:

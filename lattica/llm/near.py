@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, documents, mixed, staged, utf8
+from .common import Words, byte_slices, documents, in_batches, mixed, staged, utf8
 
 #: Minima of a signature, bands and rows of a band, low bits kept of each minimum.
 HASHES, BANDS, ROWS, LOW = 128, 32, 4, 4
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     first, from its first and last member; then every pair of the bucket that is still in different components. No bucket is
     cut: a hot one is built in salted parts.
     """
-    rows = staged(signatures(docs, words), "near-signatures")
+    rows = staged(signatures(in_batches(docs), words), "near-signatures")
     reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     reps = staged(reps, "near-classes")
 

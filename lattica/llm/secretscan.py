@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_batches
 from .segment import slices
 
 
@@ -220,7 +220,7 @@ def secret_summary(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RUL
             yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     udf = F.pandas_udf(summed, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", F.PandasUDFType.SCALAR_ITER)
-    return docs.select("doc_id", udf("text").alias("s")).select("doc_id", "s.*")
+    return in_batches(docs).select("doc_id", udf("text").alias("s")).select("doc_id", "s.*")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

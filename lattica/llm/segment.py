@@ -11,10 +11,10 @@ import pandas as pd
 from .common import mixed
 
 #: Code points that are handled at once; a longer text makes a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 19
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Beyond this many entries a word table starts anew.
-TABLE_ROWS = 400_000
+TABLE_ROWS = 150_000
 
 _WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 

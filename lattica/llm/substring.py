@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, documents, shared_dir, staged, utf8
+from .common import Words, byte_slices, documents, in_batches, shared_dir, staged, utf8
 
 WINDOW, GRAM = 20, 8
 #: Bits of a fingerprint in a run; window hashes have 64.
@@ -71,6 +71,10 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 HEAVY, SAMPLE, SALTS = 1000, 64, 64
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+
+
 class Index:
     """Runs under a folder of the shared file system. A run is a table (print, doc_id, times, many), sorted by print within each part; many: more than one place of the run has the print. Runs never change."""
 
@@ -78,10 +82,10 @@ class Index:
         self.spark, self.folder = spark, folder or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
         self.runs: list[str] = []
 
-    def _write(self, rows: DataFrame) -> str:
-        """Sorts rows (print, doc_id, times) into a run, in one exchange: it brings a print's rows together, where they are counted; heavy prints, which are in many documents anyway, are salted."""
+    def _write(self, rows: DataFrame, some: DataFrame) -> str:
+        """Sorts rows (print, doc_id, times) into a run, in one exchange: it brings a print's rows together, where they are counted; heavy prints, which are in many documents anyway, are salted. some: the rows of the documents that `sampled` has."""
         at = f"{self.folder}/run-{uuid.uuid4().hex}"
-        some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+        some = staged(some, "substring-sample")
         least = max(2, some.select("doc_id").distinct().count() // HEAVY)
         heavy = staged(some.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("print", F.lit(True).alias("heavy")), "substring-heavy")  # at most HEAVY a print of a document
         salted = rows.join(F.broadcast(heavy), "print", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
@@ -94,12 +98,13 @@ class Index:
         runs = self.runs if runs is None else runs
         return self.spark.read.schema("print long, doc_id long, times int, many boolean").parquet(*runs) if runs else None
 
-    def add(self, rows: DataFrame) -> str:
+    def add(self, rows: DataFrame, some: DataFrame) -> str:
         """A new run; merges all runs when there are more than RUNS."""
-        run = self._write(rows)
+        run = self._write(rows, some)
         self.runs.append(run)
         if len(self.runs) > RUNS:
-            self.runs = [self._write(self.read().drop("many"))]
+            every = self.read().drop("many")
+            self.runs = [self._write(every, sampled(every))]
         return run
 
 
@@ -295,9 +300,10 @@ def deduplicate(docs: DataFrame, index: Index | None = None, history: DataFrame
     an empty result; other columns are not read.
     """
     index = index or Index(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     earlier = list(index.runs)
-    run = index.add(fingerprints(base.where("doc_id IS NOT NULL"), window, gram))
+    named = base.where("doc_id IS NOT NULL")
+    run = index.add(fingerprints(named, window, gram), fingerprints(sampled(named), window, gram))
     suspects = _suspects(index, run, earlier)
     # Both joins below take the texts by doc_id, from one exchange: so nothing here may filter what goes into it.
     todo = base.join(suspects, "doc_id", "left").select("doc_id", "text", "prints")

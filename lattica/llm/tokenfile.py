@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_FILE, encoder
-from .common import documents, stage_path, staged, tokenizer_path
+from .common import documents, in_batches, stage_path, staged, tokenizer_path
 
 #: How many ids a word holds and of how many bits, by selector; ESCAPE: the id, of more than 60 bits, is the next word.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, out: str, file: str | None = None, end_id: int
     parts are in order. A task writes under a name of its own and renames it at the end, so that it can run again.
     """
     file = file or tokenizer_path(BYTE_FILE)
-    n = docs.count()
+    n = in_batches(docs).count()
     parts = max(1, -(-n // file_docs))
     cuts: list[int] = []
     if parts > 1:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out
+from .common import documents, held_out, in_batches
 
 #: Labelled documents that are learned from at most, each of at most so many code points.
 SAMPLE_DOCS, SAMPLE_CHARS = 20_000, 200_000
@@ -97,7 +97,6 @@ class Grammar:
         found = [m.start() for m in seek.finditer(low)]
         if not found:
             return
-        at = 0
         for clause in self._around(low, found):
             state = 0
             for m in _TOKEN.finditer(clause):
@@ -107,7 +106,6 @@ class Grammar:
                 if symbol == INSULT or symbol == THREAT and "target" in marks[self._look(arcs, state, clause, m.end(), kinds)]:
                     yield ("threat+" if symbol == THREAT else "") + "+".join(sorted(marks[state])), self.stems[stem] if stem else 0.6
                 state = arcs[state, symbol]
-            at += 1
 
     @staticmethod
     def _look(arcs, state: int, clause: str, end: int, kinds: dict[str, int]) -> int:
@@ -227,7 +225,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     """
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)  # so it can be broadcast
-    labelled = docs.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    labelled = in_batches(docs).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     grammar = learn(labelled, sample_docs)
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scored(F.col("text"), grammar).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICTED).cast("int"))
