@@ -178,6 +178,8 @@ _TABLES: dict[str, tuple[Model, WordTable]] = {}
 
 
 def _predict(model: Model, key: str, texts: list[str]) -> list[tuple[str, float]]:
+    if not model.langs:
+        return [(UNDETERMINED, 0.0)] * len(texts)
     if key not in _TABLES:
         _TABLES.clear()
         _TABLES[key] = model, WordTable(lambda words: list(model.word_scores(words)), 100_000)
@@ -190,7 +192,7 @@ def _predict(model: Model, key: str, texts: list[str]) -> list[tuple[str, float]
         bounds = text_ranges(p, start)
         scores = np.array(known).reshape(len(known), len(model.langs))
         for i in range(b - a):
-            if bounds[i] == bounds[i + 1] or not model.langs:
+            if bounds[i] == bounds[i + 1]:
                 out.append((UNDETERMINED, 0.0))
                 continue
             uses = np.bincount(code[bounds[i] : bounds[i + 1]], minlength=0)
