@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, staged
 
-#: Share of all words that the mix has, how often a word may be taken, blocks that a source is cut into, and output shards.
-SHARE, REPEATS, BLOCKS, SHARDS = 1.5, 2, 512, 16
+#: Share of all words that the mix has, how often a word may be taken, blocks that a source is cut into, and words of an output shard, about.
+SHARE, REPEATS, BLOCKS, SHARD_WORDS = 1.5, 2, 512, 4_000_000
 #: Blocks are ordered in one window per source and in one at the tree's root, so their number ends here.
 MOST_BLOCKS = 8192
 
@@ -39,7 +39,7 @@ def source_targets(sized: DataFrame, share: float = SHARE, repeats: int = REPEAT
 
 
 def shard_tree(units: DataFrame, shards: int, seed: str) -> DataFrame:
-    """units (any columns and a unique string `unit`) with a shard: halved level by level until there are `shards` leaves.
+    """units (any columns and a unique string `unit`) with a shard: halved level by level until there are `shards` leaves or more.
 
     At each node the units are put in an order by digest and the first half goes left. The counts of each source on the left
     are then a draw from the multivariate hypergeometric distribution, its quotas stay exact, and no unit is drawn twice.
@@ -54,7 +54,7 @@ def shard_tree(units: DataFrame, shards: int, seed: str) -> DataFrame:
     return out
 
 
-def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, blocks: int = BLOCKS, shards: int = SHARDS, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, blocks: int = BLOCKS, shards: int | None = None, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
     """Two tables of docs (doc_id, text, source): the sized documents, and the draws.
 
     sized: doc_id, source, size, source_size, target. draws: doc_id, copy (from 0), words (taken in this copy, the first ones
@@ -63,13 +63,15 @@ def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, block
     A source's documents fall into permuted blocks by a digest of doc_id and text size. Whole passes take every block; the last
     pass takes blocks in the order of their digests until the words left end, and the block where they end document by
     document; one document gives only its first words, so that a source's taken words are its target, rounded down. The number
-    of blocks grows with the table up to MOST_BLOCKS a source, so that one block holds a small share of any source. Null texts and empty ones have size 0
+    of blocks grows with the table up to MOST_BLOCKS a source, so that one block holds a small share of any source. shards
+    None: as many as SHARD_WORDS asks for, so that shards keep their size as the mix grows. Null texts and empty ones have size 0
     and are never drawn; a null source is a source; a repeated row is a document of its own, and shares its size's draw.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = staged(sized, "mix-sized")
     targets = staged(source_targets(sized, share, repeats), "mix-targets")
     total = sized.count()
+    shards = shards or max(1, int((targets.agg(F.sum("target")).first()[0] or 0) // SHARD_WORDS))
     blocks = min(MOST_BLOCKS, max(blocks, total // 20_000))
     same = F.col("s.source").eqNullSafe(F.col("t.source"))
     with_target = sized.alias("s").join(targets.alias("t"), same).select("s.*", "source_size", "target", (F.col("target") / F.col("source_size")).alias("passes"))
@@ -107,7 +109,7 @@ def mixed_shards(docs: DataFrame, **options) -> DataFrame:
     joined = joined.withColumn("text", F.when(F.regexp_count("text", F.lit(WORD)) <= F.col("_words"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    joined = joined.repartition(options.get("shards", SHARDS), "_shard").sortWithinPartitions("_shard", "_place")
+    joined = joined.repartition("_shard").sortWithinPartitions("_shard", "_place")
     return joined.select(*docs.columns, "_copy", "_shard")
 
 
