@@ -116,6 +116,7 @@ class Grammar:
 
     @staticmethod
     def _around(low: str, found: list[int]) -> Iterator[str]:
+        """Each clause that holds a place of `found`, once and whole, however long."""
         upto = -1
         for at in found:
             if at < upto:
@@ -123,9 +124,7 @@ class Grammar:
             begin = max(low.rfind(c, 0, at) for c in ".!?;:\n") + 1
             stop = _CLAUSE.search(low, at)
             upto = stop.start() if stop else len(low)
-            yield low[max(begin, at - 2000) : min(upto, at + 20_000)] if upto - begin > 22_000 else low[begin:upto]
-            if upto - begin > 22_000:
-                upto = min(upto, at + 20_000)
+            yield low[begin:upto]
 
     def score(self, text: str) -> float:
         left = 1.0

@@ -183,6 +183,14 @@ def test_grammar_weighs_context():
     assert g.score("i will kill you") > 0.2 > g.score("kill time")
 
 
+def test_long_clauses_run_whole():
+    g = toxicity.Grammar({"idiot": 0.9})
+    hit, far = ("", 0.9), "a " * 15_000
+    assert list(g.clauses("they said " + far + "an idiot " + far)) == [("report", 0.9)]
+    assert list(g.clauses("idiot " + "a " * 9_996 + "idiot " + far)) == [hit] * 2  # the second lies over the place 20,000 on
+    assert list(g.clauses("idiot " + "a " * 9_800 + "idiot " + "a " * 500 + "idiot " + far)) == [hit] * 3
+
+
 # 5 media
 
 
