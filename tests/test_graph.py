@@ -1,5 +1,6 @@
 import glob
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,26 @@ def test_detect_numbers_by_size_and_keeps_isolates(spark):
     assert spread == found
 
 
+def test_detect_is_the_same_in_a_task_and_in_the_cluster(spark):
+    r = random.Random(4)
+    pairs = [(i, r.randrange(20 * (i // 20), 20 * (i // 20) + 20) if r.random() < 0.7 else r.randrange(100)) for i in range(100) for _ in range(4)] + [(100, 101)]
+    n, e = spark.createDataFrame([(i,) for i in range(103)], "id long"), edges(spark, pairs)
+    one = {x.id: x.community for x in community.detect(n, e).collect()}
+    spread = {x.id: x.community for x in community.detect(n, e, limit=0).collect()}
+    assert one == spread and 4 < len(set(one.values())) < 30
+
+
+def test_louvain_leaves_no_move_that_gains():
+    r = random.Random(1)
+    pairs = sorted({(a, b) for a, b in ((r.randrange(300), r.randrange(300)) for _ in range(900)) if a < b})
+    found = community.louvain(pairs)
+    q = lambda home: sum(home[a] == home[b] for a, b in pairs) / len(pairs) - sum((sum((home[a] == c) + (home[b] == c) for a, b in pairs) / (2 * len(pairs))) ** 2 for c in set(home.values()))
+    groups = sorted(set(found.values()))
+    whole = q(found)
+    assert whole > 0.3
+    assert all(q({i: x if c == y else c for i, c in found.items()}) <= whole + 1e-12 for x in groups for y in groups)
+
+
 def test_replace_and_clean(spark):
     n = spark.createDataFrame([(1, "a.py", "ast"), (2, "b.py", "ast"), (3, "a.py", "semantic")], "id long, source_file string, origin string")
     e = spark.createDataFrame([(1, 2, "calls", "a.py", "L1"), (2, 3, "calls", "b.py", None), (2, 3, "calls", "b.py", None)], "src long, dst long, relation string, source_file string, source_location string")
