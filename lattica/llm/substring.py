@@ -294,12 +294,14 @@ def deduplicate(docs: DataFrame, index: Index | None = None, history: DataFrame
 
     Words split at ASCII white space. A word goes if a window that covers it starts earlier too: in a document with a smaller
     doc_id, or earlier in its own; all windows are judged on the input. index: holds earlier batches, whose texts are history
-    (doc_id, text); it gets this batch as a new run. A batch is judged against all before it by doc_id, so batches should
+    (doc_id, text), without which an index with runs raises; it gets this batch as a new run. A batch is judged against all before it by doc_id, so batches should
     come in its order. Null texts have no word; a text of fewer than `window` words keeps all. Rows without doc_id keep all
     words; of rows that repeat a doc_id, equal windows at equal places are not earlier than each other. An empty table gives
     an empty result; other columns are not read.
     """
     index = index or Index(docs.sparkSession)
+    if index.runs and history is None:
+        raise ValueError("the index holds earlier batches: history must have their texts")
     base = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     earlier = list(index.runs)
     named = base.where("doc_id IS NOT NULL")
@@ -307,7 +309,7 @@ def deduplicate(docs: DataFrame, index: Index | None = None, history: DataFrame
     suspects = _suspects(index, run, earlier)
     # Both joins below take the texts by doc_id, from one exchange: so nothing here may filter what goes into it.
     todo = base.join(suspects, "doc_id", "left").select("doc_id", "text", "prints")
-    if earlier and history is not None:
+    if earlier:
         past = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         todo = todo.unionByName(past.join(suspects, "doc_id").select("doc_id", "text", "prints"))
     runs = _repeats(_windows(todo, window, gram)).groupBy("doc_id").agg(F.collect_list("starts").alias("runs"))

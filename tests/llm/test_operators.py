@@ -60,6 +60,13 @@ def test_substring_batches_equal_one_batch_and_runs_compact(spark):
     assert len(index.runs) <= substring.RUNS
 
 
+def test_substring_index_without_history_raises(spark):
+    index = substring.Index(spark)
+    substring.deduplicate(table(spark).where("doc_id < 10"), index)
+    with pytest.raises(ValueError, match="history"):
+        substring.deduplicate(table(spark).where("doc_id >= 10"), index)
+
+
 def test_substring_edges(spark):
     assert substring.deduplicate(empty(spark)).count() == 0
     twice = table(spark).unionByName(table(spark).where("doc_id = 12"))
