@@ -67,8 +67,14 @@ def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, block
     None: as many as SHARD_WORDS asks for, so that shards keep their size as the mix grows. Null texts and empty ones have size 0
     and are never drawn; a null source is a source; a repeated row is a document of its own, and shares its size's draw.
     """
+    sized, draws = _by_row(docs, share, repeats, blocks, shards, seed)
+    return sized.drop("row"), draws.drop("row")
+
+
+def _by_row(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, blocks: int = BLOCKS, shards: int | None = None, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """The tables of `mixture` with `row`, which names a row of docs where doc_id doesn't: it is null or on several."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = staged(sized, "mix-sized")
+    sized = staged(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sized")
     targets = staged(source_targets(sized, share, repeats), "mix-targets")
     total = sized.count()
     shards = shards or max(1, int((targets.agg(F.sum("target")).first()[0] or 0) // SHARD_WORDS))
@@ -89,14 +95,14 @@ def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, block
     units = units.where("copy < whole OR start < words_left").withColumn("unit", F.concat_ws("|", F.col("copy"), F.col("block"), F.coalesce("source", F.lit("-"))))
     units = staged(shard_tree(units, shards, seed), "mix-units")
 
-    inside = Window.partitionBy("b.source", "b.block", "u.copy").orderBy(_number(f"{seed}-in", F.col("b.doc_id"), F.col("b.size")), "b.doc_id", "b.size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("b.source", "b.block", "u.copy").orderBy(_number(f"{seed}-in", F.col("b.doc_id"), F.col("b.size")), "b.doc_id", "b.size", "b.row").rowsBetween(Window.unboundedPreceding, -1)
     hit = F.col("b.source").eqNullSafe(F.col("u.source")) & (F.col("b.block") == F.col("u.block"))
     taken = drawn.alias("b").join(units.alias("u"), hit).select(
-        "b.doc_id", "b.size", "u.copy", "u.shard", (F.col("u.copy") < F.col("u.whole")).alias("all"), "u.words_left",
+        "b.row", "b.doc_id", "b.size", "u.copy", "u.shard", (F.col("u.copy") < F.col("u.whole")).alias("all"), "u.words_left",
         (F.col("u.start") + F.coalesce(F.sum("b.size").over(inside), F.lit(0))).alias("from"),
     )
     words = F.when(F.col("all"), F.col("size")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("words_left") - F.col("from"))))
-    draws = taken.select("doc_id", "size", "copy", words.alias("words"), "shard", _number(f"{seed}-place", F.col("doc_id"), F.col("copy")).alias("place")).where("words > 0")
+    draws = taken.select("row", "doc_id", "size", "copy", words.alias("words"), "shard", _number(f"{seed}-place", F.col("doc_id"), F.col("copy")).alias("place")).where("words > 0")
     return with_target.drop("passes"), draws
 
 
@@ -114,9 +120,14 @@ def mixed_shards(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized, draws = mixture(documents(spark, sf_dir))
-    taken = draws.groupBy("doc_id").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("copies"), F.min("shard").alias("shard"))
-    return sized.join(taken, "doc_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return mix_summary(documents(spark, sf_dir))
+
+
+def mix_summary(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, and the words taken of this row, one without doc_id too."""
+    sized, draws = _by_row(docs, **options)
+    taken = draws.groupBy("row").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("copies"), F.min("shard").alias("shard"))
+    return sized.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 OP3_SQL = rf"""

@@ -152,6 +152,16 @@ def test_mix_edges(spark):
     assert out.columns == [*table(spark).columns, "_copy", "_shard"] and out.count() > 0
 
 
+def test_mix_counts_rows_without_and_with_repeated_ids(spark):
+    extra = [(d, TEXTS[44], "en", "s1", *[None] * 10) for d in (44, None, None)]
+    found = mix.mix_summary(table(spark, extra), blocks=4, shards=4).collect()
+    assert len(found) == 63 and all(r.taken <= 2 * r.size for r in found)
+    per = defaultdict(int)
+    for r in found:
+        per[r.source_size, r.target] += r.taken
+    assert {int(t): n for (_, t), n in per.items()} == {int(t): int(t) for _, t in per}
+
+
 # 4 toxicity
 
 
