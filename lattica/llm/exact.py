@@ -20,7 +20,8 @@ def exact_duplicates(docs: DataFrame, hot_share: int = HOT_SHARE, hot_rows: int
     Rows that repeat a doc_id are rows of their own in group_size and all carry the same decision. An empty table gives an
     empty result; other columns are not read.
 
-    Three stages, each grouping by the full normalised text beside its digest: Spark's partial aggregation combines inside
+    Three stages, the first two grouping by the full normalised text beside its digest (the last one only of hot digests;
+    winners of cold ones, and decisions on their way back to rows, go by sha-256, xxhash64 and length): Spark's partial aggregation combines inside
     each task; a hot digest is then merged under salts; last, the winners of the salts are combined. Cold digests have one
     salt. The text crosses the network once, besides the salt winners of at most hot_share hot digests.
     """
