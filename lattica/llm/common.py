@@ -1,13 +1,15 @@
-"""What the corpus operators share: the shared folder, staging, and byte-level word splitting."""
+"""What the corpus operators share: the shared folder, staging, and words told apart by their bytes."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +19,11 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, one of our own on this machine, and only if Spark runs here alone."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lattica.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="lattica-shared-")
         spark.conf.set("spark.lattica.shared.dir", at)
     return at.rstrip("/")
@@ -28,13 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = stage_path(spark, name)
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def _file_system(spark: SparkSession, at: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; what is there goes when the driver ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, at)
+    fs.deleteOnExit(path)
+    return at
+
+
+def discard(spark: SparkSession, at: str) -> None:
+    """Deletes what was staged at a path and is no longer read."""
+    fs, path = _file_system(spark, at)
+    fs.delete(path, True)
+
+
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """df written in buckets of a column, each sorted by it, and read so that joins on the column need no exchange; where it lies."""
+    spark = df.sparkSession
+    at, table = stage_path(spark, name), f"lattica_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).sortBy(column).option("path", at).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table), at
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +125,7 @@ def _powers(base: np.uint64, name: str, n: int) -> np.ndarray:
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_TABLE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 CHUNK = 1 << 20
 
 
@@ -118,37 +144,105 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def word_hashes(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word in UTF-8 bytes. The hash is a polynomial over random 64-bit codes of the bytes, mixed; lower folds A-Z."""
-    starts, ends = word_spans(raw)
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts, ends
-    codes = _TABLE[_LOWER[raw]] if lower else _TABLE[raw]
-    codes *= _powers(_BASE, "base", len(raw))[: len(raw)]
+def span_codes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span's content, first span of each content): equal numbers mean equal content, item by item.
+
+    Spans of a buffer (bytes or code points, none empty) are grouped by a hash; then each is compared with the first of its
+    group, whole. Hashes that collide only cost time: those spans are told apart by their bytes.
+    """
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = mixed(buffer.astype(np.uint64) + np.uint64(1))
+    codes *= _powers(_BASE, "base", len(buffer))[: len(buffer)]
     sums = np.add.accumulate(codes)
-    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-    h = (sums[ends - 1] - before) * _powers(_INVERSE, "inverse", len(raw))[starts]
-    return mixed(h ^ (ends - starts).astype(np.uint64)), starts, ends
+    before = np.where(start > 0, sums[start - 1], np.uint64(0))
+    h = (sums[end - 1] - before) * _powers(_INVERSE, "inverse", len(buffer))[start]
+    length = end - start
+    code, distinct = pd.factorize(mixed(h ^ length.astype(np.uint64)))
+    first = _firsts(code, len(distinct))
+    if not _same(buffer, start, length, first[code]):
+        content = [buffer[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())]
+        code, distinct = pd.factorize(np.array(content, object))
+        first = _firsts(code, len(distinct))
+    return code, first
+
+
+def _firsts(code: np.ndarray, n: int) -> np.ndarray:
+    first = np.empty(n, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return first
+
+
+def _same(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span equals the span `other`, item by item."""
+    again = np.flatnonzero(other != np.arange(len(start)))
+    if not (length[again] == length[other[again]]).all():
+        return False
+    n = length[again]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return bool((buffer[np.repeat(start[again], n) + inside] == buffer[np.repeat(start[other[again]], n) + inside]).all())
+
+
+#: Digests of words are keyed; a process remembers so many of words up to so many bytes.
+_KEY, _KNOWN, _SHORT = b"lattica words", 400_000, 64
+_DIGESTS: dict[bytes, bytes] = {}
+
+
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """128 bits of a keyed digest of each word, as two 64-bit lanes."""
+    if len(_DIGESTS) > _KNOWN:
+        _DIGESTS.clear()
+    out = []
+    for w in words:
+        d = _DIGESTS.get(w)
+        if d is None:
+            d = hashlib.blake2b(w, digest_size=16, key=_KEY).digest()
+            if len(w) <= _SHORT:
+                _DIGESTS[w] = d
+        out.append(d)
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
 class Words:
-    """The words of texts (UTF-8 bytes), hashed together: those of text i are bounds[i]:bounds[i + 1]."""
+    """The words of texts (UTF-8 bytes) together: those of text i are bounds[i]:bounds[i + 1]. code: a number of each word, the same for the same bytes only; distinct: the word of each number."""
 
     def __init__(self, raws: list[bytes], lower: bool = False):
         self.buffer = b" ".join(raws)
-        self.hash, self.start, self.end = word_hashes(np.frombuffer(self.buffer, np.uint8), lower)
+        if lower:
+            self.buffer = self.buffer.translate(_LOWER)
+        raw = np.frombuffer(self.buffer, np.uint8)
+        self.start, self.end = word_spans(raw)
+        self.code, first = span_codes(raw, self.start, self.end)
+        self.distinct = [self.buffer[s:e] for s, e in zip(self.start[first].tolist(), self.end[first].tolist())]
         sizes = np.array([len(r) for r in raws], np.int64)
         begin = np.cumsum(sizes + 1) - sizes - 1
         self.bounds = np.searchsorted(self.start, np.append(begin, len(self.buffer) + 1), "left")
+        self._lanes = None
+
+    def lane(self, k: int) -> np.ndarray:
+        """64 bits of each word's digest."""
+        if self._lanes is None:
+            self._lanes = word_digests(self.distinct)
+        return self._lanes[self.code, k]
 
-    def grams(self, k: int) -> np.ndarray:
-        """Hash of the k words from each place on, over the ends of texts too; shorter by k - 1."""
-        n = len(self.hash)
+    def grams(self, k: int, lane: int = 0) -> np.ndarray:
+        """64-bit hash of the k words from each place on, over the ends of texts too; shorter by k - 1. Lanes are independent."""
+        n = len(self.code)
         if n < k:
             return np.zeros(0, np.uint64)
-        total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(self.hash * _powers(_BASE, "base", n)[:n])))
+        total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(self.lane(lane) * _powers(_BASE, "base", n)[:n])))
         return mixed((total[k:] - total[:-k]) * _powers(_INVERSE, "inverse", n)[: n - k + 1] + np.uint64(k))
 
+    def gram_codes(self, k: int) -> np.ndarray:
+        """A number of the k words from each place on, the same for the same words only."""
+        n = len(self.code)
+        if n < k:
+            return np.zeros(0, np.int64)
+        out, many = self.code[: n - k + 1], np.uint64(len(self.distinct))
+        for i in range(1, k):  # both factors are below 2 ** 32, so a pair is one 64-bit word
+            out, _ = pd.factorize(out.astype(np.uint64) * many + self.code[i : n - k + 1 + i].astype(np.uint64))
+        return out
+
 
 def byte_slices(raws: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts of about `size` bytes together."""

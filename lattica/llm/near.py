@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, byte_slices, documents, in_batches, mixed, staged, utf8
@@ -15,10 +15,14 @@ from .common import Words, byte_slices, documents, in_batches, mixed, staged, ut
 HASHES, BANDS, ROWS, LOW = 128, 32, 4, 4
 #: A pair goes on to its full sets when the estimate is at most so many standard deviations below the threshold.
 DEVIATIONS = 6
-#: A band bucket is hot when it holds more than BUCKET classes and more than one in BUCKET_SHARE of all; its stars are then built in SALTS parts.
-BUCKET, BUCKET_SHARE, SALTS = 5000, 256, 64
-#: Bits of the filter of classes with candidates: a fixed size, whatever the input.
-FILTER_BITS = 1 << 26
+#: The parts that a bucket's members fall into; centres of stars meet each part in a task of its own.
+SALTS = 64
+#: Centres of stars in a round of a bucket part, doubled from round to round; members beside one copy of a centre's text.
+CENTRES, BESIDE = 8, 256
+#: Bits of the filter of classes with candidates, at most, and of each segment that one task fills.
+FILTER_BITS, SEGMENT_BITS = 1 << 28, 1 << 20
+#: Bytes of text of pairs that are confirmed together, about.
+PAIR_BYTES = 4 << 20
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -26,25 +30,35 @@ _B = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
 def shingle_sets(raws: list[bytes], words: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's shingles of so many words, lower case; a text of fewer words has one, a text without words none."""
+    """128-bit digests, as rows of two 64-bit words in ascending order, of each text's distinct shingles of so many words, lower case; a text of fewer words has one, a text without words none."""
     out = []
     for a, b in byte_slices(raws):
         w = Words(raws[a:b], lower=True)
-        grams = w.grams(words)
+        lanes = [w.grams(words, k) for k in (0, 1)]
         for i in range(b - a):
             s, e = int(w.bounds[i]), int(w.bounds[i + 1])
             if e - s >= words:
-                out.append(np.unique(grams[s : e - words + 1]))
+                out.append(_distinct(lanes[0][s : e - words + 1], lanes[1][s : e - words + 1]))
             elif e > s:
-                one = np.array([e - s], np.uint64)
-                for x in range(s, e):
-                    one = mixed(one * np.uint64(0x9E3779B97F4A7C15) + w.hash[x : x + 1])
-                out.append(one)
+                own = b"\x00".join([b"%d" % (e - s), *(w.distinct[c] for c in w.code[s:e].tolist())])  # no word has such a digest: words hold no count
+                out.append(np.frombuffer(hashlib.blake2b(own, digest_size=16, key=b"lattica short").digest(), "<u8").reshape(1, 2))
             else:
-                out.append(np.zeros(0, np.uint64))
+                out.append(np.zeros((0, 2), np.uint64))
     return out
 
 
+def _distinct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    same = x[1:] == x[:-1]
+    if (y[1:][same] != y[:-1][same]).any():  # one lane alone doesn't tell them apart
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    keep = np.append(True, ~same)
+    return np.stack((x[keep], y[keep]), 1)
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The least of each hash function over the shingles (32 bits)."""
     best = np.full(HASHES, np.iinfo(np.uint64).max)
@@ -91,8 +105,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 if not len(s):
                     digest.append(None), sig.append(None), bands.append(None)
                     continue
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                low = minima(s)
+                digest.append(hashlib.blake2b(np.ascontiguousarray(s, "<u8").tobytes(), digest_size=32).digest())
+                low = minima(s[:, 0])
                 sig.append(packed(low))
                 key = salt.copy()
                 for r in low.reshape(BANDS, ROWS).T:
@@ -125,22 +139,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _filter_of(ids: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of a long column; FILTER_BITS at most, made by the tasks and joined here."""
+    """A Bloom filter of a long column, FILTER_BITS at most: each task fills segments of it, which are joined here. A full one stops little, and nothing depends on it."""
     n = ids.count()
     bits = 1 << 16
     while bits < FILTER_BITS and bits < 16 * n:
         bits *= 2
+    step = min(bits, SEGMENT_BITS)
+
+    def split(batches):
+        for batch in batches:
+            at = np.concatenate(_places(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at // step).astype(np.int32)), pa.array((at % step).astype(np.int32))], names=["segment", "place"])
 
     def fill(batches):
-        own = np.zeros(bits, bool)
+        own: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
-                own[at] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["part"])
+            segment, place = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for k in np.unique(segment).tolist():
+                own.setdefault(k, np.zeros(step, bool))[place[segment == k]] = True
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(x).tobytes() for x in own.values()], pa.binary())], names=["segment", "part"])
 
     whole = np.zeros(bits // 8, np.uint8)
-    for row in ids.select(column).coalesce(8).mapInArrow(fill, "part binary").toLocalIterator():
-        whole |= np.frombuffer(row["part"], np.uint8)
+    places = ids.select(column).mapInArrow(split, "segment int, place int").distinct().repartition("segment")
+    for row in places.mapInArrow(fill, "segment int, part binary").toLocalIterator():
+        whole[row["segment"] * (step // 8) :][: step // 8] |= np.frombuffer(row["part"], np.uint8)
     return whole
 
 
@@ -149,46 +172,63 @@ def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 20, 36)]
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """cls, set (sorted hashes) of the wanted classes (cls), from the text of the document that names the class. A filter of fixed size drops most others before the shuffle; the join drops the rest."""
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, text of the wanted classes (cls): that of the document that names the class. A filter of bounded size drops most others before the shuffle; the join drops the rest."""
     bloom = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted, "cls"))
 
     def make(batches):
         for batch in batches:
-            ids, keep = batch.column(0), None
             flat, bits = bloom.value, len(bloom.value) * 8
-            keep = np.ones(len(ids), bool)
-            for at in _places(ids.to_numpy(zero_copy_only=False), bits):
+            keep = np.ones(batch.num_rows, bool)
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
                 keep &= (flat[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-            if not keep.any():
-                continue
-            part = batch.filter(pa.array(keep))
-            sets = shingle_sets(utf8(part.column(1)), words)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["cls", "set"])
-
-    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "cls long, set binary")
-    return made.join(wanted, "cls", "left_semi")
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("cls"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(make, "cls long, text binary")
+    return made.join(wanted, "cls", "left_semi").distinct()  # a doc_id on several rows may have several texts
+
+
+def similar(left: list[bytes], right: list[bytes], words: int, percent: int) -> list[bool]:
+    """Of pairs of texts, whether percent * union <= 100 * intersection of their shingles, compared word for word."""
+    number: dict[bytes, int] = {}
+    for x in (*left, *right):
+        number.setdefault(x, len(number))
+    w = Words(list(number), lower=True)
+    grams = w.gram_codes(words)
+    sets = []
+    for i in range(len(number)):
+        s, e = int(w.bounds[i]), int(w.bounds[i + 1])
+        sets.append(np.unique(grams[s : e - words + 1]) if e - s >= words else w.code[s:e])
+    out = []
+    for i, j in ((number[x], number[y]) for x, y in zip(left, right)):
+        x, y = sets[i], sets[j]
+        short = w.bounds[i + 1] - w.bounds[i] < words, w.bounds[j + 1] - w.bounds[j] < words
+        if any(short):  # one set of one sequence: equal or nothing in common
+            out.append(all(short) and len(x) > 0 and np.array_equal(x, y))
+            continue
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(100 * common >= percent * (len(x) + len(y) - common))
+    return out
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have percent * union <= 100 * intersection."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar. A class with many partners meets them in parts, beside a copy of its text in each."""
 
     def check(batches):
         for batch in batches:
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
-            ok = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
+            left, right = (batch.column(i).to_pylist() for i in (2, 3))
+            ok: list[bool] = []
+            for x, y in byte_slices([p + q for p, q in zip(left, right)], PAIR_BYTES):
+                ok += similar(left[x:y], right[x:y], words, percent)
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("right")), "b")
-    full = right.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("left")), "a")
-    return full.select("a", "b", "left", "right").mapInArrow(check, "u long, v long")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BESIDE).cast("int").alias("parts"))
+    pairs = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    right = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("right")), "b")
+    left = parts.join(texts, F.col("a") == F.col("cls")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("left"))
+    return right.join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(check, "u long, v long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -210,14 +250,16 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return two.where(fits).select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
-def _stars(members: DataFrame, hot: DataFrame, end) -> DataFrame:
-    """Candidate pairs (a, b): each member of a bucket (key, cls, label) with the one at its `end` (F.min or F.max by label, cls), where labels differ; a hot bucket in salted parts, then the ends of its parts."""
-    salted = members.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))).drop("hot")
-    centre = salted.groupBy("key", "salt").agg(end(F.struct("label", "cls")).alias("c"))
-    top = centre.groupBy("key").agg(end("c").alias("t"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    inside = salted.join(centre, ["key", "salt"]).where("label <> c.label").select(F.col("c.cls").alias("a"), F.col("cls").alias("b"))
-    across = centre.join(top, "key").where("c.label <> t.label").select(F.col("t.cls").alias("a"), F.col("c.cls").alias("b"))
-    return inside.unionByName(across)
+def _stars(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of buckets, and the members that were a centre.
+
+    members: key, cls, label, part, done. Of each part of a bucket the first `centres` members that were none yet become
+    centres, and each meets all members of the bucket with another label: in one task per part, so that no task holds a bucket.
+    """
+    order = F.row_number().over(Window.partitionBy("key", "part").orderBy("cls"))
+    chosen = staged(members.where("NOT done").withColumn("rank", order).where(F.col("rank") <= centres).select("key", "cls", "label"), "near-centres")
+    everywhere = chosen.join(members.select("key", "part").distinct(), "key").select("key", "part", F.col("cls").alias("c"), F.col("label").alias("l"))
+    return members.join(everywhere, ["key", "part"]).where("label <> l").select(F.col("c").alias("a"), F.col("cls").alias("b")), chosen.select("key", "cls")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -226,13 +268,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Texts lower-case A-Z and split at ASCII white space; a text's set has its distinct shingles of `words` words, or its whole
     sequence if it has fewer. Two documents are linked when 100 * intersection >= percent * union of their sets; component_id
     is the least doc_id that links reach, kept is doc_id = component_id. Null, empty and blank texts have no shingle and are
-    linked with nothing; rows without doc_id too (component_id null, kept). doc_id is taken as unique: rows that repeat one
-    share its component. An empty table gives an empty result; other columns are not read.
-
-    Documents with one set are a class, named by its least doc_id; only classes are compared. A class pair is a candidate if a
-    band of ROWS minima agrees (at similarity 0.8 all 32 bands disagree with chance 5e-8). In each bucket, stars are confirmed
-    first, from its first and last member; then every pair of the bucket that is still in different components. No bucket is
-    cut: a hot one is built in salted parts.
+    linked with nothing; rows without doc_id too (component_id null, kept). doc_id is taken as unique: rows that
+    repeat one are judged by their own text, and texts whose class it names share a component. An empty table gives an empty result; other columns are not read.
+
+    Sets hold 128-bit keyed digests of shingles, and documents whose sets have one digest are a class, named by its least
+    doc_id; only classes are compared. A class pair is a candidate if a band of ROWS minima agrees (at similarity 0.8 all 32
+    bands disagree with chance 5e-8), and is linked only when its texts' shingles, compared word for word, are similar enough.
+    In each bucket stars are confirmed, round by round, from one centre and then from more, against all members that are not yet
+    in the centre's component, until a bucket is one component or every member was a centre: no bucket is cut, no pair left out.
     """
     rows = staged(signatures(in_batches(docs), words), "near-signatures")
     reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -240,29 +283,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     keyed = reps.select("cls", F.explode("bands").alias("key"))
     per_key = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = staged(keyed.join(per_key, "key").select("key", "cls", "size"), "near-buckets")
-    limit = max(BUCKET, reps.count() // BUCKET_SHARE)
-    hot = staged(buckets.where(F.col("size") > limit).select("key", F.lit(True).alias("hot")).distinct(), "near-hot")  # at most BUCKET_SHARE a band
-    wanted = buckets.select("cls").distinct()
-    sets = staged(_sets_of(docs, staged(wanted, "near-wanted"), words), "near-sets")
-
-    found = None
-    labels = None
-    members = buckets.select("key", "cls", F.col("cls").alias("label"))
-    for end in (F.min, F.max):
-        links = staged(_confirmed(_likely(_stars(members, hot, end), reps, percent), sets, percent), "near-links")
+    parts = F.least(F.lit(SALTS), F.ceil(F.col("size") / BESIDE)).cast("int")
+    members = keyed.join(per_key, "key").select("key", "cls", F.col("cls").alias("label"), F.pmod(F.xxhash64("cls"), parts).cast("int").alias("part"), F.lit(False).alias("done"))
+    members = staged(members, "near-buckets")
+    texts = staged(_texts_of(docs, staged(members.select("cls").distinct(), "near-wanted")), "near-texts")
+
+    found, labels, centres = None, None, 1
+    while members.limit(1).count():
+        pairs, chosen = _stars(members, centres)
+        links = staged(_confirmed(_likely(pairs, reps, percent), texts, words, percent), "near-links")
         found = links if found is None else found.unionByName(links)
         labels = components(found)
-        members = buckets.join(labels, buckets["cls"] == labels["id"], "left").select("key", "cls", F.coalesce("root", "cls").alias("label"))
-        mixed_keys = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-        members = staged(members.join(mixed_keys, "key", "left_semi"), "near-open")
-    left, right = members.alias("x"), members.alias("y")
-    rest = left.join(right, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    links = staged(_confirmed(_likely(rest, reps, percent), sets, percent), "near-links")
-    labels = components(found.unionByName(links))
-
-    roots = reps.select("digest", "cls").join(labels, F.col("cls") == F.col("id"), "left").select("digest", F.coalesce("root", "cls").alias("component_id"))
-    full = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "digest").join(roots, "digest").select("doc_id", "n", "component_id")
+        was = members.join(chosen.withColumn("now", F.lit(True)), ["key", "cls"], "left").select("key", "cls", "part", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        told = was.join(labels, was["cls"] == labels["id"], "left").select("key", "cls", F.coalesce("root", "cls").alias("label"), "part", "done")
+        open_keys = told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("done").alias("all")).where("l <> h AND NOT all").select("key")
+        members = staged(told.join(open_keys, "key", "left_semi"), "near-open")
+        centres = max(CENTRES, 2 * centres)
+
+    full = rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "digest")
+    roots = reps.select("digest", F.col("cls").alias("component_id"))
+    if labels is not None:
+        roots = reps.select("digest", "cls").join(labels, F.col("cls") == F.col("id"), "left").select("digest", F.coalesce("root", "cls").alias("component_id"))
+    full = full.join(roots, "digest").select("doc_id", "n", "component_id")
     bare = rows.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = full.unionByName(bare)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -6,9 +6,8 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 
-from .common import mixed
+from .common import span_codes
 
 #: Code points that are handled at once; a longer text makes a slice of its own.
 SLICE = 1 << 19
@@ -19,6 +18,13 @@ TABLE_ROWS = 150_000
 _WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 
 
+#: Letters and numbers of Unicode 16, which the tokenizers know and an older Python doesn't.
+_NEWER = {
+    LETTER: [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)],
+    NUMBER: [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)],
+}
+
+
 def _classes() -> np.ndarray:
     out = np.full(0x110000, OTHER, np.uint8)
     for c in range(0x110000):
@@ -27,6 +33,9 @@ def _classes() -> np.ndarray:
             out[c] = LETTER
         elif kind == "N":
             out[c] = NUMBER
+    for kind, spans in _NEWER.items():
+        for a, b in spans:
+            out[a : b + 1] = kind
     out[list(_WHITE)] = SPACE
     return out
 
@@ -40,18 +49,6 @@ def classes() -> np.ndarray:
     return _LAZY["classes"]
 
 
-def plain() -> np.ndarray:
-    """True for the code points on which all Unicode versions and libraries agree in class, normal form and lower case."""
-    if "plain" not in _LAZY:
-        out = np.zeros(0x110000, bool)
-        out[:0x180] = True
-        out[0x130] = False
-        out[0x2010:0x2028] = True
-        out[0x20AC] = True
-        _LAZY["plain"] = out
-    return _LAZY["plain"]
-
-
 def slices(texts: list[str], size: int = SLICE) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of texts of about `size` code points together."""
     start = have = 0
@@ -73,13 +70,6 @@ class Points:
         self.offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=self.offsets[1:])
 
-    def plain_texts(self) -> np.ndarray:
-        """Of each text, whether it has only plain code points."""
-        bad = np.flatnonzero(~plain()[self.cp])
-        out = np.ones(len(self.offsets) - 1, bool)
-        out[np.searchsorted(self.offsets, bad, "right") - 1] = False
-        return out
-
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, class) of the runs of one class; none reaches over the end of a text."""
         kind = classes()[self.cp]
@@ -91,25 +81,6 @@ class Points:
         start = np.flatnonzero(new)
         return start, np.append(start[1:], len(kind)), kind[start]
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the code points in each span (none empty)."""
-        code = mixed(self.cp.astype(np.uint64) + np.uint64(1))
-        size = len(code)
-        if _LAZY.get("up") is None or len(_LAZY["up"]) < size:
-            base = 0x9E3779B97F4A7C15
-            for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-                p = np.full(max(size, SLICE), b, np.uint64)
-                p[0] = 1
-                np.multiply.accumulate(p, out=p)
-                _LAZY[name] = p
-        code *= _LAZY["up"][:size]
-        total = np.add.accumulate(code)
-        before = np.where(start > 0, total[start - 1], np.uint64(0))
-        out = mixed((total[end - 1] - before) * _LAZY["down"][start] ^ (end - start).astype(np.uint64))
-        if size > 4 * SLICE:
-            _LAZY.pop("up"), _LAZY.pop("down")
-        return out
-
 
 def _contractions(p: Points, start: np.ndarray, end: np.ndarray, kind: np.ndarray, free: np.ndarray) -> None:
     """Moves the ends of a lone apostrophe run and of the letters after it where both make 's 't 're 've 'm 'll 'd; free: runs that no blank precedes."""
@@ -173,28 +144,27 @@ def word_level_pieces(p: Points) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
+def distinct_words(p: Points, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(number of each span's word, the words by number): words are told apart by their code points."""
+    code, first = span_codes(p.cp, start, end)
+    return code, [p.text[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
+
+
 class WordTable:
-    """Distinct words of the slices so far and what `encode` made of each, once; it starts anew when it has many rows."""
+    """Distinct words of the slices so far, by the words themselves, and what `encode` made of each, once; it starts anew when it has many rows."""
 
     def __init__(self, encode: Callable[[list[str]], list], rows: int = TABLE_ROWS):
         self.encode, self.rows, self.known = encode, rows, {}
 
     def look_up(self, p: Points, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list]:
         """(position in the second, of each span; what encode made of the distinct words)."""
-        if not len(start):
-            return np.zeros(0, np.int64), []
-        code, distinct = pd.factorize(p.hashes(start, end))
-        first = np.empty(len(distinct), np.int64)
-        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        code, words = distinct_words(p, start, end)
         if len(self.known) > self.rows:
             self.known = {}
-        known, keys = self.known, distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
+        new = [w for w in words if w not in self.known]
         if new:
-            at = first[new]
-            words = [p.text[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())]
-            known.update(zip([keys[i] for i in new], self.encode(words)))
-        return code, [known[k] for k in keys]
+            self.known.update(zip(new, self.encode(new)))
+        return code, [self.known[w] for w in words]
 
 
 def text_ranges(p: Points, start: np.ndarray) -> np.ndarray:

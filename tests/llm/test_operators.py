@@ -13,6 +13,10 @@ from lattica.llm.common import staged, tokenizer_path
 from .fixture import empty, rows, table
 
 TEXTS = {r[0]: r[1] for r in rows()}
+# Two words with one polynomial hash modulo 2 ** 64, whatever its base and the letters' codes.
+TWIN_A, TWIN_B = "a", "b"
+for _ in range(11):
+    TWIN_A, TWIN_B = TWIN_A + TWIN_B, TWIN_B + TWIN_A
 sha = lambda s: hashlib.sha256(s.encode() if isinstance(s, str) else s).hexdigest()
 
 
@@ -382,10 +386,22 @@ def test_near_duplicates_are_brute_force(spark, k):
     assert {d: tuple(r)[1:] for d, r in found.items()} == components(texts, k, 80)
 
 
+def test_near_duplicates_tell_twins_apart(spark):
+    texts = {1: TWIN_A + " x", 2: TWIN_B + " x", 3: TWIN_A + " X", 4: TWIN_A}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {d: tuple(r)[1:] for d, r in got(near.near_duplicates(docs, words=2)).items()} == components(texts, 2, 80)
+
+
+def test_near_repeated_ids_and_ties(spark):
+    texts = [(1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f"), (3, "g h i j k l"), (4, None), (4, None)]
+    found = near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=2).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4)} and len(found) == 6
+
+
 def test_near_edges_and_hot_buckets(spark, monkeypatch):
     assert near.near_duplicates(empty(spark)).count() == 0
-    monkeypatch.setattr(near, "BUCKET", 1)
-    monkeypatch.setattr(near, "BUCKET_SHARE", 10**6)
+    for name, small in (("BESIDE", 1), ("CENTRES", 4), ("PAIR_BYTES", 100), ("SEGMENT_BITS", 1 << 12)):
+        monkeypatch.setattr(near, name, small)
     found = got(near.near_duplicates(table(spark), words=2))
     assert {d: tuple(r)[1:] for d, r in found.items()} == components(TEXTS, 2, 80)
     null_id = near.near_duplicates(table(spark, [(None, TEXTS[1], *[None] * 12)])).where("doc_id IS NULL").collect()
