@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df, written as Parquet in the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     at = stage_path(spark, name)
-    df.write.parquet(at)
+    df.write.option("compression", codec).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

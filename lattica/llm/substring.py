@@ -2,30 +2,32 @@
 
 A window is `window` consecutive words. A run doesn't hold every window: of the grams of GRAM words inside a window the one
 with the least hash speaks for it (the first of equal ones), so equal windows always have an equal fingerprint, and about one
-place in seven is one. Fingerprints that only one place has end there. For the others the windows themselves are hashed in
-full from the texts, and compared; what a fingerprint suggests is verified by the words of the whole window.
+place in seven is one. Fingerprints that only one place has end there. For the others the windows themselves are taken from
+the texts, brought together with their words, and compared word for word.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, documents, in_batches, shared_dir, staged, utf8
+from .common import Words, bucketed, byte_slices, discard, documents, in_batches, stage_path, staged, utf8
 
 WINDOW, GRAM = 20, 8
-#: Bits of a fingerprint in a run; window hashes have 64.
+#: Bits of a fingerprint.
 BITS = 48
-#: Runs that an index holds before they are merged into one.
-RUNS = 4
-#: Windows are sent in blocks, by fingerprint; of this many, each task of the exchange gets some.
-BLOCKS = 4096
+#: Runs that an index holds before they are merged into one, and batches of doc_id that the query feeds to it.
+RUNS, BATCHES = 2, 4
+#: Windows are sent in blocks, by fingerprint: of about so many fingerprints each, LEAST_BLOCKS at least.
+BLOCK_PRINTS, LEAST_BLOCKS = 4096, 64
+#: Windows that a task compares before it sends them.
+FLUSH = 1_000_000
 
 
 def anchors(grams: np.ndarray, a: int, b: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,66 +69,96 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     return docs.select("doc_id", "text").mapInArrow(make, "print long, doc_id long, times int")
 
 
-#: A fingerprint that more than one in HEAVY of sampled documents has is spread over SALTS tasks when a run is sorted; only its place depends on the sample.
-HEAVY, SAMPLE, SALTS = 1000, 64, 64
+#: A fingerprint that more than one in HEAVY of sampled documents has lies in no bucket of its run, which one task would read; only its place depends on the sample.
+HEAVY, SAMPLE = 1000, 64
 
 
-def sampled(rows: DataFrame) -> DataFrame:
-    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+class Run(NamedTuple):
+    """cold: (print, doc_id, times) in buckets by print, sorted; hot: the rows of heavy prints; heavy: those prints; where they lie."""
+
+    cold: DataFrame
+    hot: DataFrame
+    heavy: DataFrame
+    paths: list[str]
 
 
 class Index:
-    """Runs under a folder of the shared file system. A run is a table (print, doc_id, times, many), sorted by print within each part; many: more than one place of the run has the print. Runs never change."""
+    """Runs of fingerprints, oldest first. Runs never change: a batch adds one, and when there are more than RUNS they are merged into a new one."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None):
-        self.spark, self.folder = spark, folder or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+    def __init__(self, spark: SparkSession, buckets: int | None = None):
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[Run] = []
 
-    def _write(self, rows: DataFrame, some: DataFrame) -> str:
-        """Sorts rows (print, doc_id, times) into a run, in one exchange: it brings a print's rows together, where they are counted; heavy prints, which are in many documents anyway, are salted. some: the rows of the documents that `sampled` has."""
-        at = f"{self.folder}/run-{uuid.uuid4().hex}"
-        some = staged(some, "substring-sample")
+    def _write(self, rows: DataFrame) -> Run:
+        """Sorts staged rows (print, doc_id, times) into a run."""
+        some = staged(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0), "substring-sample")
         least = max(2, some.select("doc_id").distinct().count() // HEAVY)
-        heavy = staged(some.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("print", F.lit(True).alias("heavy")), "substring-heavy")  # at most HEAVY a print of a document
-        salted = rows.join(F.broadcast(heavy), "print", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
-        total = F.sum("times").over(Window.partitionBy("print", "salt"))
-        many = F.coalesce("heavy", F.lit(False)) | (total > 1)
-        salted.select("print", "doc_id", "times", many.alias("many")).write.option("compression", "zstd").parquet(at)
-        return at
-
-    def read(self, runs: list[str] | None = None) -> DataFrame | None:
-        runs = self.runs if runs is None else runs
-        return self.spark.read.schema("print long, doc_id long, times int, many boolean").parquet(*runs) if runs else None
-
-    def add(self, rows: DataFrame, some: DataFrame) -> str:
-        """A new run; merges all runs when there are more than RUNS."""
-        run = self._write(rows, some)
-        self.runs.append(run)
+        at = [stage_path(self.spark, "substring-heavy"), stage_path(self.spark, "substring-hot")]
+        some.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select("print").write.parquet(at[0])  # at most HEAVY a print of a document
+        heavy = self.spark.read.schema("print long").parquet(at[0])
+        rows.join(F.broadcast(heavy), "print").select("print", "doc_id", "times").write.parquet(at[1])
+        hot = self.spark.read.schema("print long, doc_id long, times int").parquet(at[1])
+        cold = rows.join(F.broadcast(heavy), "print", "left_anti").select("print", "doc_id", "times").repartition(self.buckets, "print")
+        cold, where = bucketed(cold, "substring-run", "print", self.buckets)
+        return Run(cold, hot, heavy, [*at, where])
+
+    def heavy(self) -> DataFrame | None:
+        """Prints that are heavy in some run."""
+        out = None
+        for r in self.runs:
+            out = r.heavy if out is None else out.unionByName(r.heavy)
+        return out.distinct() if out is not None else None
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Adds a batch (print, doc_id, times) as a run; (print, doc_id) of all places of a print that the batch and some other place have.
+
+        The batch's prints are merge-joined with those of each earlier run: both lie in the same buckets, in order.
+        """
+        new, before, old_heavy = self._write(rows), list(self.runs), self.heavy()
+        fresh = new.cold.groupBy("print").agg((F.sum("times") > 1).alias("again"))
+        for k, r in enumerate(before):
+            fresh = fresh.join(r.cold.select("print").distinct().withColumn(f"_{k}", F.lit(True)), "print", "left").withColumn("again", F.col("again") | F.coalesce(f"_{k}", F.lit(False))).drop(f"_{k}")
+        touched = new.heavy
+        if old_heavy is not None:
+            fresh = fresh.join(F.broadcast(old_heavy.withColumn("_h", F.lit(True))), "print", "left").withColumn("again", F.col("again") | F.coalesce("_h", F.lit(False))).drop("_h")
+            touched = staged(new.cold.join(F.broadcast(old_heavy), "print", "left_semi").select("print").unionByName(new.heavy).distinct(), "substring-touched")
+        wanted = fresh.where("again").select("print")
+        hits = [new.cold.join(wanted, "print", "left_semi"), new.hot]
+        for r in before:
+            hits += [r.cold.join(wanted, "print", "left_semi"), r.cold.join(F.broadcast(new.heavy), "print", "left_semi"), r.hot.join(F.broadcast(touched), "print", "left_semi")]
+        out = hits[0].select("print", "doc_id")
+        for h in hits[1:]:
+            out = out.unionByName(h.select("print", "doc_id"))
+        out = staged(out, "substring-hits", "zstd")
+        self.runs.append(new)
         if len(self.runs) > RUNS:
-            every = self.read().drop("many")
-            self.runs = [self._write(every, sampled(every))]
-        return run
-
-
-def _suspects(index: Index, run: str, history: list[str]) -> DataFrame:
-    """(doc_id, prints) of documents of the new run, and of old ones, with fingerprints that more than one place has, a place of the new run among them."""
-    new, old = index.read([run]), index.read(history)
-    if old is None:
-        hit = new.where("many")
-    else:
-        fresh, before = new.groupBy("print").agg(F.max("many").alias("m")), old.select("print").distinct().withColumn("old", F.lit(True))
-        wanted = fresh.join(before, "print", "left").where("m OR old").select("print")
-        hit = new.unionByName(old).join(wanted, "print")
-    return hit.groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
-
-
-def _later(h: np.ndarray, d: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Of windows, which have an equal one that starts earlier."""
+            self.compact()
+        return out
+
+    def compact(self) -> None:
+        """Merges all runs into one; the old ones go."""
+        every = self.runs[0].cold.unionByName(self.runs[0].hot)
+        for r in self.runs[1:]:
+            every = every.unionByName(r.cold).unionByName(r.hot)
+        old, self.runs = self.runs, [self._write(every)]
+        for r in old:
+            for at in r.paths:
+                discard(self.spark, at)
+
+
+def _later(h: np.ndarray, d: np.ndarray, s: np.ndarray, at: np.ndarray, code: np.ndarray, window: int) -> np.ndarray:
+    """Of windows (hash, document, start, and where their words' numbers begin in `code`), which have an equal one that starts earlier. Hashes only group them: the words are compared."""
     order = np.lexsort((s, d, h))
     same = np.zeros(len(h), bool)
     same[1:] = h[order][1:] == h[order][:-1]
     head = np.flatnonzero(~same)
     first = order[np.repeat(head, np.diff(np.append(head, len(h))))]
+    again = order[same]
+    left, right = at[again], at[first[same]]
+    if not all((code[left + k] == code[right + k]).all() for k in range(window)):
+        number: dict[bytes, int] = {}
+        exact = np.array([number.setdefault(code[x : x + window].tobytes(), len(number)) for x in at.tolist()], np.uint64)
+        return _later(exact, d, s, at, code, window)
     out = np.zeros(len(h), bool)
     out[order] = same & ((d[order] != d[first]) | (s[order] != s[first]))
     return out
@@ -140,23 +172,32 @@ def _runs(d: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(d)))
 
 
-def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """Blocks of windows, and repeats, of docs (doc_id, text, prints).
+_PLAIN = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
+
+
+def _windows(docs: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
+    """Blocks of windows, and repeats, of docs (doc_id, text, prints); prints of heavy fingerprints are given as -1 - print.
 
     Each task compares its suspect windows and keeps the first of equal ones; later ones are repeats whatever other tasks
     hold, and go out as such (block -1). The others go by the high bits of their fingerprint, so that equal windows meet and
-    windows in a row stay in a row: their hashes, and (document, start, length) of each row.
+    windows in a row stay in a row: the words of each row, and its (document, start, length). Those of a heavy fingerprint go
+    by a hash of all their words instead, as many windows may share the fingerprint alone.
     """
 
     def make(batches):
         kept: list[tuple] = []
-        size = 0
+        slices: list[tuple] = []
+        number: dict[bytes, int] = {}
+        have = [0, 0]  # windows, words
 
         def flush():
-            h, d, s, f = (np.concatenate(x) for x in zip(*kept))
-            later = _later(h, d, s)
+            h, d, s, f, at = (np.concatenate(x) for x in zip(*kept))
+            code = np.concatenate([c for c, *_ in slices])
+            later = _later(h, d, s, at, code, window)
             yield from _marks(d[later], s[later])
-            yield from _blocks(h[~later], d[~later], s[~later], f[~later])
+            first = ~later
+            block = np.where(f >= 0, f * blocks >> BITS, (h >> np.uint64(64 - BITS)).astype(np.int64) * blocks >> BITS)
+            yield from _blocks(block[first], d[first], s[first], at[first], slices, window)
 
         for batch in batches:
             ids, raws, prints = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1)), batch.column(2).to_pylist()
@@ -165,27 +206,35 @@ def _windows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     continue
                 w = Words(raws[a:b])
                 grams, full = w.grams(gram), w.grams(window)
+                numbers = np.array([number.setdefault(x, len(number)) for x in w.distinct], np.int64)
+                slices.append((numbers[w.code], w.buffer.translate(_PLAIN), w.start, w.end))
                 for i in range(b - a):
                     if not prints[a + i]:
                         continue
                     lo = int(w.bounds[i])
                     place, _ = anchors(grams, lo, int(w.bounds[i + 1]), window, gram)
                     own = _short(grams[lo + place])
-                    start = np.flatnonzero(np.isin(own, np.array(prints[a + i], np.int64)))
-                    kept.append((full[lo + start], np.full(len(start), int(ids[a + i]), np.int64), start, own[start]))
-                    size += len(start)
-            if size > 1_000_000:
-                yield from flush()
-                kept, size = [], 0
+                    given = np.array(prints[a + i], np.int64)
+                    heavy = given[given < 0]
+                    start = np.flatnonzero(np.isin(own, np.where(given < 0, -1 - given, given)))
+                    f = own[start]
+                    if len(heavy):
+                        f = np.where(np.isin(f, -1 - heavy), -1, f)
+                    kept.append((full[lo + start], np.full(len(start), int(ids[a + i]), np.int64), start, f, have[1] + lo + start))
+                    have[0] += len(start)
+                have[1] += len(w.code)
+                if have[0] > FLUSH:
+                    yield from flush()
+                    kept, slices, number, have = [], [], {}, [0, 0]
         if kept:
             yield from flush()
 
     return docs.select("doc_id", "text", "prints").mapInArrow(make, _BLOCK)
 
 
-_BLOCK = "block int, doc_id long, hashes binary, rows binary"
-_NAMES = ["block", "doc_id", "hashes", "rows"]
-_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+_BLOCK = "block long, doc_id long, words binary, rows binary"
+_NAMES = ["block", "doc_id", "words", "rows"]
+_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 _ROW = np.dtype([("doc", "<i8"), ("start", "<i4"), ("length", "<i4")])
 
 
@@ -207,18 +256,21 @@ def _marks(d: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield _batch([[-1] * len(cut), owner[cut].tolist(), [None] * len(cut), [pairs[x:y].tobytes() for x, y in zip(cut.tolist(), ends.tolist())]])
 
 
-def _blocks(h: np.ndarray, d: np.ndarray, s: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-    block = f * BLOCKS >> BITS
+def _blocks(block: np.ndarray, d: np.ndarray, s: np.ndarray, at: np.ndarray, slices: list[tuple], window: int) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((s, d, block))
-    h, d, s, block = h[order], d[order], s[order], block[order]
-    cut = np.searchsorted(block, np.arange(BLOCKS + 1))
+    block, d, s, at = block[order], d[order], s[order], at[order]
+    base = np.cumsum([0, *(len(x[0]) for x in slices)])
+    cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, np.int64)
     out: list[list] = [[], [], [], []]
-    for i in np.flatnonzero(np.diff(cut)).tolist():
-        x, y = cut[i], cut[i + 1]
-        at, n = _runs(d[x:y], s[x:y])
-        rows = np.empty(len(at), _ROW)
-        rows["doc"], rows["start"], rows["length"] = d[x:y][at], s[x:y][at], n
-        for c, v in zip(out, (i, None, h[x:y].astype("<u8").tobytes(), rows.tobytes())):
+    for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        row, n = _runs(d[x:y], s[x:y])
+        rows = np.empty(len(row), _ROW)
+        rows["doc"], rows["start"], rows["length"] = d[x:y][row], s[x:y][row], n
+        words, begin = [], at[x:y][row]
+        for k, p, m in zip((np.searchsorted(base, begin, "right") - 1).tolist(), begin.tolist(), n.tolist()):
+            _, text, start, end = slices[k]
+            words.append(text[start[p - base[k]] : end[p - base[k] + m + window - 2]])
+        for c, v in zip(out, (int(block[x]), None, b"\n".join(words), rows.tobytes())):
             c.append(v)
         if len(out[0]) >= 256:
             yield _batch(out)
@@ -227,23 +279,23 @@ def _blocks(h: np.ndarray, d: np.ndarray, s: np.ndarray, f: np.ndarray) -> Itera
         yield _batch(out)
 
 
-def _repeats(blocks: DataFrame) -> DataFrame:
+def _repeats(blocks: DataFrame, window: int) -> DataFrame:
     """(doc_id, starts): stretches of windows that an earlier place has, from blocks of all tasks."""
 
     def merge(batches):
         block, parts = None, []
 
         def close():
-            h = np.concatenate([np.frombuffer(p[0], "<u8") for p in parts])
+            w = Words([t for p in parts for t in p[0].split(b"\n")])
             rows = np.concatenate([np.frombuffer(p[1], _ROW) for p in parts])
             n = rows["length"].astype(np.int64)
-            d = np.repeat(rows["doc"], n)
-            s = np.repeat(rows["start"].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(len(h))
-            later = _later(h, d, s)
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            d, s, at = np.repeat(rows["doc"], n), np.repeat(rows["start"].astype(np.int64), n) + inside, np.repeat(w.bounds[:-1], n) + inside
+            later = _later(w.grams(window)[at], d, s, at, w.code, window)
             yield from _marks(d[later], s[later])
 
         for batch in batches:
-            for b, doc, h, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, doc, words, rows in zip(*(c.to_pylist() for c in batch.columns)):
                 if b < 0:
                     yield _batch([[b], [doc], [None], [rows]])
                     continue
@@ -251,11 +303,11 @@ def _repeats(blocks: DataFrame) -> DataFrame:
                     yield from close()
                     parts = []
                 block = b
-                parts.append((h, rows))
+                parts.append((words, rows))
         if parts:
             yield from close()
 
-    spread = F.when(F.col("block") >= 0, F.col("block").cast("long")).otherwise(F.xxhash64("doc_id"))
+    spread = F.when(F.col("block") >= 0, F.col("block")).otherwise(F.xxhash64("doc_id"))
     merged = blocks.withColumn("_to", spread).repartition("_to").drop("_to").sortWithinPartitions("block").mapInArrow(merge, _BLOCK)
     return merged.select("doc_id", F.col("rows").alias("starts"))
 
@@ -289,11 +341,29 @@ def _kept(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     return docs.select("doc_id", "text", "runs").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
+def _verified(base: DataFrame, past: DataFrame | None, hits: DataFrame, heavy: DataFrame, window: int, gram: int, with_text: bool) -> DataFrame:
+    """What deduplicate returns of base (doc_id, text), from hits (print, doc_id) of base and past."""
+    blocks = max(LEAST_BLOCKS, hits.count() // BLOCK_PRINTS)  # only where windows meet depends on it
+    told = hits.join(F.broadcast(heavy.withColumn("_h", F.lit(True))), "print", "left").select("doc_id", F.when(F.col("_h"), -1 - F.col("print")).otherwise(F.col("print")).alias("print"))
+    suspects = told.groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
+    # Both joins below take the texts by doc_id, from one exchange: so nothing here may filter what goes into it.
+    todo = base.join(suspects, "doc_id", "left").select("doc_id", "text", "prints")
+    if past is not None:
+        todo = todo.unionByName(past.join(suspects, "doc_id").select("doc_id", "text", "prints"))
+    runs = _repeats(_windows(todo, window, gram, blocks), window).groupBy("doc_id").agg(F.collect_list("starts").alias("runs"))
+    out = _kept(base.join(runs, "doc_id", "left"), window, with_text)
+    return out if with_text else out.drop("kept_text")
+
+
+def _based(docs: DataFrame) -> DataFrame:
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def deduplicate(docs: DataFrame, index: Index | None = None, history: DataFrame | None = None, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and kept_text if with_text.
+    """One row per row of docs (doc_id, text), a batch: doc_id, n_words, n_removed, kept_sha256, and kept_text if with_text.
 
     Words split at ASCII white space. A word goes if a window that covers it starts earlier too: in a document with a smaller
-    doc_id, or earlier in its own; all windows are judged on the input. index: holds earlier batches, whose texts are history
+    doc_id, or earlier in its own; all windows are judged on the input, word for word. index: holds earlier batches, whose texts are history
     (doc_id, text), without which an index with runs raises; it gets this batch as a new run. A batch is judged against all before it by doc_id, so batches should
     come in its order. Null texts have no word; a text of fewer than `window` words keeps all. Rows without doc_id keep all
     words; of rows that repeat a doc_id, equal windows at equal places are not earlier than each other. An empty table gives
@@ -302,20 +372,29 @@ def deduplicate(docs: DataFrame, index: Index | None = None, history: DataFrame
     index = index or Index(docs.sparkSession)
     if index.runs and history is None:
         raise ValueError("the index holds earlier batches: history must have their texts")
-    base = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    earlier = list(index.runs)
-    named = base.where("doc_id IS NOT NULL")
-    run = index.add(fingerprints(named, window, gram), fingerprints(sampled(named), window, gram))
-    suspects = _suspects(index, run, earlier)
-    # Both joins below take the texts by doc_id, from one exchange: so nothing here may filter what goes into it.
-    todo = base.join(suspects, "doc_id", "left").select("doc_id", "text", "prints")
-    if earlier:
-        past = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        todo = todo.unionByName(past.join(suspects, "doc_id").select("doc_id", "text", "prints"))
-    runs = _repeats(_windows(todo, window, gram)).groupBy("doc_id").agg(F.collect_list("starts").alias("runs"))
-    out = _kept(base.join(runs, "doc_id", "left"), window, with_text)
-    return out if with_text else out.drop("kept_text")
+    base, past = _based(docs), _based(history).where("doc_id IS NOT NULL") if index.runs else None
+    hits = index.add(staged(fingerprints(base.where("doc_id IS NOT NULL"), window, gram), "substring-prints", "zstd"))
+    return _verified(base, past, hits, index.heavy(), window, gram, with_text)
+
+
+def deduplicate_in_batches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    """What deduplicate gives for all of docs, fed to one index in `batches` batches in the order of doc_id (cut at its approximate quantiles).
+
+    Each batch is merge-joined with the runs of those before it, and runs are compacted as they come; what the joins suggest is
+    verified for all batches at once, so that texts cross the network once.
+    """
+    base = _based(docs)
+    prints = staged(fingerprints(base.where("doc_id IS NOT NULL"), window, gram), "substring-prints", "zstd")
+    cuts = prints.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] or [] if batches > 1 else []
+    cuts = [None, *sorted(set(cuts)), None]
+    index, hits = Index(docs.sparkSession), None
+    for low, high in zip(cuts, cuts[1:]):
+        batch = prints if low is None else prints.where(F.col("doc_id") > low)
+        batch = batch if high is None else batch.where(F.col("doc_id") <= high)
+        found = index.add(batch)
+        hits = found if hits is None else hits.unionByName(found)
+    return _verified(base, None, hits, index.heavy(), window, gram, with_text)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(documents(spark, sf_dir))
+    return deduplicate_in_batches(documents(spark, sf_dir))

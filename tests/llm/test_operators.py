@@ -53,11 +53,28 @@ def test_substring_dedup_is_brute_force(spark):
     assert sum(x[1] for x in want.values()) > 100
 
 
+def test_substring_query_feeds_batches_to_an_index(spark, monkeypatch):
+    compacted, compact = [], substring.Index.compact
+    monkeypatch.setattr(substring.Index, "compact", lambda self: (compacted.append(len(self.runs)), compact(self)))
+    found = got(substring.deduplicate_in_batches(table(spark)))
+    assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in found.items()} == without_repeats(TEXTS)
+    assert compacted == [substring.RUNS + 1]
+
+
+def test_substring_tells_twins_apart_and_heavy_fingerprints_meet(spark, monkeypatch):
+    monkeypatch.setattr(substring, "FLUSH", 50)
+    monkeypatch.setattr(substring, "SAMPLE", 1)
+    head = " ".join(f"w{i}" for i in range(19))
+    texts = {1: f"{head} {TWIN_A}", 2: f"{head} {TWIN_B}", 3: f"{head} {TWIN_A}", **{10 + i: f"{head} z {head} {i % 3}" for i in range(20)}}
+    found = got(substring.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in found.items()} == without_repeats(texts)
+
+
 def test_substring_batches_equal_one_batch_and_runs_compact(spark):
     whole = got(substring.deduplicate(table(spark)))
     index, parts = substring.Index(spark), {}
-    for a in range(0, 60, 10):
-        batch = table(spark).where((F.col("doc_id") >= a) & (F.col("doc_id") < a + 10))
+    for a in range(0, 60, 15):
+        batch = table(spark).where((F.col("doc_id") >= a) & (F.col("doc_id") < a + 15))
         past = table(spark).where(F.col("doc_id") < a)
         parts |= got(substring.deduplicate(batch, index, past))
     assert parts == whole
@@ -72,7 +89,7 @@ def test_substring_index_without_history_raises(spark):
 
 
 def test_substring_edges(spark):
-    assert substring.deduplicate(empty(spark)).count() == 0
+    assert substring.deduplicate(empty(spark)).count() == substring.deduplicate_in_batches(empty(spark)).count() == 0
     twice = table(spark).unionByName(table(spark).where("doc_id = 12"))
     rows12 = [r for r in substring.deduplicate(twice).collect() if r.doc_id == 12]
     assert len(rows12) == 2 and rows12[0] == rows12[1]
