@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, documents, staged
 
-#: Share of all words that the mix has, how often a word may be taken, blocks that a source is cut into, and words of an output shard, about.
-SHARE, REPEATS, BLOCKS, SHARD_WORDS = 1.5, 2, 512, 4_000_000
-#: Blocks are ordered in one window per source and in one at the tree's root, so their number ends here.
-MOST_BLOCKS = 8192
+#: Share of all words that the mix has, how often a word may be taken, and blocks that a source is cut into; as many parts has the block in which a source's words end.
+SHARE, REPEATS, BLOCKS = 1.5, 2, 1024
+#: Output shards, a power of two: LEAST_SHARDS, doubled as long as one has more than SHARD_WORDS words.
+LEAST_SHARDS, SHARD_WORDS = 8, 4_000_000
 
 
 def _number(seed: str, *parts: Column) -> Column:
@@ -38,85 +40,119 @@ def source_targets(sized: DataFrame, share: float = SHARE, repeats: int = REPEAT
     return per.withColumn("target", F.least(F.col("cap").cast("double"), level * F.col("weight"))).select("source", "weight", "source_size", "target")
 
 
-def shard_tree(units: DataFrame, shards: int, seed: str) -> DataFrame:
-    """units (any columns and a unique string `unit`) with a shard: halved level by level until there are `shards` leaves or more.
+def split_quotas(slots: DataFrame, shards: int, seed: str) -> DataFrame:
+    """slots (any columns and a unique string `slot`) with a shard: halved level by level until there are `shards` leaves or more.
 
-    At each node the units are put in an order by digest and the first half goes left. The counts of each source on the left
-    are then a draw from the multivariate hypergeometric distribution, its quotas stay exact, and no unit is drawn twice.
+    A slot stands for one block of a source's quota, not for a certain block. At each node the slots are put in an order by
+    digest and the first half goes left: the counts of each source on the left are a draw from the multivariate
+    hypergeometric distribution, and quotas stay exact. The root orders all slots, at most repeats * BLOCKS of each source.
     """
-    out, level, width = units.withColumn("shard", F.lit(0)), 0, 1
+    out, level, width = slots.withColumn("shard", F.lit(0)), 0, 1
     while width < shards:
         node = Window.partitionBy("shard")
-        rank = F.row_number().over(node.orderBy(_number(f"{seed}-{level}", F.col("unit")), "unit"))
+        rank = F.row_number().over(node.orderBy(_number(f"{seed}-{level}", F.col("slot")), "slot"))
         n = F.count(F.lit(1)).over(node)
-        out = out.withColumns({"rank": rank, "n": n}).withColumn("shard", F.col("shard") * 2 + (F.col("rank") > (F.col("n") + 1).cast("int") / 2).cast("int")).drop("rank", "n")
+        out = out.withColumns({"rank": rank, "n": n}).withColumn("shard", F.col("shard") * 2 + (F.col("rank") > F.floor((F.col("n") + 1) / 2)).cast("int")).drop("rank", "n")
         width, level = width * 2, level + 1
     return out
 
 
-def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, blocks: int = BLOCKS, shards: int | None = None, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """Two tables of docs (doc_id, text, source): the sized documents, and the draws.
+class Mixture(NamedTuple):
+    """sized: _id, _source, _size, _block, _part, _mark of each row; targets: see source_targets; draws: of each drawn block of a
+    source, whole (copy, shard of each time that all of it is taken) and edge (copy, shard where it is the source's last, else null);
+    parts: of the last blocks, `left`, the words that are left where each part begins."""
+
+    sized: DataFrame
+    targets: DataFrame
+    draws: DataFrame
+    parts: DataFrame
+    shards: int
+    seed: str
+
+
+def _sized(docs: DataFrame, blocks: int, seed: str) -> DataFrame:
+    """docs with source and size, the block and part that a digest of doc_id and size gives, and a mark of the text for ties."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": size, "_mark": F.xxhash64("text")})
+    return out.withColumns({f"_{k}": F.pmod(_number(f"{seed}-{k}", F.col("_id"), F.col("_size")), F.lit(blocks)) for k in ("block", "part")})
+
 
-    sized: doc_id, source, size, source_size, target. draws: doc_id, copy (from 0), words (taken in this copy, the first ones
-    of its text), shard, place (the order within the shard). A row of docs with nothing taken has no draw.
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
 
-    A source's documents fall into permuted blocks by a digest of doc_id and text size. Whole passes take every block; the last
-    pass takes blocks in the order of their digests until the words left end, and the block where they end document by
-    document; one document gives only its first words, so that a source's taken words are its target, rounded down. The number
-    of blocks grows with the table up to MOST_BLOCKS a source, so that one block holds a small share of any source. shards
-    None: as many as SHARD_WORDS asks for, so that shards keep their size as the mix grows. Null texts and empty ones have size 0
-    and are never drawn; a null source is a source; a repeated row is a document of its own, and shares its size's draw.
+
+def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, blocks: int = BLOCKS, shards: int | None = None, seed: str = "mix") -> Mixture:
+    """What the mix takes of docs (doc_id, text, source).
+
+    A source's documents fall into permuted blocks by a digest of doc_id and text size. Its quota is the number of blocks whose
+    words make its target: whole passes have every block, the last pass those that come first in the pass's order until the
+    words left end. The tree splits the quotas among the shards, which fixes how many blocks of each source a shard draws; the
+    shards then draw, one after another, disjoint stretches of the source's permuted blocks, pass by pass. Of the block where
+    the words end documents are taken part by part and one by one, in digest order; one document gives only its first words,
+    so that a source's taken words are its target, rounded down.
+
+    Null texts and empty ones have size 0 and are never drawn; a null source is a source; a repeated row, or one without
+    doc_id, is a document of its own. An empty table draws nothing. shards None: LEAST_SHARDS or more, of SHARD_WORDS at most.
     """
-    sized, draws = _by_row(docs, share, repeats, blocks, shards, seed)
-    return sized.drop("row"), draws.drop("row")
-
-
-def _by_row(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, blocks: int = BLOCKS, shards: int | None = None, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """The tables of `mixture` with `row`, which names a row of docs where doc_id doesn't: it is null or on several."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = staged(sized.withColumn("row", F.monotonically_increasing_id()), "mix-sized")
-    targets = staged(source_targets(sized, share, repeats), "mix-targets")
-    total = sized.count()
-    shards = shards or max(1, int((targets.agg(F.sum("target")).first()[0] or 0) // SHARD_WORDS))
-    blocks = min(MOST_BLOCKS, max(blocks, total // 20_000))
-    same = F.col("s.source").eqNullSafe(F.col("t.source"))
-    with_target = sized.alias("s").join(targets.alias("t"), same).select("s.*", "source_size", "target", (F.col("target") / F.col("source_size")).alias("passes"))
-    drawn = with_target.where("size > 0").withColumns({
-        "whole": F.floor(F.coalesce("passes", F.lit(0.0))).cast("int"),
-        "words_left": F.floor(F.col("target")).cast("long") - F.floor(F.coalesce("passes", F.lit(0.0))).cast("long") * F.col("source_size"),
-        "block": F.pmod(_number(f"{seed}-block", F.col("doc_id"), F.col("size")), F.lit(blocks)),
-    })
-    per_block = drawn.groupBy("source", "block", "words_left", "whole").agg(F.sum("size").alias("block_size"))
-    order = [_number(f"{seed}-order", F.col("source"), F.col("block")), F.col("block")]
-    upto = F.coalesce(F.sum("block_size").over(Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_block = staged(per_block.withColumn("start", upto), "mix-blocks")
-
-    units = per_block.select("source", "block", F.explode(F.sequence(F.lit(0), F.col("whole"))).alias("copy"), "whole", "words_left", "start")
-    units = units.where("copy < whole OR start < words_left").withColumn("unit", F.concat_ws("|", F.col("copy"), F.col("block"), F.coalesce("source", F.lit("-"))))
-    units = staged(shard_tree(units, shards, seed), "mix-units")
-
-    inside = Window.partitionBy("b.source", "b.block", "u.copy").orderBy(_number(f"{seed}-in", F.col("b.doc_id"), F.col("b.size")), "b.doc_id", "b.size", "b.row").rowsBetween(Window.unboundedPreceding, -1)
-    hit = F.col("b.source").eqNullSafe(F.col("u.source")) & (F.col("b.block") == F.col("u.block"))
-    taken = drawn.alias("b").join(units.alias("u"), hit).select(
-        "b.row", "b.doc_id", "b.size", "u.copy", "u.shard", (F.col("u.copy") < F.col("u.whole")).alias("all"), "u.words_left",
-        (F.col("u.start") + F.coalesce(F.sum("b.size").over(inside), F.lit(0))).alias("from"),
-    )
-    words = F.when(F.col("all"), F.col("size")).otherwise(F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("words_left") - F.col("from"))))
-    draws = taken.select("row", "doc_id", "size", "copy", words.alias("words"), "shard", _number(f"{seed}-place", F.col("doc_id"), F.col("copy")).alias("place")).where("words > 0")
-    return with_target.drop("passes"), draws
+    sized = staged(_sized(docs, blocks, seed).select("_id", "_source", "_size", "_block", "_part", "_mark"), "mix-sized")
+    targets = staged(source_targets(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size")), share, repeats), "mix-targets")
+    total = targets.agg(F.sum("target")).first()[0] or 0
+    if shards is None:
+        shards = LEAST_SHARDS
+        while shards * SHARD_WORDS < total:
+            shards *= 2
+    per = sized.groupBy("_source", "_block").agg(F.sum("_size").alias("words")).where("words > 0")
+    passes = F.floor(F.coalesce(F.col("target") / F.col("source_size"), F.lit(0.0))).cast("int")
+    told = per.join(targets, _same("_source", "source")).select("_source", "_block", "words", passes.alias("passes"), (F.floor("target").cast("long") - passes * F.col("source_size")).alias("left"))
+    copies = told.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes"))))
+    turn = Window.partitionBy("_source", "copy").orderBy(_number(f"{seed}-order", F.col("_source"), F.col("copy"), F.col("_block")), "_block")
+    before = F.coalesce(F.sum("words").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = copies.withColumns({"turn": F.row_number().over(turn), "before": before}).where("copy < passes OR before < left")
+    place = F.row_number().over(Window.partitionBy("_source").orderBy("copy", "turn"))
+    drawn = staged(drawn.select("_source", "_block", "copy", place.alias("place"), F.expr("copy < passes OR before + words <= left").alias("all"), (F.col("left") - F.col("before")).alias("left")), "mix-quotas")
+
+    slots = drawn.select("_source", F.concat_ws("|", "place", F.coalesce("_source", F.lit("-"))).alias("slot"))
+    quotas = split_quotas(slots, shards, seed).groupBy("_source", "shard").agg(F.count(F.lit(1)).alias("quota"))
+    upto = F.sum("quota").over(Window.partitionBy("_source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    stretch = quotas.withColumn("upto", upto).select(F.col("_source").alias("s"), "shard", F.explode(F.sequence(F.col("upto") - F.col("quota") + 1, F.col("upto"))).alias("p"))
+    taken = drawn.join(stretch, _same("_source", "s") & (F.col("place") == F.col("p")))
+    turns = F.collect_list(F.when(F.col("all"), F.struct("copy", "shard")))
+    draws = taken.groupBy("_source", "_block").agg(F.array_sort(turns).alias("whole"), F.max(F.when(~F.col("all"), F.struct("copy", "shard"))).alias("edge"), F.max(F.when(~F.col("all"), F.col("left"))).alias("left"))
+    draws = staged(draws, "mix-draws")
+
+    ends = draws.where("edge IS NOT NULL").select(F.col("_source").alias("s"), F.col("_block").alias("b"), "left")
+    parts = sized.join(ends, _same("_source", "s") & (F.col("_block") == F.col("b"))).groupBy("_source", "_part", "left").agg(F.sum("_size").alias("words"))
+    by_part = Window.partitionBy("_source").orderBy(_number(f"{seed}-turn", F.col("_source"), F.col("_part")), "_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = staged(parts.select("_source", "_part", (F.col("left") - F.coalesce(F.sum("words").over(by_part), F.lit(0))).alias("left")), "mix-parts")
+    return Mixture(sized, targets, draws.drop("left"), parts, shards, seed)
+
+
+def _with_draws(rows: DataFrame, m: Mixture) -> DataFrame:
+    """rows (with what _sized adds) with whole, edge, and last: the words taken of the row in the edge copy. Only rows of a source's last block are put in an order, part by part."""
+    drawn = m.draws.select(F.col("_source").alias("_s"), F.col("_block").alias("_b"), "whole", "edge")
+    where = _same("_source", "_s") & (F.col("_block") == F.col("_b"))
+    plain = rows.join(drawn, where, "left").where("edge IS NULL").drop("_s", "_b").withColumn("last", F.lit(0).cast("long"))
+    parts = m.parts.select(F.col("_source").alias("_t"), F.col("_part").alias("_p"), "left")
+    edge = rows.join(drawn.where("edge IS NOT NULL"), where).drop("_s", "_b").join(parts, _same("_source", "_t") & (F.col("_part") == F.col("_p"))).drop("_t", "_p")
+    turn = Window.partitionBy("_source", "_block", "_part").orderBy(_number(f"{m.seed}-in", F.col("_id"), F.col("_size")), "_id", "_size", "_mark").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("left") - F.coalesce(F.sum("_size").over(turn), F.lit(0))
+    edge = edge.withColumn("last", F.greatest(F.lit(0), F.least("_size", left)).cast("long")).drop("left")
+    return plain.unionByName(edge)
 
 
 def mixed_shards(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs repeated as drawn, cut to the words taken (n_chars, where there is one, follows), each shard in its own random order; columns of docs, then _copy, _shard."""
-    _, draws = mixture(docs, **options)
-    body = draws.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "copy", "words", "shard", "place")])
-    joined = docs.join(body, docs["doc_id"] == F.col("_doc_id"))
-    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("_words").cast("int")), " ")
-    joined = joined.withColumn("text", F.when(F.regexp_count("text", F.lit(WORD)) <= F.col("_words"), F.col("text")).otherwise(some))
+    m = mixture(docs, **options)
+    rows = _with_draws(_sized(docs, options.get("blocks", BLOCKS), m.seed).where("_size > 0"), m)
+    whole = F.transform(F.coalesce("whole", F.array().cast("array<struct<copy:int,shard:int>>")), lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"), F.col("_size").alias("words")))
+    last = F.when(F.col("last") > 0, F.array(F.struct(F.col("edge.copy").alias("copy"), F.col("edge.shard").alias("shard"), F.col("last").alias("words")))).otherwise(F.array().cast("array<struct<copy:int,shard:int,words:bigint>>"))
+    out = rows.withColumn("_turn", F.explode(F.concat(whole, last)))
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), F.col("_turn.words").cast("int")), " ")
+    out = out.withColumn("text", F.when(F.col("_turn.words") >= F.col("_size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    joined = joined.repartition("_shard").sortWithinPartitions("_shard", "_place")
-    return joined.select(*docs.columns, "_copy", "_shard")
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_turn.copy").alias("_copy"), F.col("_turn.shard").alias("_shard"), _number(f"{m.seed}-place", F.col("_id"), F.col("_turn.copy")).alias("_place"))
+    return out.repartitionById(m.shards, "_shard").sortWithinPartitions("_shard", "_place").drop("_place")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +160,22 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_summary(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, and the words taken of this row, one without doc_id too."""
-    sized, draws = _by_row(docs, **options)
-    taken = draws.groupBy("row").agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("copies"), F.min("shard").alias("shard"))
-    return sized.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """One row per row of docs: doc_id, size, source_size, target, the words taken of this row, how often it is drawn, and the shards of its first and last copy (null: none)."""
+    m = mixture(docs, **options)
+    rows = _with_draws(m.sized, m)
+    times = F.when(F.col("_size") > 0, F.coalesce(F.size("whole"), F.lit(0))).otherwise(F.lit(0))
+    first = F.when(times > 0, F.element_at("whole", 1)["shard"]).when(F.col("last") > 0, F.col("edge.shard"))
+    final = F.when(F.col("last") > 0, F.col("edge.shard")).when(times > 0, F.element_at("whole", -1)["shard"])
+    return rows.join(m.targets, _same("_source", "source")).select(
+        F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (times * F.col("_size") + F.col("last")).cast("long").alias("taken"),
+        (times + (F.col("last") > 0).cast("int")).cast("int").alias("draws"), first.cast("int").alias("first_shard"), final.cast("int").alias("last_shard"),
+    )
 
 
 OP3_SQL = rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
-), n AS (SELECT least({MOST_BLOCKS}, greatest({BLOCKS}, count(*) // 20000)) AS blocks FROM d), per AS (
+), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), weighed AS (
   SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2 * source_size AS cap FROM per
@@ -145,25 +187,59 @@ WITH d AS (
   FROM weighed
 ), ends AS (SELECT level FROM levels WHERE level * weight <= cap ORDER BY place LIMIT 1), targets AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM ends) * weight) AS target FROM levels
+), height AS (
+  SELECT CAST(greatest(log2({LEAST_SHARDS}), ceil(log2(greatest(1, sum(target)) / {SHARD_WORDS}))) AS INTEGER) AS levels FROM targets
 ), b AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target / t.source_size) AS BIGINT) AS whole,
-         CAST(floor(t.target) AS BIGINT) - CAST(floor(t.target / t.source_size) AS BIGINT) * t.source_size AS words_left,
-         ('0x' || substr(md5('mix-block|' || d.doc_id || '|' || d.size), 1, 13))::BIGINT % (SELECT blocks FROM n) AS block
-  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT *, ('0x' || substr(md5('mix-block|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || size), 1, 13))::BIGINT % {BLOCKS} AS block,
+         ('0x' || substr(md5('mix-part|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || size), 1, 13))::BIGINT % {BLOCKS} AS part FROM d
 ), blocks AS (
-  SELECT source, block, CAST(sum(size) AS BIGINT) AS block_size FROM b GROUP BY source, block
-), starts AS (
-  SELECT source, block, coalesce(CAST(sum(block_size) OVER (PARTITION BY source
-           ORDER BY ('0x' || substr(md5('mix-order|' || coalesce(source, '-') || '|' || block), 1, 13))::BIGINT, block
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start
-  FROM blocks
+  SELECT source, block, CAST(sum(size) AS BIGINT) AS words FROM b GROUP BY source, block HAVING sum(size) > 0
+), told AS (
+  SELECT k.*, CAST(floor(t.target / t.source_size) AS BIGINT) AS passes,
+         CAST(floor(t.target) AS BIGINT) - CAST(floor(t.target / t.source_size) AS BIGINT) * t.source_size AS words_left
+  FROM blocks k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, unnest(range(passes + 1)) AS copy FROM told
+), turns AS (
+  SELECT *, ('0x' || substr(md5('mix-order|' || coalesce(source, '-') || '|' || copy || '|' || block), 1, 13))::BIGINT AS digest FROM copies
+), turned AS (
+  SELECT *, coalesce(CAST(sum(words) OVER (PARTITION BY source, copy ORDER BY digest, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before,
+         row_number() OVER (PARTITION BY source, copy ORDER BY digest, block) AS turn FROM turns
+), drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY copy, turn) AS place, (copy < passes OR before + words <= words_left) AS whole
+  FROM turned WHERE copy < passes OR before < words_left
+), tree AS (
+  SELECT source, place || '|' || coalesce(source, '-') AS slot, CAST(0 AS BIGINT) AS shard, 0 AS level FROM drawn
+  UNION ALL
+  SELECT source, slot, shard * 2 + CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5('mix-' || level || '|' || slot), 1, 13))::BIGINT, slot)
+                                         > (count(*) OVER (PARTITION BY shard) + 1) // 2 THEN 1 ELSE 0 END, level + 1
+  FROM tree WHERE level < (SELECT levels FROM height)
+), leaves AS (
+  SELECT source, shard, row_number() OVER (PARTITION BY source ORDER BY shard) AS place FROM tree WHERE level = (SELECT levels FROM height)
+), draws AS (
+  SELECT n.source, n.block, n.copy, n.whole, n.words_left - n.before AS left_here, q.shard
+  FROM drawn n JOIN leaves q ON n.source IS NOT DISTINCT FROM q.source AND n.place = q.place
+), per_block AS (
+  SELECT source, block, count(*) FILTER (whole) AS times, arg_min(shard, copy) FILTER (whole) AS first_whole, arg_max(shard, copy) FILTER (whole) AS last_whole,
+         max(shard) FILTER (NOT whole) AS edge, max(left_here) FILTER (NOT whole) AS left_here FROM draws GROUP BY source, block
+), parts AS (
+  SELECT b.source, b.part, max(p.left_here) AS left_here, CAST(sum(b.size) AS BIGINT) AS words
+  FROM b JOIN per_block p ON b.source IS NOT DISTINCT FROM p.source AND b.block = p.block WHERE p.edge IS NOT NULL GROUP BY b.source, b.part
+), part_turns AS (
+  SELECT source, part, left_here - coalesce(CAST(sum(words) OVER (PARTITION BY source
+           ORDER BY ('0x' || substr(md5('mix-turn|' || coalesce(source, '-') || '|' || part), 1, 13))::BIGINT, part
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS left_part FROM parts
 ), placed AS (
-  SELECT b.*, s.start + coalesce(CAST(sum(b.size) OVER (PARTITION BY b.source, b.block
-           ORDER BY ('0x' || substr(md5('mix-in|' || b.doc_id || '|' || b.size), 1, 13))::BIGINT, b.doc_id, b.size
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "from"
-  FROM b JOIN starts s ON b.source IS NOT DISTINCT FROM s.source AND b.block = s.block
+  SELECT b.*, t.source_size, t.target, CASE WHEN b.size > 0 THEN coalesce(p.times, 0) ELSE 0 END AS times, p.first_whole, p.last_whole, p.edge,
+         CASE WHEN p.edge IS NULL THEN 0 ELSE greatest(0, least(b.size, q.left_part - coalesce(CAST(sum(b.size) OVER (PARTITION BY b.source, b.block, b.part
+           ORDER BY ('0x' || substr(md5('mix-in|' || coalesce(CAST(b.doc_id AS VARCHAR), '-') || '|' || b.size), 1, 13))::BIGINT, b.doc_id, b.size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))) END AS last
+  FROM b JOIN targets t ON b.source IS NOT DISTINCT FROM t.source
+  LEFT JOIN per_block p ON b.source IS NOT DISTINCT FROM p.source AND b.block = p.block
+  LEFT JOIN part_turns q ON b.source IS NOT DISTINCT FROM q.source AND b.part = q.part
 )
-SELECT doc_id, size, source_size, target,
-       CAST(whole * size + greatest(0, least(size, words_left - "from")) AS BIGINT) AS taken
+SELECT doc_id, size, source_size, target, CAST(times * size + last AS BIGINT) AS taken, CAST(times + CAST(last > 0 AS INTEGER) AS INTEGER) AS draws,
+       CAST(CASE WHEN times > 0 THEN first_whole WHEN last > 0 THEN edge END AS INTEGER) AS first_shard,
+       CAST(CASE WHEN last > 0 THEN edge WHEN times > 0 THEN last_whole END AS INTEGER) AS last_shard
 FROM placed
 """
