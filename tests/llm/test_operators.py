@@ -140,37 +140,52 @@ def test_index_leaves_every_match(spark):
 
 
 def test_mix_meets_targets(spark):
-    sized, draws = mix.mixture(table(spark), blocks=4, shards=4)
-    size, draws = got(sized), draws.collect()
-    taken = defaultdict(int)
-    for r in draws:
-        taken[r.doc_id] += r.words
+    found = mix.mix_summary(table(spark), blocks=4, shards=4)
+    size = got(found)
     per, target = defaultdict(int), {}
     for d, r in size.items():
-        assert r.size == len(words(TEXTS[d])) and 0 <= taken[d] <= 2 * r.size
-        per[r.source] += taken[d]
-        target[r.source] = r.target
+        source = rows()[d][3]
+        assert r.size == len(words(TEXTS[d])) and 0 <= r.taken <= 2 * r.size and (r.taken > 0) == (r.first_shard is not None)
+        per[source] += r.taken
+        target[source] = r.target
         assert r.target <= 2 * r.source_size
     assert all(per[s] == int(target[s]) for s in target)
     total = sum(r.size for r in size.values())
     assert abs(sum(target.values()) - 1.5 * total) < 1e-6
-    below = {s: target[s] / w for s, w in zip(sorted((s for s in target if s), key=str), [3, 1, 2, 3]) if target[s] < 2 * next(r.source_size for r in size.values() if r.source == s) - 1e-9}
+    sizes = {rows()[d][3]: r.source_size for d, r in size.items()}
+    below = {s: target[s] / w for s, w in zip(sorted((s for s in target if s), key=str), [3, 1, 2, 3]) if target[s] < 2 * sizes[s] - 1e-9}
     assert len({round(x, 6) for x in below.values()}) <= 1
-    again = mix.mixture(table(spark).repartition(3), blocks=4, shards=4)[1].collect()
-    assert sorted(draws) == sorted(again)
+    assert sorted(map(str, found.collect())) == sorted(map(str, mix.mix_summary(table(spark).repartition(3), blocks=4, shards=4).collect()))
+
+
+def test_shards_hold_what_the_tree_gives_them(spark):
+    m = mix.mixture(table(spark), blocks=4, shards=4)
+    draws = [(r._source, r._block, t.copy, t.shard) for r in m.draws.collect() for t in [*r.whole, *([r.edge] if r.edge else [])]]
+    assert len({x[:3] for x in draws}) == len(draws)  # no block twice in a pass
+    slots = spark.createDataFrame([(s, f"{i}|{s or '-'}") for s in {x[0] for x in draws} for i in range(1, 1 + sum(x[0] == s for x in draws))], "source string, slot string")
+    quota = {(r.source, r.shard): r["count"] for r in mix.split_quotas(slots, 4, "mix").groupBy("source", "shard").count().collect()}
+    have = defaultdict(int)
+    for s, _, _, shard in draws:
+        have[s, shard] += 1
+    assert have == quota
+    out = mix.mixed_shards(table(spark), blocks=4, shards=4)
+    assert out.columns == [*table(spark).columns, "_copy", "_shard"]
+    taken = defaultdict(int)
+    for r in out.collect():
+        taken[r.doc_id] += len(words(r.text))
+    assert taken == {d: r.taken for d, r in got(mix.mix_summary(table(spark), blocks=4, shards=4)).items() if r.taken}
 
 
 def test_tree_keeps_quotas_and_splits_evenly(spark):
-    units = spark.range(101).select(F.concat(F.lit("u"), "id").alias("unit"))
-    per = [r["count"] for r in mix.shard_tree(units, 8, "t").groupBy("shard").count().collect()]
+    slots = spark.range(101).select(F.concat(F.lit("u"), "id").alias("slot"))
+    per = [r["count"] for r in mix.split_quotas(slots, 8, "t").groupBy("shard").count().collect()]
     assert sum(per) == 101 and len(per) == 8 and max(per) - min(per) <= 3
 
 
 def test_mix_edges(spark):
-    assert mix.mixture(empty(spark))[0].count() == 0
-    assert mix.mixture(table(spark).where("doc_id IN (40, 42)"))[1].count() == 0
-    out = mix.mixed_shards(table(spark), blocks=4, shards=4)
-    assert out.columns == [*table(spark).columns, "_copy", "_shard"] and out.count() > 0
+    assert mix.mix_summary(empty(spark)).count() == 0
+    assert mix.mixed_shards(table(spark).where("doc_id IN (40, 42)")).count() == 0
+    assert {r.taken for r in mix.mix_summary(table(spark).where("doc_id IN (40, 42)")).collect()} == {0}
 
 
 def test_mix_counts_rows_without_and_with_repeated_ids(spark):
@@ -456,13 +471,31 @@ def exact_groups(texts):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [1000, 1])
-def test_exact_duplicates_are_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("largest", [10_000, 2])
+def test_exact_duplicates_are_brute_force(spark, largest):
     extra = [(200 + i, TEXTS[1], *[None] * 12) for i in range(30)] + [(-5, TEXTS[1], *[None] * 12)]
-    found = got(exact.exact_duplicates(table(spark, extra), hot_rows=hot_rows, hot_share=100, salts=4))
+    found = got(exact.exact_duplicates(table(spark, extra).repartition(7), salts=4, largest=largest))
     assert {d: tuple(r)[1:] for d, r in found.items()} == exact_groups(TEXTS | {e[0]: e[1] for e in extra})
 
 
+def test_exact_compares_texts_where_digests_agree(spark, monkeypatch):
+    class Weak:
+        sha2 = staticmethod(lambda c, n: F.lit("00" * 32))
+        xxhash64 = staticmethod(lambda *c: F.lit(0).cast("long"))
+        __getattr__ = staticmethod(lambda name: getattr(F, name))
+
+    monkeypatch.setattr(exact, "F", Weak())
+    texts = [(1, "abc"), (2, "a bc"), (3, "xyz"), (4, "xyz"), (5, "long one")]
+    found = got(exact.exact_duplicates(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert {d: (r.keep_id, r.group_size) for d, r in found.items()} == {1: (2, 2), 2: (2, 2), 3: (3, 2), 4: (3, 2), 5: (5, 1)}
+
+
+def test_exact_survivors_are_one_of_each_group(spark):
+    rows = [(None, "a b"), (None, "a  b"), (None, "ab"), (1, "c"), (1, "c"), (1, "d"), (2, "c")]
+    kept = exact.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, [(r := kept[0].__class__)(doc_id=None, text="a  b"), r(doc_id=1, text="c"), r(doc_id=1, text="d")]))
+
+
 def test_exact_edges(spark):
     assert exact.exact_duplicates(empty(spark)).count() == 0
     ids = [2**63 - 1, -(2**63), None]
