@@ -1,7 +1,9 @@
 """The corpus pipeline: stages applied in order to `documents`, each written as Parquet and read again as the next one's input.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-docs. doc_id is taken to name a document: of rows that repeat a doc_id and its text one is left after exact dedup.
+docs. Rows without doc_id go through all stages: exact dedup treats them as any others, near dedup keeps them, the mix draws
+them. Rows that repeat a doc_id are documents of their own until near dedup, which keeps or drops all rows of a doc_id alike.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import bpe_documents
-from lattica.llm.common import documents, staged
-from lattica.llm.exact import exact_duplicates
+from lattica.llm.common import discard, documents, stage_path
+from lattica.llm.exact import without_duplicates
 from lattica.llm.langid import UNDETERMINED, learned, predicted
 from lattica.llm.mix import mixed_shards
 from lattica.llm.near import near_duplicates
@@ -27,15 +29,15 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One row of each group of equal texts."""
+    return without_duplicates(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates: five words a shingle, similarity 0.8."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component of near-duplicates: five words a shingle, similarity 0.8. Rows without doc_id stay."""
+    kept = near_duplicates(docs, words=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +63,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to the documents of sf_dir."""
-    docs = documents(spark, sf_dir)
+    """STAGES applied to the documents of sf_dir; what a stage wrote goes when the next one has read it."""
+    docs, before = documents(spark, sf_dir), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, "pipeline-" + name.replace(" ", "-"))
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        at = stage_path(spark, "pipeline-" + name.replace(" ", "-"))
+        out.write.parquet(at)
+        docs = spark.read.schema(out.schema).parquet(at)
+        if before:
+            discard(spark, before)
+        before = at
     return docs
