@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_batches, tokenizer_path
-from .segment import Points, WordTable, byte_level_pieces, slices, text_ranges, word_level_pieces
+from .common import bucketed, documents, in_batches, tokenizer_path
+from .segment import Points, WordTable, byte_level_pieces, distinct_words, slices, text_ranges, word_level_pieces
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -26,15 +32,11 @@ def _byte_characters() -> dict[int, str]:
 class Encoder:
     """Ids of texts as the tokenizers library gives them without added special tokens.
 
-    Words are split here, in arrays; each distinct word goes through the vocabulary's merges once and its ids are put back by
-    the positions of the word. Texts with code points on which Unicode versions differ, and texts that hold the literal name
-    of a special token, go whole through the library.
+    Texts are cut at the names of special tokens, and split into words here, in arrays; each distinct word goes through the
+    vocabulary's merges once and its ids are put back by the positions of the word.
     """
 
     def __init__(self, file: str):
-        import json
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,52 +46,75 @@ class Encoder:
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         self.lower = spec["normalizer"] is not None
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces_of = word_level_pieces if self.lower else byte_level_pieces
-        self.table = WordTable(self._words)
+        self.table = WordTable(self.words)
         self.bytes = _byte_characters()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        tokenize, table = self.tok.model.tokenize, self.bytes
-        return [np.array([t.id for t in tokenize(w.encode("utf-8").decode("latin-1").translate(table))], np.uint32).tobytes() for w in words]
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as 32-bit integers."""
+        tokenize, table, special, blank, out = self.tok.model.tokenize, self.bytes, self.special, self.bytes[32], []
+        for w in words:
+            body = w[1:] if w[0] == " " else w
+            if body.isascii() and body.isalnum():  # these bytes stand for themselves
+                shown = w if body is w else blank + body
+            elif w in special:
+                out.append(array("I", [special[w]]).tobytes())
+                continue
+            else:
+                shown = w.encode("utf-8", "surrogatepass").decode("latin-1").translate(table)
+            out.append(array("I", [t.id for t in tokenize(shown)]).tobytes())
+        return out
+
+    def _normal(self, text: str) -> str:
+        if not self.lower:
+            return text
+        if text.isascii() or max(text) < "\u0300":  # composed, and lower() goes letter by letter
+            return text.lower()
+        return self.tok.normalizer.normalize_str(text)
+
+    def pieces(self, texts: list[str]) -> tuple[Points, np.ndarray, np.ndarray, np.ndarray]:
+        """(points, start and end of each word, bounds): the words of text i are bounds[i]:bounds[i + 1]. The name of a special token is one word."""
+        parts, first, named = [], [], []
+        for t in texts:
+            first.append(len(parts))
+            if self.cut and any(s in t for s in self.special):
+                for k, x in enumerate(self.cut.split(t)):
+                    if k % 2:
+                        named.append(len(parts))
+                    parts.append(x if k % 2 else self._normal(x))
+            else:
+                parts.append(self._normal(t))
+        p = Points(parts)
+        start, end = self.pieces_of(p)
+        if named:
+            inside = np.isin(np.searchsorted(p.offsets, start, "right") - 1, named)
+            start, end = np.concatenate((start[~inside], p.offsets[named])), np.concatenate((end[~inside], p.offsets[np.array(named) + 1]))
+            order = np.argsort(start, kind="stable")
+            start, end = start[order], end[order]
+        return p, start, end, np.append(text_ranges(p, start)[first], len(start))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
         for a, b in slices(texts):
-            part = texts[a:b]
-            found: list[np.ndarray | None] = [None] * len(part)
-            ascii_only = Points(part).plain_texts()
-            fast = [i for i in range(len(part)) if ascii_only[i] and not any(s in part[i] for s in self.special)]
-            p = Points([part[i].lower() if self.lower else part[i] for i in fast])
-            start, end = self.pieces_of(p)
+            p, start, end, bounds = self.pieces(texts[a:b])
             code, known = self.table.look_up(p, start, end)
-            bounds = text_ranges(p, start)
-            flat = np.frombuffer(b"".join(known), np.uint32)
-            size = np.array([len(x) // 4 for x in known], np.int64)
-            first = np.cumsum(size) - size
-            per = size[code]
-            upto = np.concatenate(([0], np.cumsum(per)))
-            ids = flat[np.repeat(first[code] - upto[:-1], per) + np.arange(upto[-1])]
-            for k, i in enumerate(fast):
-                found[i] = ids[upto[bounds[k]] : upto[bounds[k + 1]]]
-            for i, x in enumerate(found):
-                yield np.array(self.tok.encode(part[i], add_special_tokens=False).ids, np.uint32) if x is None else x
-
+            ids, upto = spread(known, code)
+            for k in range(b - a):
+                yield ids[upto[bounds[k]] : upto[bounds[k + 1]]]
 
-class Decoder:
-    """Texts of ids by an id-to-piece table, for a vocabulary whose pieces are joined by blanks when decoded."""
 
-    def __init__(self, encoder: Encoder):
-        tok = encoder.tok
-        n = max(tok.get_vocab(with_added_tokens=True).values()) + 1
-        self.pieces = np.array([tok.id_to_token(i) or "" for i in range(n)], object)
-        self.numbers = np.array([str(i) for i in range(n)], object)
+def spread(known: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of words by position, ends of each word in them), from the ids of distinct words and the number of the word at each position."""
+    return spread_flat(np.frombuffer(b"".join(known), np.uint32), np.array([len(x) // 4 for x in known], np.int64), code)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join(self.pieces[ids].tolist())
 
-    def decimal(self, ids: np.ndarray) -> str:
-        return " ".join(self.numbers[ids].tolist())
+def spread_flat(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.cumsum(size) - size
+    per = size[code]
+    upto = np.concatenate(([0], np.cumsum(per)))
+    return flat[np.repeat(first[code] - upto[:-1], per) + np.arange(upto[-1])], upto
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -113,29 +138,195 @@ def encoded(text: Column, file: str) -> Column:
     return F.pandas_udf(ids, "array<int>", F.PandasUDFType.SCALAR_ITER)(text)
 
 
+def pieces_by_id(file: str) -> np.ndarray:
+    """The piece of each id: as many as the vocabulary has, whatever the corpus."""
+    tok = encoder(file).tok
+    n = max(tok.get_vocab(with_added_tokens=True).values()) + 1
+    return np.array([tok.id_to_token(i) or "" for i in range(n)], object)
+
+
 def decoded(ids: Column, file: str) -> Column:
-    """Text of an array of ids; null counts as empty."""
+    """Text of an array of ids, for a vocabulary whose pieces are joined by blanks when decoded. Null counts as empty."""
 
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        d = Decoder(encoder(file))
+        pieces = pieces_by_id(file)
         for s in batches:
-            yield s.map(lambda x: "" if x is None else d.decode(np.asarray(x, np.int64)))
+            yield s.map(lambda x: "" if x is None else " ".join(pieces[np.asarray(x, np.int64)].tolist()))
 
     return F.pandas_udf(texts, "string", F.PandasUDFType.SCALAR_ITER)(ids)
 
 
-def round_trip(text: Column, file: str) -> Column:
-    """Struct of the text's ids and of the text decoded from them, as counts and digests: n_tokens, ids_sha256, decoded_sha256."""
+#: Code points of texts whose distinct words are put together before they leave a task, about.
+CHUNK = 16_000_000
+#: A task that has met so many distinct words starts a new table.
+WORDS = 2_000_000
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """32-bit integers as zlib data, their bytes in planes."""
+    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _loosed(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4")
+
+
+def _scrambled(word: int) -> int:
+    word = word * 0xCC9E2D51 & 0xFFFFFFFF
+    return ((word << 15 | word >> 17) & 0xFFFFFFFF) * 0x1B873593 & 0xFFFFFFFF
+
+
+def spark_bucket(value: int, buckets: int) -> int:
+    """The bucket that Spark gives a long: its Murmur3 hash with seed 42, modulo the number of buckets."""
+    h = 42
+    for part in (value & 0xFFFFFFFF, value >> 32 & 0xFFFFFFFF):
+        h ^= _scrambled(part)
+        h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+    h ^= 8
+    for shift, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * times & 0xFFFFFFFF
+    return (h - (1 << 32) if h >> 31 else h) % buckets
+
+
+def _chunks(docs: DataFrame, file: str, buckets: int) -> DataFrame:
+    """Rows of some documents of one task: chunk, doc_ids, sizes (words of each), codes (of each word's place), part and words (the chunk's distinct words, by a digest of the word).
+
+    A word's code is its place among the words of all parts. Chunk ids of a task fall into one bucket, so that it writes one file.
+    """
+
+    def make(batches):
+        from pyspark import TaskContext
+
+        e, pid = encoder(file), TaskContext.get().partitionId()
+        number: dict[str, int] = {}
+        doc_ids, sizes, codes, have, made = [], [], [], 0, 0
+
+        def close():
+            nonlocal made
+            words = list(number)
+            part = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words], np.int64)
+            order = np.argsort(part, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words), dtype=np.uint32)
+            cut = np.searchsorted(part[order], np.arange(buckets + 1))
+            parts = np.flatnonzero(np.diff(cut))
+            lists = [zlib.compress("\n".join(words[i] for i in order[cut[k] : cut[k + 1]].tolist()).encode("utf-8", "surrogatepass"), 1) for k in parts.tolist()]
+            chunk = (pid << 40) + (made << 20)
+            while spark_bucket(chunk, buckets) != pid % buckets:
+                chunk += 1
+            made += 1
+            every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([_squeezed(np.array(sizes))], pa.binary()), pa.array([_squeezed(place[every] if len(every) else every)], pa.binary()), pa.array([parts.tolist()], pa.list_(pa.int32())), pa.array([lists], pa.list_(pa.binary()))],
+                names=["chunk", "doc_ids", "sizes", "codes", "parts", "words"],
+            )
+
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in slices(texts):
+                p, start, end, bounds = e.pieces(texts[a:b])
+                code, words = distinct_words(p, start, end)
+                codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64)[code] if len(words) else np.zeros(0, np.int64))
+                doc_ids += ids[a:b]
+                sizes += np.diff(bounds).tolist()
+                have += len(p.cp)
+                if have >= CHUNK:
+                    yield close()
+                    number, doc_ids, sizes, codes, have = {}, [], [], [], 0
+        if doc_ids:
+            yield close()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(make, "chunk long, doc_ids array<long>, sizes binary, codes binary, parts array<int>, words array<binary>")
+
+
+def _encoded_words(words: DataFrame, file: str) -> DataFrame:
+    """chunk, part, sizes, ids of rows (part, chunk, words): all rows of a part come to one task, which encodes each distinct word once."""
+
+    def make(batches):
+        e, known = encoder(file), {}
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for part, chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+                mine = zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")
+                if len(known) > WORDS:
+                    known = {}
+                new = [w for w in mine if w not in known]
+                known.update(zip(new, e.words(new)))
+                ids = [known[w] for w in mine]
+                for x, y in zip(out, (chunk, part, _squeezed(np.array([len(x) // 4 for x in ids])), _squeezed(np.frombuffer(b"".join(ids), np.uint32)))):
+                    x.append(y)
+            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["chunk", "part", "sizes", "ids"])
+
+    return words.mapInArrow(make, "chunk long, part int, sizes binary, ids binary")
+
+
+def _word_ids(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many each word has) of a chunk's words, by code."""
+    order = np.argsort(np.array(right.column("part").to_pylist(), np.int64)).tolist()
+    sizes, ids = right.column("sizes").to_pylist(), right.column("ids").to_pylist()
+    empty = np.zeros(0, np.uint32)
+    return np.concatenate([empty, *(_loosed(ids[k]) for k in order)]), np.concatenate([empty, *(_loosed(sizes[k]) for k in order)]).astype(np.int64)
+
+
+def _with_ids(left: pa.Table, right: pa.Table) -> pa.Table:
+    """doc_id, ids of the documents of a chunk (left), from the ids of its words (right)."""
+    flat, size = _word_ids(right)
+    doc_ids, values, ends, base = [], [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+    for row in left.to_pylist():
+        words = np.concatenate(([0], np.cumsum(_loosed(row["sizes"]).astype(np.int64))))
+        found, upto = spread_flat(flat, size, _loosed(row["codes"]).astype(np.int64))
+        doc_ids += row["doc_ids"]
+        values.append(found)
+        ends.append(base + upto[words[1:]])
+        base += len(found)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(values).astype(np.int32)))
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": lists})
+
+
+def _digests(file: str):
+    """doc_id, n_tokens and digests of the ids and of the decoded text, as _with_ids; the ids find their pieces word by word, before the words take their places."""
+
+    def make(left: pa.Table, right: pa.Table) -> pa.Table:
+        flat, size = _word_ids(right)
+        cut = np.concatenate(([0], np.cumsum(size))).tolist()
+        pieces, decimal = pieces_by_id(file)[flat].tolist(), flat.astype("U10").tolist()
+        text = np.array([" ".join(pieces[a:b]) for a, b in zip(cut, cut[1:])], object)
+        number = np.array([" ".join(decimal[a:b]) for a, b in zip(cut, cut[1:])], object)
+        sha = lambda x: hashlib.sha256(" ".join(x.tolist()).encode("utf-8", "surrogatepass")).hexdigest()
+        out: list[list] = [[], [], [], []]
+        for row in left.to_pylist():
+            codes, end = _loosed(row["codes"]), np.cumsum(_loosed(row["sizes"]).astype(np.int64))
+            for doc_id, a, b in zip(row["doc_ids"], np.append(0, end[:-1]).tolist(), end.tolist()):
+                own = codes[a:b]
+                for x, y in zip(out, (doc_id, int(size[own].sum()), sha(number[own]), sha(text[own]))):
+                    x.append(y)
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.table([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return make
+
+
+def _in_place(docs: DataFrame, file: str, make, schema: str) -> DataFrame:
+    """What `make` gives of each chunk of docs (doc_id, text) and the ids of its words.
+
+    Each task splits its texts and sends the distinct words of some documents, by a digest of the word, to the task that encodes
+    them; there each distinct word of the corpus is encoded once. The ids come back by chunk and position and take the words'
+    places in the documents, which stayed where they were. A word crosses the network once for CHUNK code points of text, so
+    the most common one makes no large group.
+    """
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks, _ = bucketed(_chunks(in_batches(docs), file, buckets), "bpe-chunks", "chunk", buckets)
+    words = chunks.select("chunk", F.explode(F.arrays_zip("parts", "words")).alias("w")).select(F.col("w.parts").alias("part"), "chunk", F.col("w.words").alias("words"))
+    back = _encoded_words(words.repartitionById(buckets, "part"), file)
+    return chunks.select("chunk", "doc_ids", "sizes", "codes").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(make, schema)
 
-    def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = encoder(file)
-        d = Decoder(e)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for s in batches:
-            rows = [(len(ids), sha(d.decimal(ids)), sha(d.decode(ids))) for ids in e.encode(s.fillna("").tolist())]
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return F.pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", F.PandasUDFType.SCALAR_ITER)(text)
+def token_ids(docs: DataFrame, file: str | None = None) -> DataFrame:
+    """doc_id, ids (array) of each row of docs (doc_id, text), by a table of distinct words. Null texts have an empty array."""
+    return _in_place(docs, file or tokenizer_path(WORD_FILE), _with_ids, "doc_id long, ids array<int>")
 
 
 def bpe_documents(docs: DataFrame, file: str | None = None) -> DataFrame:
@@ -145,7 +336,7 @@ def bpe_documents(docs: DataFrame, file: str | None = None) -> DataFrame:
     table gives an empty result; other columns are not read.
     """
     file = file or tokenizer_path(WORD_FILE)
-    return in_batches(docs).select("doc_id", round_trip(F.col("text"), file).alias("r")).select("doc_id", "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+    return _in_place(docs, file, _digests(file), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

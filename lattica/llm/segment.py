@@ -13,7 +13,7 @@ from .common import span_codes
 SLICE = 1 << 19
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Beyond this many entries a word table starts anew.
-TABLE_ROWS = 150_000
+TABLE_ROWS = 500_000
 
 _WHITE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 

@@ -302,6 +302,31 @@ def test_bpe_is_the_library(spark):
     file = tokenizer_path(bpe.WORD_FILE)
     back = table(spark).select("doc_id", bpe.encoded(F.col("text"), file).alias("ids")).select("doc_id", "ids", bpe.decoded(F.col("ids"), file).alias("back"))
     assert all(r.back == tok.decode(r.ids, skip_special_tokens=False) for r in back.collect())
+    assert bpe.bpe_documents(empty(spark)).count() == 0
+    twice = table(spark).where("doc_id IN (1, 42)").unionByName(table(spark).where("doc_id = 1"))
+    assert sorted(r.doc_id for r in bpe.bpe_documents(twice).collect()) == [1, 1, 42]
+
+
+def test_chunks_of_a_task_share_a_bucket(spark, monkeypatch):
+    for n in (0, 1, 2**40, 2**62 + 12345):
+        assert bpe.spark_bucket(n, 51) == spark.range(1).select(F.pmod(F.hash(F.lit(n).cast("long")), F.lit(51))).first()[0]
+    want = {r.doc_id: r.ids for r in bpe.token_ids(table(spark)).collect()}
+    monkeypatch.setattr(bpe, "CHUNK", 300)  # many chunks a task
+    monkeypatch.setattr(bpe, "WORDS", 10)
+    assert {r.doc_id: r.ids for r in bpe.token_ids(table(spark)).collect()} == want
+
+
+@pytest.mark.parametrize("name", [bpe.WORD_FILE, bpe.BYTE_FILE])
+def test_encoder_is_the_library_in_every_script(name):
+    import random
+    import unicodedata
+
+    r, tok, e = random.Random(4), library(name), bpe.Encoder(tokenizer_path(name))
+    known = [c for c in range(0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    texts = ["".join(chr(r.choice(known)) if r.random() < 0.7 else r.choice(" a1.'s\u0301\n") for _ in range(40)) for _ in range(3000)]
+    texts += ["\u041f\u0440\u0438\u0432\u0435\u0442, \u043c\u0438\u0440! \u6771\u4eac\u306f\u3044 \u0645\u0631\u062d\u0628\u0627 \U0001f600\U0001f1e9 \u039f\u0394\u03a3 \u039f\u03a3 \u0130x e\u0301", "a<|endoftext|>b<|startoftext|><|ENDOFTEXT|> <|endoftext|>", "x " + TWIN_A + " " + TWIN_B, ""]
+    for t, ids in zip(texts, e.encode(texts)):
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
 def test_splits_are_the_patterns():
