@@ -18,8 +18,6 @@ WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of one IDAT chunk at most, zlib level, side of the reduced image, side of the low-frequency square.
 CHUNK, LEVEL, SIDE, LOW = 1 << 20, 1, 32, 8
-#: Images above this many rows are written in several images' worth of strips by width: rows stay below PNG's limit.
-MOST_ROWS = 1 << 20
 
 
 def payload_of(data: bytes) -> bytes:
@@ -32,33 +30,42 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def write_png(payload: bytes, filter_type: int | None = None) -> bytes:
-    """A grey 8-bit PNG whose samples are payload, row by row. filter_type None: 0 (none), or 2 (up) where a sample shows that it packs better."""
-    width = WIDTH
-    while len(payload) // width > MOST_ROWS and len(payload) % (2 * width) == 0:
-        width *= 2
-    image = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    if filter_type is None:
-        head = image[:256]
-        up = head - np.vstack((np.zeros((1, width), np.uint8), head[:-1]))
-        filter_type = 2 if len(zlib.compress(up.tobytes(), 1)) < 0.9 * len(zlib.compress(head.tobytes(), 1)) else 0
-    lines = np.empty((len(image), width + 1), np.uint8)
-    lines[:, 0] = filter_type
-    if filter_type == 0:
-        lines[:, 1:] = image
-    elif filter_type == 1:
-        lines[:, 1] = image[:, 0]
-        lines[:, 2:] = image[:, 1:] - image[:, :-1]
-    elif filter_type == 2:
-        lines[:1, 1:] = image[:1]
-        lines[1:, 1:] = image[1:] - image[:-1]
-    else:
-        raise ValueError("written filters are 0, 1 and 2")
-    body = zlib.compress(lines.tobytes(), LEVEL)
-    parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0))]
+    """A grey 8-bit PNG, WIDTH samples a row, whose samples are payload, row by row. filter_type None: 0 (none) or 2 (up), whichever packs the whole image shorter.
+
+    A PNG has 2 ** 31 - 1 rows at most, so 128 GiB of payload; a row of a table holds less.
+    """
+    image = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    body = min((zlib.compress(_filtered(image, k), LEVEL) for k in ((0, 2) if filter_type is None else (filter_type,))), key=len)
+    parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(image), 8, 0, 0, 0, 0))]
     parts += [_chunk(b"IDAT", body[i : i + CHUNK]) for i in range(0, len(body), CHUNK)]
     return b"".join(parts + [_chunk(b"IEND", b"")])
 
 
+def _filtered(image: np.ndarray, kind: int) -> bytes:
+    """Rows of an image, each after its filter type."""
+    lines = np.empty((len(image), image.shape[1] + 1), np.uint8)
+    lines[:, 0] = kind
+    padded = np.zeros((len(image) + 1, image.shape[1] + 1), np.uint8)
+    padded[1:, 1:] = image
+    left, up, corner = padded[1:, :-1], padded[:-1, 1:], padded[:-1, :-1]
+    if kind == 0:
+        guess = np.uint8(0)
+    elif kind < 3:
+        guess = left if kind == 1 else up
+    else:
+        guess = _guess(np.full(1, kind), left.astype(np.int16), up.astype(np.int16), corner.astype(np.int16)).astype(np.uint8)
+    np.subtract(image, guess, out=lines[:, 1:])
+    return lines.tobytes()
+
+
+def _guess(kind: np.ndarray, left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What the filter of each sample predicts."""
+    p = left + up - corner
+    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+    paeth = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+    return np.choose(kind, [np.zeros_like(left), left, up, (left + up) >> 1, paeth])
+
+
 def read_png(data: bytes) -> np.ndarray:
     """The samples of a grey 8-bit PNG without interlacing; ValueError if a checksum, a size or a chunk is wrong."""
     if data[:8] != SIGNATURE:
@@ -86,40 +93,39 @@ def read_png(data: bytes) -> np.ndarray:
 
 
 def unfiltered(lines: np.ndarray) -> np.ndarray:
-    """Samples of filtered rows, each with its filter type first. Runs of rows with none, sub or up are done as arrays."""
+    """Samples of filtered rows, each with its filter type first. Runs of rows with none, sub or up are done as a whole, others diagonal by diagonal."""
     kind, out = lines[:, 0], lines[:, 1:].copy()
     if kind.max(initial=0) > 4:
         raise ValueError("unknown filter")
-    edge = np.flatnonzero(np.diff(kind)) + 1
+    group = np.where(kind > 2, 3, kind)
+    edge = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(kind)]):
         if a == b or kind[a] == 0:
             continue
-        if kind[a] == 1:
+        if group[a] == 1:
             np.add.accumulate(out[a:b], axis=1, out=out[a:b])
-        elif kind[a] == 2:
+        elif group[a] == 2:
             if a:
                 out[a] += out[a - 1]
             np.add.accumulate(out[a:b], axis=0, out=out[a:b])
         else:
-            for y in range(a, b):
-                _mixed_row(out, y, int(kind[y]))
+            _along_diagonals(out, kind.astype(np.int64), a, b)
     return out
 
 
-def _mixed_row(out: np.ndarray, y: int, kind: int) -> None:
-    row = out[y].tolist()
-    up = out[y - 1].tolist() if y else [0] * len(row)
-    left = corner = 0
-    for x, v in enumerate(row):
-        if kind == 3:
-            guess = (left + up[x]) // 2
-        else:
-            p = left + up[x] - corner
-            by = (abs(p - left), abs(p - up[x]), abs(p - corner))
-            guess = (left, up[x], corner)[by.index(min(by))]
-        left, corner = (v + guess) & 255, up[x]
-        row[x] = left
-    out[y] = row
+def _along_diagonals(out: np.ndarray, kind: np.ndarray, a: int, b: int) -> None:
+    """Unfilters rows a:b in place. A sample needs those left of it, above and above left: all on earlier diagonals, so a diagonal is done at once."""
+    width = out.shape[1]
+    whole = np.zeros((b - a + 1, width + 1), np.int16)
+    whole[1:, 1:] = out[a:b]
+    if a:
+        whole[0, 1:] = out[a - 1]
+    for d in range(b - a + width - 1):
+        y = np.arange(max(0, d - width + 1), min(b - a, d + 1))
+        x = d - y
+        guess = _guess(kind[a + y], whole[y + 1, x], whole[y, x + 1], whole[y, x])
+        whole[y + 1, x + 1] = (whole[y + 1, x + 1] + guess) & 255
+    out[a:b] = whole[1:, 1:]
 
 
 _COS = np.cos(np.pi * (2 * np.arange(SIDE)[None, :] + 1) * np.arange(LOW)[:, None] / (2 * SIDE))
