@@ -21,8 +21,8 @@ ESCAPE = 15
 #: Ids of a block at most; a document is one block or several.
 BLOCK = 1 << 16
 MAGIC = b"S8BTOK1\n"
-#: Documents of one file, about.
-FILE_DOCS = 8192
+#: Ids after which a file ends, and ids that are packed together, about.
+FILE_TOKENS, GROUP = 8_000_000, 1 << 19
 END_ID = 2
 
 
@@ -97,16 +97,29 @@ def unpack(words: np.ndarray, n_words: np.ndarray, sizes: np.ndarray) -> np.ndar
     return out[np.repeat(start - old, sizes) + np.arange(int(sizes.sum()))]
 
 
-def write_file(f, doc_ids: np.ndarray, sizes: np.ndarray, doc_blocks: np.ndarray, block_words: np.ndarray, words: list[bytes]) -> int:
-    """Header (magic, documents, blocks), then of each document its id, ids and blocks, of each block where it ends in words, a checksum of all that, then the words."""
-    head = MAGIC + struct.pack("<QQ", len(doc_ids), len(block_words))
-    head += np.asarray(doc_ids, "<i8").tobytes() + np.asarray(sizes, "<i8").tobytes() + np.asarray(doc_blocks, "<i4").tobytes() + np.cumsum(block_words).astype("<i8").tobytes()
-    f.write(head + struct.pack("<I", zlib.crc32(head)))
-    n = len(head) + 4
-    for w in words:
-        f.write(w)
-        n += len(w)
-    return n
+class FileWriter:
+    """A token file as it grows: the magic, the words of all blocks, then for each document its id, whether it has one, its ids and blocks, and of each block where it ends in words; a checksum of these tables, their counts, and the magic again."""
+
+    def __init__(self, f):
+        self.f, self.tokens = f, 0
+        self.doc_ids: list[int | None] = []
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        f.write(MAGIC)
+
+    def add(self, doc_ids: list[int | None], ids: list[np.ndarray], block: int = BLOCK) -> None:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        blocks, per = block_sizes(sizes, block)
+        words, n_words = pack(np.concatenate(ids), blocks)
+        self.f.write(words.astype("<u8").tobytes())
+        self.doc_ids += doc_ids
+        self.tables.append((sizes, per, n_words))
+        self.tokens += int(sizes.sum())
+
+    def close(self) -> None:
+        sizes, per, n_words = (np.concatenate(x) if self.tables else np.zeros(0, np.int64) for x in (zip(*self.tables) if self.tables else ((), (), ())))
+        known = np.array([d is not None for d in self.doc_ids], "u1")
+        table = np.array([d or 0 for d in self.doc_ids], "<i8").tobytes() + known.tobytes() + sizes.astype("<i8").tobytes() + per.astype("<i4").tobytes() + np.cumsum(n_words).astype("<i8").tobytes()
+        self.f.write(table + struct.pack("<IQQ", zlib.crc32(table), len(sizes), len(n_words)) + MAGIC)
 
 
 def block_sizes(sizes: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -118,20 +131,21 @@ def block_sizes(sizes: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     return out, per
 
 
-def read_file(data: bytes, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray]]:
+def read_file(data: bytes, block: int = BLOCK) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of the documents of a file, in its order, some megabytes of ids at a time."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a token file")
-    n, m = struct.unpack_from("<QQ", data, 8)
-    at = 24
+    if data[:8] != MAGIC or data[-8:] != MAGIC or len(data) < 36:
+        raise ValueError("not a whole token file")
+    check, n, m = struct.unpack_from("<IQQ", data, len(data) - 28)
+    size = 21 * n + 8 * m
+    at = len(data) - 28 - size
+    if at < 8 or zlib.crc32(data[at : at + size]) != check:
+        raise ValueError("the token file's tables are damaged")
     doc_ids = np.frombuffer(data, "<i8", n, at)
-    sizes = np.frombuffer(data, "<i8", n, at + 8 * n)
-    doc_blocks = np.frombuffer(data, "<i4", n, at + 16 * n)
-    ends = np.frombuffer(data, "<i8", m, at + 20 * n)
-    at += 20 * n + 8 * m
-    if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
-        raise ValueError("the token file's header is damaged")
-    words = np.frombuffer(data, "<u8", int(ends[-1]) if m else 0, at + 4)
+    known = np.frombuffer(data, "u1", n, at + 8 * n)
+    sizes = np.frombuffer(data, "<i8", n, at + 9 * n)
+    doc_blocks = np.frombuffer(data, "<i4", n, at + 17 * n)
+    ends = np.frombuffer(data, "<i8", m, at + 21 * n)
+    words = np.frombuffer(data, "<u8", int(ends[-1]) if m else 0, 8)
     starts = np.concatenate(([0], ends[:-1])) if m else ends
     first = np.concatenate(([0], np.cumsum(doc_blocks)))
     all_sizes, _ = block_sizes(sizes, block)
@@ -145,7 +159,7 @@ def read_file(data: bytes, block: int = BLOCK) -> Iterator[tuple[int, np.ndarray
         ids = unpack(words[starts[a] : ends[b - 1]], ends[a:b] - starts[a:b], all_sizes[a:b])
         cut = np.concatenate(([0], np.cumsum(sizes[i:j])))
         for k in range(i, j):
-            yield int(doc_ids[k]), ids[cut[k - i] : cut[k - i + 1]]
+            yield int(doc_ids[k]) if known[k] else None, ids[cut[k - i] : cut[k - i + 1]]
         i = j
 
 
@@ -157,86 +171,71 @@ def _file_system(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def write_tokens(docs: DataFrame, out: str, file: str | None = None, end_id: int = END_ID, file_docs: int = FILE_DOCS) -> DataFrame:
-    """Encodes docs (doc_id, text) and writes token files in ascending doc_id order under `out`; the manifest: part, path, n_docs, n_tokens.
+def write_tokens(docs: DataFrame, out: str, file: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
+    """Encodes docs (doc_id, text) and writes token files in ascending doc_id order under `out`; the manifest: part, seq, path, n_docs, n_tokens.
 
-    Cut points of doc_id, about file_docs rows apart, come from approximate quantiles; each part is one file, sorted, and the
-    parts are in order. A task writes under a name of its own and renames it at the end, so that it can run again.
+    Rows are cut into ranges of doc_id (and of a digest of the text, should one doc_id have many rows), each sorted by one task,
+    which writes as it reads: a file ends when it has file_tokens ids, so a task holds no more than GROUP ids and one document.
+    Files in the order of (part, seq) have all documents in order. A file is written under a name of its own and renamed at its
+    end, so that a task can run again.
     """
     file = file or tokenizer_path(BYTE_FILE)
-    n = in_batches(docs).count()
-    parts = max(1, -(-n // file_docs))
-    cuts: list[int] = []
-    if parts > 1:
-        cuts = sorted({x for x in docs.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first()["q"] or []})
-
-    def packed(batches):
-        e = encoder(file)
-        for batch in batches:
-            ids_in, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-            part = np.searchsorted(np.array(cuts, np.int64), ids_in.to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            rows, group, have = [], [], 0
-
-            def flush():
-                sizes = np.array([len(x) for x in group], np.int64)
-                blocks, per = block_sizes(sizes)
-                words, n_words = pack(np.concatenate(group) if group else np.zeros(0), blocks)
-                raw = words.astype("<u8").tobytes()
-                end = np.concatenate(([0], np.cumsum(n_words))) * 8
-                b = np.concatenate(([0], np.cumsum(per)))
-                for k in range(len(group)):
-                    rows.append((len(group[k]), n_words[b[k] : b[k + 1]].astype("<i4").tobytes(), raw[end[b[k]] : end[b[k + 1]]]))
-
-            for ids in e.encode(texts):
-                group.append(np.append(ids, np.uint32(end_id)))
-                have += len(group[-1])
-                if have > 1 << 19:
-                    flush()
-                    group, have = [], 0
-            if group:
-                flush()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), ids_in.cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                names=["part", "doc_id", "n", "blocks", "words"],
-            )
 
     def written(batches):
+        import uuid
+
+        from pyspark import TaskContext
+
+        e, part = encoder(file), TaskContext.get().partitionId()
         system, base = _file_system(out)
         system.create_dir(base, recursive=True)
-        part, rows = None, []
+        state: dict = {"seq": 0, "w": None, "own": ""}
 
         def close():
-            import uuid
-
-            at, own = f"{base}/part-{part:08d}.tok", f"{base}/_{uuid.uuid4().hex}"
-            blocks = [np.frombuffer(r[2], "<i4") for r in rows]
-            with system.open_output_stream(own) as f:
-                write_file(f, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([len(b) for b in blocks]), np.concatenate(blocks), [r[3] for r in rows])
-            system.move(own, at)
-            return pa.RecordBatch.from_pydict({"part": [part], "path": [at], "n_docs": [len(rows)], "n_tokens": [sum(r[1] for r in rows)]}, schema=manifest)
+            w, at = state["w"], f"{base}/part-{part:06d}-{state['seq']:06d}.tok"
+            w.close()
+            w.f.close()
+            system.move(state["own"], at)
+            row = {"part": [part], "seq": [state["seq"]], "path": [at], "n_docs": [len(w.doc_ids)], "n_tokens": [w.tokens]}
+            state.update(seq=state["seq"] + 1, w=None)
+            return pa.RecordBatch.from_pydict(row, schema=manifest)
+
+        def add(doc_ids, group):
+            if state["w"] is None:
+                state["own"] = f"{base}/_{uuid.uuid4().hex}"
+                state["w"] = FileWriter(system.open_output_stream(state["own"]))
+            state["w"].add(doc_ids, group)
 
         for batch in batches:
-            for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part:
-                    if rows:
+            names, group, have, first = batch.column(0).to_pylist(), [], 0, 0
+            for ids in e.encode([t or "" for t in batch.column(1).to_pylist()]):
+                group.append(np.append(ids, np.uint32(end_id)))
+                have += len(group[-1])
+                if have >= min(GROUP, file_tokens):
+                    add(names[first : first + len(group)], group)
+                    first, group, have = first + len(group), [], 0
+                    if state["w"].tokens >= file_tokens:
                         yield close()
-                    part, rows = p, []
-                rows.append(row)
-        if rows:
+            if group:
+                add(names[first:], group)
+                if state["w"].tokens >= file_tokens:
+                    yield close()
+        if state["w"] is not None:
             yield close()
 
-    manifest = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.mapInArrow(packed, "part int, doc_id long, n long, blocks binary, words binary")
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "words")
-    return staged(rows.mapInArrow(written, "part int, path string, n_docs long, n_tokens long"), "token-manifest")
+    manifest = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+    rows = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+    order = [F.col("doc_id").asc_nulls_last(), F.col("mark")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    return staged(rows.mapInArrow(written, "part int, seq int, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read from the files of a manifest; start counts the ids of all documents before it."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one small row a file
-    files = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    n = manifest.count()
+    order = Window.orderBy("part", "seq")  # one small row a file
+    before = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("path", before.alias("before"), F.row_number().over(order).alias("number"))
+    tasks = max(1, min(manifest.count(), 4 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def read(batches):
         system, _ = _file_system(out)
@@ -250,15 +249,15 @@ def read_tokens(manifest: DataFrame, out: str) -> DataFrame:
                     start += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = files.select("path", "before").repartition(max(1, n), "path")
+    files = files.repartitionById(tasks, F.pmod("number", F.lit(tasks))).select("path", "before")
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of all documents, read back from the token files.
 
-    Null and empty texts have the end id alone. Rows with one doc_id lie side by side, ordered by their ids; rows without
-    doc_id are in no file; an empty table gives no file and no row. Other columns are not read.
+    Null and empty texts have the end id alone. Rows with one doc_id lie side by side, ordered by a digest of their text; rows
+    without doc_id come last; an empty table gives no file and no row. Other columns are not read.
     """
     out = stage_path(spark, "tokens")
     return read_tokens(write_tokens(documents(spark, sf_dir), out), out)

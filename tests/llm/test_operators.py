@@ -257,7 +257,7 @@ def test_media_round_trip(spark):
     assert found[1] [1:] == found[3][1:] and len(found[44].feature) == 16
 
 
-@pytest.mark.parametrize("kind", [0, 1, 2])
+@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
 def test_png_filters_and_damage(kind):
     data = media.payload_of(bytes(range(256)) * 3 + b"x")
     png = media.write_png(data, kind)
@@ -268,6 +268,21 @@ def test_png_filters_and_damage(kind):
         media.read_png(png[:-12])
 
 
+def test_media_edges_and_feature(spark):
+    assert media.media_features(media.media_table(empty(spark))).count() == 0
+    twice = table(spark).where("doc_id = 1")
+    assert len(media.media_features(media.media_table(twice.unionByName(twice))).collect()) == 2
+    rng = np.random.default_rng(7)
+    for h in (1, 5, 32, 77):
+        image = rng.integers(0, 256, (h, 64), dtype=np.uint8)
+        at = lambda n, i: (i * n // 32, max(i * n // 32 + 1, (i + 1) * n // 32))
+        small = [[image[slice(*at(h, y)), slice(*at(64, x))].mean() for x in range(32)] for y in range(32)]
+        low = [sum(small[y][x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+        middle = sorted(round(x, 6) for x in low[1:])[31]
+        bits = "".join("1" if round(x, 6) > middle else "0" for x in low)
+        assert media.cosine_hash(image) == f"{int(bits, 2):016x}"
+
+
 def test_unfilter_average_and_paeth():
     rng = np.random.default_rng(1)
     image = rng.integers(0, 256, (5, 7), dtype=np.uint8)
@@ -350,13 +365,18 @@ def test_splits_are_the_patterns():
 
 def test_token_files_are_the_library(spark, tmp_path):
     tok, start = library(bpe.BYTE_FILE), 0
-    manifest = tokenfile.write_tokens(table(spark), f"file://{tmp_path}/t", file_docs=13)
+    extra = [(None, "no id", *[None] * 12), (7, TWIN_A + " " + TWIN_B, *[None] * 12)]
+    more = TEXTS | {7: TWIN_A + " " + TWIN_B}
+    manifest = tokenfile.write_tokens(table(spark, extra).where("doc_id IS NULL OR doc_id <> 7 OR lang IS NULL"), f"file://{tmp_path}/t", file_tokens=900)
     assert manifest.count() > 2
     found = got(tokenfile.read_tokens(manifest, f"file://{tmp_path}/t"))
-    for d in sorted(TEXTS):
-        ids = tok.encode(TEXTS[d] or "", add_special_tokens=False).ids + [2]
+    for d, t in [*sorted(more.items()), (None, "no id")]:
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [2]
         assert tuple(found[d])[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    twice = table(spark).where("doc_id = 1")
+    twice = tokenfile.write_tokens(twice.unionByName(twice), f"file://{tmp_path}/r")
+    assert sorted(r.start for r in tokenfile.read_tokens(twice, f"file://{tmp_path}/r").collect()) == [0, found[1].n_tokens]
     none = tokenfile.write_tokens(empty(spark), f"file://{tmp_path}/e")
     assert tokenfile.read_tokens(none, f"file://{tmp_path}/e").count() == 0
 
