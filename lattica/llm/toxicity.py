@@ -20,56 +20,84 @@ LEAST, MOST, CHANCE = 4, 12, 0.05
 PREDICTED = 0.3
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, GAP = range(7)
-_WORD = r"[^\W\d_]+"
 _THREATS = "kill hurt destroy shoot stab strangle töten umbringen matar matarte tuer".split()
 _TARGETS = "you your yours u he she him her they them this these du dich dir ihr euch sie tú te ti usted vosotros ustedes tu toi vous il elle ils".split()
 _NEGATIONS = "not no never nobody isn't aren't don't nicht kein keine keinen nie nunca jamás ni pas jamais aucun".split()
 _REPORTS = "said says say wrote writes quote quoted called calls sagte sagt schrieb dijo dice escribió dit disait écrit".split()
 _CLAUSE = re.compile(r"[.!?;:\n]+")
-_TOKEN = re.compile(_WORD)
+#: Words of letters; a negation's n't belongs to its word.
+_TOKEN = re.compile(r"[^\W\d_]+n['’]t(?![^\W\d_])|[^\W\d_]+")
+#: Tokens between a threat and its target, at most, and how far a target and a negation reach.
+AFTER, TARGETED, NEGATED = 3, 6, 3
 
 
 class Transducer:
-    """States 0..; arcs (state, symbol) -> state, 0 where none is given; `marks` says which states mark an insult or threat met there."""
+    """States 0..; arcs (state, symbol) -> (state, output), by default to state 0 (or where it is, if stay) without output. `marks` says which states mark an output of any machine."""
 
-    def __init__(self, arcs: dict[tuple[int, int], int], states: int, marks: dict[int, str], stay: bool = False):
-        self.arcs, self.states, self.marks, self.stay = arcs, states, marks, stay
+    def __init__(self, arcs: dict[tuple[int, int], tuple[int, str]], marks: dict[int, str] | None = None, stay: bool = False):
+        self.arcs, self.marks, self.stay = arcs, marks or {}, stay
 
-    def step(self, state: int, symbol: int) -> int:
-        return self.arcs.get((state, symbol), state if self.stay else 0)
+    def step(self, state: int, symbol: int) -> tuple[int, str]:
+        return self.arcs.get((state, symbol), (state if self.stay else 0, ""))
 
 
 def window(symbol: int, name: str, length: int) -> Transducer:
     """Marks what comes at most `length` tokens after the symbol, up to the end of the clause."""
     arcs = {}
     for s in range(length + 1):
-        for x in range(GAP + 1):
-            arcs[s, x] = max(0, s - 1)
-        arcs[s, symbol] = length
-        arcs[s, GAP] = 0
-    return Transducer(arcs, length + 1, {s: name for s in range(1, length + 1)})
+        for x in range(GAP):
+            arcs[s, x] = max(0, s - 1), ""
+        arcs[s, symbol] = length, ""
+    return Transducer(arcs, {s: name for s in range(1, length + 1)})
 
 
 def rest_of_clause(symbol: int, name: str) -> Transducer:
     """Marks all that comes after the symbol in its clause."""
-    return Transducer({(0, symbol): 1, (1, GAP): 0}, 2, {1: name}, stay=True)
+    return Transducer({(0, symbol): (1, ""), (1, GAP): (0, "")}, {1: name}, stay=True)
+
+
+def insult() -> Transducer:
+    """Gives out each insult where it stands."""
+    return Transducer({(0, INSULT): (0, "insult")})
+
+
+def threat(after: int = AFTER, negated: int = NEGATED) -> Transducer:
+    """Gives out a threat at its target, at most `after` tokens on. States: none, `negated` after a negation, then `after` each of a threat that waits plain and negated."""
+    plain, denied, arcs = negated, negated + after, {}
+    for s in range(negated + 2 * after + 1):
+        far = s - 1 if s not in (0, plain + 1, denied + 1) else 0  # one token nearer to the end of what is waited for
+        waits = s > plain
+        for x in range(GAP):
+            arcs[s, x] = far, ""
+        arcs[s, NEGATION] = negated, ""
+        arcs[s, THREAT] = (denied if 0 < s <= plain or s > denied else plain) + after, ""
+        if waits:
+            arcs[s, TARGET] = 0, "negated threat" if s > denied else "threat"
+    return Transducer(arcs)
 
 
-def composed(machines: list[Transducer]) -> tuple[dict[tuple[int, int], int], list[frozenset[str]]]:
-    """One machine that runs all at once: its arcs, and the marks of each of its reachable states; 0 is the start."""
+def composed(machines: list[Transducer]) -> tuple[dict[tuple[int, int], tuple[int, str]], list[frozenset[str]]]:
+    """One machine that runs all at once: its arcs with what some machine gives out, and the marks of each of its reachable states; 0 is the start."""
     states, arcs, todo = {(0,) * len(machines): 0}, {}, [(0,) * len(machines)]
     while todo:
         at = todo.pop()
         for x in range(GAP + 1):
-            to = tuple(m.step(s, x) for m, s in zip(machines, at))
+            steps = [m.step(s, x) for m, s in zip(machines, at)]
+            to = tuple(s for s, _ in steps)
             if to not in states:
                 states[to] = len(states)
                 todo.append(to)
-            arcs[states[at], x] = states[to]
+            arcs[states[at], x] = states[to], "".join(o for _, o in steps)
     marks = [frozenset(m.marks[s] for m, s in zip(machines, at) if s in m.marks) for at in states]
     return arcs, marks
 
 
+def prior(context: str) -> float:
+    """How sure a context makes an insult before anything is learned."""
+    weak = ("negation" in context) + ("threat" in context) + 2 * ("report" in context)
+    return (0.9, 0.5, 0.25)[min(weak, 2)]
+
+
 class Grammar:
     """stems: insult stem -> how sure it is; contexts: set of marks -> how sure an insult in it is, as learned."""
 
@@ -82,7 +110,7 @@ class Grammar:
 
     def ready(self):
         if self._ready is None:
-            arcs, marks = composed([window(TARGET, "target", 6), window(NEGATION, "negation", 3), rest_of_clause(REPORT, "report")])
+            arcs, marks = composed([insult(), threat(), window(TARGET, "target", TARGETED), window(NEGATION, "negation", NEGATED), rest_of_clause(REPORT, "report")])
             kinds = {w: k for k, words in ((THREAT, _THREATS), (TARGET, _TARGETS), (NEGATION, _NEGATIONS), (REPORT, _REPORTS)) for w in words}
             by = sorted(self.stems, key=lambda s: (-len(s), s))
             words = "|".join(map(re.escape, by))
@@ -90,29 +118,30 @@ class Grammar:
             self._ready = arcs, marks, kinds, re.compile(seek), sorted({len(s) for s in by})
         return self._ready
 
+    def symbols(self, clause: str) -> Iterator[tuple[int, float]]:
+        """The symbol of each token, and how sure an insult is."""
+        _, _, kinds, _, lengths = self.ready()
+        for m in _TOKEN.finditer(clause):
+            word = m.group()
+            stem = next((word[:n] for n in lengths if word[:n] in self.stems), None) if len(word) >= LEAST else None
+            symbol = INSULT if stem else kinds.get(word, NEGATION if word[-3:] in ("n't", "n’t") else OTHER)
+            yield symbol, self.stems[stem] if stem else 0.6
+
     def clauses(self, text: str) -> Iterator[tuple[str, float]]:
         """(context, sureness of the word) of each insult or threat at a target, clause by clause."""
-        arcs, marks, kinds, seek, lengths = self.ready()
+        arcs, marks, _, seek, _ = self.ready()
         low = text.lower()
         found = [m.start() for m in seek.finditer(low)]
         if not found:
             return
         for clause in self._around(low, found):
             state = 0
-            for m in _TOKEN.finditer(clause):
-                word = m.group()
-                stem = next((word[:n] for n in lengths if word[:n] in self.stems), None) if len(word) >= LEAST else None
-                symbol = INSULT if stem else kinds.get(word, OTHER)
-                if symbol == INSULT or symbol == THREAT and "target" in marks[self._look(arcs, state, clause, m.end(), kinds)]:
-                    yield ("threat+" if symbol == THREAT else "") + "+".join(sorted(marks[state])), self.stems[stem] if stem else 0.6
-                state = arcs[state, symbol]
-
-    @staticmethod
-    def _look(arcs, state: int, clause: str, end: int, kinds: dict[str, int]) -> int:
-        """The state three tokens on: a threat's target comes after it."""
-        for m in list(_TOKEN.finditer(clause[end : end + 60]))[:3]:
-            state = arcs[state, kinds.get(m.group(), OTHER)]
-        return state
+            for symbol, sure in self.symbols(clause):
+                was, (state, out) = state, arcs[state, symbol]
+                if out == "insult":
+                    yield "+".join(sorted(marks[was])), sure
+                elif out:
+                    yield "threat+" + "+".join(sorted(marks[was] - {"negation"} | ({"negation"} if out == "negated threat" else set()) | {"target"})), sure
 
     @staticmethod
     def _around(low: str, found: list[int]) -> Iterator[str]:
@@ -129,7 +158,7 @@ class Grammar:
     def score(self, text: str) -> float:
         left = 1.0
         for context, sure in self.clauses(text):
-            left *= 1 - sure * self.contexts.get(context, 0.25 if "report" in context else 0.5 if "negation" in context or "threat" in context else 0.9)
+            left *= 1 - sure * self.contexts.get(context, prior(context))
             if left < 1e-9:
                 break
         return 1 - left
@@ -199,8 +228,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Grammar:
 
     seen = labelled.select("text", "toxic").mapInPandas(contexts, "context string, tox long, clean long").groupBy("context").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")).collect()
     for r in seen:
-        prior = 0.25 if "report" in r["context"] else 0.5 if "negation" in r["context"] or "threat" in r["context"] else 0.9
-        grammar.contexts[r["context"]] = (r["tox"] + 2 * prior) / (r["tox"] + r["clean"] + 2)
+        grammar.contexts[r["context"]] = (r["tox"] + 2 * prior(r["context"])) / (r["tox"] + r["clean"] + 2)
     return Grammar(stems, grammar.contexts)
 
 
@@ -218,7 +246,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS)
     """One row per row of docs (doc_id, text): doc_id, held_out, score, predicted.
 
     Labels (doc_id, toxic) teach only through documents that are not held out: the sample_docs that come first by a digest of
-    doc_id; of repeated labels the largest counts, null ones none. Null and empty texts score 0; without a usable label all
+    doc_id, of at most SAMPLE_CHARS code points each; every text is scored whole. Of repeated labels the largest counts, null ones none. Null and empty texts score 0; without a usable label all
     insults are unknown and only threats at a target score. Repeated rows are rows of their own; an empty table gives an
     empty result.
     """
