@@ -16,24 +16,28 @@ from .segment import LETTER, Points, WordTable, slices, text_ranges
 PIECE_FILE = "piece_bpe_32k.model"
 #: Of each language at most so many labelled documents are learned from, each of at most so many code points.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 100_000
-MAX_PIECE, ROUNDS, SMOOTH, UNKNOWN = 8, 3, 0.05, 1e-9
+ROUNDS, SMOOTH, UNKNOWN = 3, 0.05, 1e-9
+#: Sums of words up to this length stay within a double's range; those of longer ones are kept as logarithms.
+SCALED = 60
 UNDETERMINED = "und"
 _MARK = 0x2581  # begins each word
 _CELLS = 1 << 19
 
 
 class Vocabulary:
-    """Letter pieces of the public vocabulary, lower case, found by the hash of their code points."""
+    """All letter pieces of the public vocabulary, lower case, found by a hash of their code points and compared with them. longest: code points of the longest."""
 
     def __init__(self, file: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=file)
         pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        pieces = sorted(p for p in pieces if len(p) <= MAX_PIECE and (p.strip("▁").isalpha() or p == "▁"))
-        h = np.array([self._hash(p) for p in pieces], np.uint64)
-        order = np.argsort(h)
-        self.hashes, self.size = h[order], len(pieces)
+        pieces = sorted((p for p in pieces if p.strip("▁").isalpha() or p == "▁"), key=lambda p: (self._hash(p), p))
+        self.hashes, self.size = np.array([self._hash(p) for p in pieces], np.uint64), len(pieces)
+        self.longest = max(map(len, pieces))
+        self.letters = np.zeros((len(pieces), self.longest), np.uint32)
+        for i, p in enumerate(pieces):
+            self.letters[i, : len(p)] = [ord(c) for c in p]
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -46,13 +50,21 @@ class Vocabulary:
         """Of words, one per row of code points, the piece of each length (last axis) that begins at each position; size: none."""
         code = mixed(words.astype(np.uint64))
         n, m = words.shape
-        out = np.full((n, m, min(MAX_PIECE, m)), self.size, np.int32)
+        out = np.full((n, m, min(self.longest, m)), self.size, np.int32)
         h = np.zeros_like(code)
         for k in range(out.shape[2]):
             h = h[:, : m - k] * np.uint64(0x9E3779B97F4A7C15) + code[:, k:]
             at = np.searchsorted(self.hashes, h)
             at[at == self.size] = 0
-            out[:, : m - k, k] = np.where(self.hashes[at] == h, at, self.size)
+            hit = self.hashes[at] == h
+            row, col = np.nonzero(hit)
+            same = np.ones(len(row), bool)
+            for i in range(k + 1):
+                same &= words[row, col + i] == self.letters[at[row, col], i]
+            if k + 1 < self.longest:  # no longer piece with that hash
+                same &= self.letters[at[row, col], k + 1] == 0
+            hit[row[~same], col[~same]] = False
+            out[:, : m - k, k] = np.where(hit, at, self.size)
         return out
 
 
@@ -136,8 +148,7 @@ def fit(samples: list[tuple[str, str]], file: str, rounds: int = ROUNDS) -> Mode
         for _ in range(rounds):
             seen = np.zeros(v.size + 1)
             for at, cp in _grouped(words):
-                if cp.shape[1] <= 60:
-                    seen += _expected(v.cells(cp), p, weight[at])
+                seen += (_expected if cp.shape[1] <= SCALED else _expected_logs)(v.cells(cp), p, weight[at])
             p = (seen + SMOOTH) / (seen[: v.size].sum() + SMOOTH * v.size)
             p[v.size] = UNKNOWN
         chances[:, k] = p
@@ -150,7 +161,7 @@ def _expected(cells: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarra
     none = len(p) - 1
     q = p[cells]
     q[:, :, 1:][cells[:, :, 1:] == none] = 0
-    q *= 1e3  # keeps the sums of words in range
+    q *= 30.0 ** np.arange(1, most + 1)  # the same for every segmentation of a word; keeps its sums in range
     up, down = np.zeros((m + 1, n)), np.zeros((m + 1, n))
     up[0] = down[m] = 1
     for j in range(1, m + 1):
@@ -168,6 +179,28 @@ def _expected(cells: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarra
     return out
 
 
+def _expected_logs(cells: np.ndarray, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """What _expected gives, with sums as logarithms: for words of any length."""
+    n, m, most = cells.shape
+    none = len(p) - 1
+    with np.errstate(divide="ignore"):
+        q = np.log(p)[cells]
+    q[:, :, 1:][cells[:, :, 1:] == none] = -np.inf
+    up, down = np.full((m + 1, n), -np.inf), np.full((m + 1, n), -np.inf)
+    up[0] = down[m] = 0
+    for j in range(1, m + 1):
+        k = min(most, j)
+        up[j] = np.logaddexp.reduce([up[j - s] + q[:, j - s, s - 1] for s in range(1, k + 1)])
+    for j in range(m - 1, -1, -1):
+        down[j] = np.logaddexp.reduce([down[j + s] + q[:, j, s - 1] for s in range(1, min(most, m - j) + 1)])
+    out = np.zeros(len(p))
+    for s in range(1, most + 1):
+        uses = np.exp(up[: m + 1 - s].T + q[:, : m + 1 - s, s - 1] + down[s:].T - up[m][:, None]) * weight[:, None]
+        out += np.bincount(cells[:, : m + 1 - s, s - 1].ravel(), uses.ravel(), len(p))
+    out[none] = 0
+    return out
+
+
 def letters(p: Points) -> tuple[np.ndarray, np.ndarray]:
     start, end, kind = p.runs()
     keep = kind == LETTER
@@ -229,7 +262,8 @@ def learned(docs: DataFrame, file: str | None = None, sample_docs: int = SAMPLE_
 def languages(docs: DataFrame, file: str | None = None, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One row per row of docs (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
-    The model knows text and lang of rows that are not held out; a prediction knows the text alone, all of it. Null texts and
+    The model knows text and lang of rows that are not held out, of each lang at most sample_docs of at most SAMPLE_CHARS code
+    points; a prediction knows the text alone, all of it, by all pieces of the vocabulary. Null texts and
     texts without a letter are `und` with score 0; so is every row if no row can be learned from. Equal scores go to the first
     language by code point. Repeated rows are rows of their own; an empty table gives an empty result.
     """
