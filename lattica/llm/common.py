@@ -184,7 +184,7 @@ def _same(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.n
 
 
 #: Digests of words are keyed; a process remembers so many of words up to so many bytes.
-_KEY, _KNOWN, _SHORT = b"lattica words", 400_000, 64
+_KEY, _KNOWN, _SHORT = b"lattica words", 200_000, 64
 _DIGESTS: dict[bytes, bytes] = {}
 
 

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,32 +24,30 @@ WINDOW, GRAM = 20, 8
 #: Bits of a fingerprint.
 BITS = 48
 #: Runs that an index holds before they are merged into one, and batches of doc_id that the query feeds to it.
-RUNS, BATCHES = 2, 4
+RUNS, BATCHES = 2, 3
 #: Windows are sent in blocks, by fingerprint: of about so many fingerprints each, LEAST_BLOCKS at least.
 BLOCK_PRINTS, LEAST_BLOCKS = 4096, 64
 #: Windows that a task compares before it sends them.
-FLUSH = 1_000_000
+FLUSH = 250_000
 
 
-def anchors(grams: np.ndarray, a: int, b: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the document of words a:b, the place of each window's fingerprint, and the distinct places, ascending."""
-    n = b - a - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    part = grams[a : b - gram + 1]
+def fingerprint_keys(grams: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Of the window from each place on, its fingerprint (the high BITS) and the low bits of the place that has it; over the ends of texts too."""
     span = window - gram + 1
-    least, at = part[:n].copy(), np.zeros(n, np.int64)
-    for k in range(1, span):
-        other = part[k : k + n]
-        less = other < least
-        least[less] = other[less]
-        at[less] = k
-    at += np.arange(n)
-    return at, np.unique(at)
+    if len(grams) < span:
+        return np.zeros(0, np.uint64)
+    low = np.uint64(64 - BITS)
+    keys = grams >> low << low | np.arange(len(grams), dtype=np.uint64) & np.uint64((1 << (64 - BITS)) - 1)
+    have = 1
+    while have < span:  # the least of `have` places, then of up to twice as many
+        step = min(have, span - have)
+        keys = np.minimum(keys[: len(keys) - step], keys[step:])
+        have += step
+    return keys
 
 
-def _short(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+def _short(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -59,12 +58,18 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
             ids, raws = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             for a, b in byte_slices(raws):
                 w = Words(raws[a:b])
-                grams, found, owner, times = w.grams(gram), [], [], []
-                for i in range(b - a):
-                    _, places = anchors(grams, int(w.bounds[i]), int(w.bounds[i + 1]), window, gram)
-                    prints, n = np.unique(_short(grams[w.bounds[i] + places]), return_counts=True)
-                    found.append(prints), times.append(n), owner.append(np.full(len(prints), ids[a + i], np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((found, np.int64), (owner, np.int64), (times, np.int32))], names=["print", "doc_id", "times"])
+                keys = fingerprint_keys(w.grams(gram), window, gram)
+                n = np.maximum(0, np.diff(w.bounds) - window + 1)  # windows of each text
+                at = np.repeat(w.bounds[:-1], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                owner, keys = np.repeat(np.arange(b - a), n), keys[at] if len(at) else keys[:0]
+                place = np.ones(len(at), bool)  # windows in a row share a place
+                place[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+                prints, owner = _short(keys[place]), owner[place]
+                order = np.lexsort((prints, owner))
+                prints, owner = prints[order], owner[order]
+                head = np.flatnonzero(np.append(True, (prints[1:] != prints[:-1]) | (owner[1:] != owner[:-1]))[: len(prints)])
+                times = np.diff(np.append(head, len(prints)))
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in ((prints[head], np.int64), (ids[a + owner[head]], np.int64), (times, np.int32))], names=["print", "doc_id", "times"])
 
     return docs.select("doc_id", "text").mapInArrow(make, "print long, doc_id long, times int")
 
@@ -83,7 +88,7 @@ class Run(NamedTuple):
 
 
 class Index:
-    """Runs of fingerprints, oldest first. Runs never change: a batch adds one, and when there are more than RUNS they are merged into a new one."""
+    """Runs of fingerprints, oldest first. Runs never change: a batch adds one, and where there are RUNS already they are merged into a new one first."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -114,6 +119,8 @@ class Index:
 
         The batch's prints are merge-joined with those of each earlier run: both lie in the same buckets, in order.
         """
+        if len(self.runs) >= RUNS:
+            self.compact()
         new, before, old_heavy = self._write(rows), list(self.runs), self.heavy()
         fresh = new.cold.groupBy("print").agg((F.sum("times") > 1).alias("again"))
         for k, r in enumerate(before):
@@ -125,14 +132,13 @@ class Index:
         wanted = fresh.where("again").select("print")
         hits = [new.cold.join(wanted, "print", "left_semi"), new.hot]
         for r in before:
-            hits += [r.cold.join(wanted, "print", "left_semi"), r.cold.join(F.broadcast(new.heavy), "print", "left_semi"), r.hot.join(F.broadcast(touched), "print", "left_semi")]
+            told = r.cold.join(F.broadcast(new.heavy.withColumn("_h", F.lit(True))), "print", "left").join(wanted.withColumn("_w", F.lit(True)), "print", "left")
+            hits += [told.where("_h OR _w"), r.hot.join(F.broadcast(touched), "print", "left_semi")]
         out = hits[0].select("print", "doc_id")
         for h in hits[1:]:
             out = out.unionByName(h.select("print", "doc_id"))
         out = staged(out, "substring-hits", "zstd")
         self.runs.append(new)
-        if len(self.runs) > RUNS:
-            self.compact()
         return out
 
     def compact(self) -> None:
@@ -200,21 +206,19 @@ def _windows(docs: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
             yield from _blocks(block[first], d[first], s[first], at[first], slices, window)
 
         for batch in batches:
+            prints = batch.column(2)
+            batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(prints), 0), 0))
             ids, raws, prints = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1)), batch.column(2).to_pylist()
             for a, b in byte_slices(raws):
-                if not any(prints[a:b]):
-                    continue
                 w = Words(raws[a:b])
-                grams, full = w.grams(gram), w.grams(window)
-                numbers = np.array([number.setdefault(x, len(number)) for x in w.distinct], np.int64)
-                slices.append((numbers[w.code], w.buffer.translate(_PLAIN), w.start, w.end))
+                full, keys = w.grams(window), fingerprint_keys(w.grams(gram), window, gram)
+                numbers = np.array([number.setdefault(x, len(number)) for x in w.distinct], np.int32)
+                slices.append((numbers[w.code] if len(w.code) else numbers, w.buffer.translate(_PLAIN), w.start, w.end))
                 for i in range(b - a):
-                    if not prints[a + i]:
+                    lo, hi = int(w.bounds[i]), int(w.bounds[i + 1]) - window + 1
+                    if hi <= lo:
                         continue
-                    lo = int(w.bounds[i])
-                    place, _ = anchors(grams, lo, int(w.bounds[i + 1]), window, gram)
-                    own = _short(grams[lo + place])
-                    given = np.array(prints[a + i], np.int64)
+                    own, given = _short(keys[lo:hi]), np.array(prints[a + i], np.int64)
                     heavy = given[given < 0]
                     start = np.flatnonzero(np.isin(own, np.where(given < 0, -1 - given, given)))
                     f = own[start]

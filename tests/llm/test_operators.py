@@ -56,9 +56,9 @@ def test_substring_dedup_is_brute_force(spark):
 def test_substring_query_feeds_batches_to_an_index(spark, monkeypatch):
     compacted, compact = [], substring.Index.compact
     monkeypatch.setattr(substring.Index, "compact", lambda self: (compacted.append(len(self.runs)), compact(self)))
-    found = got(substring.deduplicate_in_batches(table(spark)))
-    assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in found.items()} == without_repeats(TEXTS)
-    assert compacted == [substring.RUNS + 1]
+    found = got(substring.deduplicate_in_batches(table(spark).where("doc_id <> 44")))
+    assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in found.items()} == without_repeats({d: t for d, t in TEXTS.items() if d != 44})
+    assert compacted == [substring.RUNS]
 
 
 def test_substring_tells_twins_apart_and_heavy_fingerprints_meet(spark, monkeypatch):
@@ -236,6 +236,48 @@ def test_grammar_weighs_context():
     assert g.score("i will kill you") > 0.2 > g.score("kill time")
 
 
+def test_grammar_is_brute_force():
+    import random
+
+    g, r = toxicity.Grammar({"idiot": 0.9}), random.Random(8)
+    kinds = {"idiot": "i", "idiots": "i", "kill": "k", "you": "t", "not": "n", "aren't": "n", "don’t": "n", "said": "r"}
+    for _ in range(3000):
+        tokens = [r.choice(["idiot", "idiots", "kill", "you", "not", "aren't", "don’t", "said", "the", "a", "thing"]) for _ in range(r.randint(1, 14))]
+        k, want = [kinds.get(t, "o") for t in tokens], []
+        taken = -1  # a target ends a threat; so does a negation, or a later threat
+        for i, x in enumerate(k):
+            near = lambda c, n: c in k[max(0, i - n) : i]  # noqa: E731, B023
+            marks = {m for m, yes in (("report", "r" in k[:i]), ("target", near("t", 6)), ("negation", near("n", 3))) if yes}
+            if x == "i":
+                want.append("+".join(sorted(marks)))
+            if x == "t":
+                j = next((j for j in range(i - 1, max(taken, i - 4), -1) if k[j] in "kn"), None)
+                if j is not None and k[j] == "k":
+                    first, denied = j, False
+                    while True:  # threats in a row that each came while the one before waited
+                        denied = "n" in k[max(taken + 1, first - 3) : first]
+                        earlier = next((e for e in range(first - 1, max(taken, first - 4), -1) if k[e] in "kn"), None)
+                        if earlier is None or k[earlier] == "n":
+                            break
+                        first = earlier
+                    want.append("threat+" + "+".join(sorted(marks - {"negation"} | ({"negation"} if denied else set()) | {"target"})))
+                if j is not None and k[j] == "k":
+                    taken = i
+        assert [c for c, _ in g.clauses(" ".join(tokens))] == want, tokens
+
+
+def test_contractions_negate():
+    g = toxicity.Grammar({"idiot": 0.9})
+    assert g.score("you aren't an idiot.") == g.score("you are not an idiot.") < g.score("you are an idiot.")
+    assert g.score("i won't kill you") < g.score("i will kill you") and g.score("tu es l'idiot") > 0.5
+
+
+def test_toxicity_takes_repeated_rows_and_other_columns(spark):
+    docs, labels = labelled(spark, 100)
+    more = docs.unionByName(docs.where("doc_id = 5")).withColumns({"toxic": F.lit(0), "score": F.lit(0.5), "stem": F.lit("x"), "held_out": F.lit(True)})
+    assert toxicity.toxicity(more, labels.withColumn("text", F.lit("y"))).count() == 103
+
+
 def test_long_clauses_run_whole():
     g = toxicity.Grammar({"idiot": 0.9})
     hit, far = ("", 0.9), "a " * 15_000
@@ -406,7 +448,7 @@ def test_forward_is_the_sum_over_segmentations():
         n = len(word) + 1
         sums = [1.0] + [0.0] * n
         for j in range(1, n + 1):
-            for s in range(1, min(8, j) + 1):
+            for s in range(1, min(v.longest, j) + 1):
                 piece = cells[j - s, s - 1]
                 if piece < v.size or s == 1:
                     sums[j] += sums[j - s] * m.chances[piece, k]
@@ -418,6 +460,32 @@ def test_forward_is_the_sum_over_segmentations():
     assert np.isfinite(m.word_scores(["x" * 5000])).all()
 
 
+def test_vocabulary_has_every_letter_piece():
+    import sentencepiece
+
+    sp, v = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(langid.PIECE_FILE)), langid.Vocabulary(tokenizer_path(langid.PIECE_FILE))
+    pieces = {p for i in range(sp.get_piece_size()) if (p := sp.id_to_piece(i).lower()).strip("\u2581").isalpha() and not sp.is_control(i)}
+    assert max(map(len, pieces)) == v.longest > 8
+    for p in sorted(pieces, key=len)[-200:]:
+        at = v.cells(np.array([[ord(c) for c in p]], np.uint32))[0, 0, len(p) - 1]
+        assert at < v.size and "".join(map(chr, v.letters[at, : len(p)])) == p
+
+
+def test_expected_uses_are_the_same_on_both_sides_of_the_range():
+    v = langid.Vocabulary(tokenizer_path(langid.PIECE_FILE))
+    p = np.random.default_rng(3).random(v.size + 1)
+    cells, weight = v.cells(np.array([[langid._MARK, *map(ord, w)] for w in ("insurance", "religious")], np.uint32)), np.array([2.0, 3.0])
+    assert np.allclose(langid._expected(cells, p / p.sum(), weight), langid._expected_logs(cells, p / p.sum(), weight))
+    assert np.isfinite(langid.fit([("a", "x" * 3000), ("b", "ring")], tokenizer_path(langid.PIECE_FILE)).chances).all()
+
+
+def test_languages_take_long_texts_repeated_rows_and_ties(spark):
+    t = [(i, "same words here", "en" if i % 2 else "de") for i in range(8)] + [(8, "x" * 200_000, None), (0, "same words here", "de"), (None, "same words here", None)]
+    docs = spark.createDataFrame(t, "doc_id long, text string, lang string").withColumns({"score": F.lit(1), "p": F.lit(2), "_rank": F.lit(3)})
+    found = langid.languages(docs).collect()
+    assert len(found) == 11 and {r.lang_pred for r in found if r.doc_id != 8} == {"de"}
+
+
 def test_languages(spark):
     t = [(i, "the thing is that this ring thinks" if i % 2 else "der hund und die katze sind nicht hier", "en" if i % 2 else "de") for i in range(40)]
     docs = spark.createDataFrame([*t, (40, None, "en"), (41, "12 ... !", "de"), (42, "", None), (43, "the hund", None)], "doc_id long, text string, lang string")
