@@ -66,9 +66,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
     elif c == "clone":
         e.clone(a.out)
     elif c == "merge-graphs":
-        other, out = GraphEngine(spark, a.other), GraphEngine(spark, a.out)
-        nodes, edges = analysis.merge({"a": (e.nodes, e.edges), "b": (other.nodes, other.edges)})
-        out._finish(nodes, edges, out.store.table("raw_refs"), out.store.table("files"))
+        GraphEngine(spark, a.out).merge({"a": e, "b": GraphEngine(spark, a.other)})
     elif c == "save-result":
         e.save_result(a.question, a.outcome, a.nodes.split(","))
     elif c == "apply-semantic":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ from .operators.staging import written
 from .operators.store import Store, changed_files, clean_edges, file_diff, node_id, prune, replace_files
 from .sources import code, scan, text
 
+#: Edges that a file makes by itself; those between files are made again of all references.
+OWN = "coalesce(evidence, '') NOT LIKE 'xfile-%'"
+
 
 class GraphEngine:
     """A knowledge graph of a corpus. Inputs are DataFrames (path, content binary); results are DataFrames."""
@@ -43,7 +47,7 @@ class GraphEngine:
         nodes = nodes.unionByName(doc_nodes, True).unionByName(tr_nodes, True).unionByName(images, True)
         edges = edges.unionByName(doc_edges, True).unionByName(tr_edges, True)
         site = changed.select(F.col("path").alias("source_file"))
-        all_nodes, all_edges = replace_files(old_nodes, old_edges.where("evidence NOT LIKE 'xfile-%'"), nodes, edges, site)
+        all_nodes, all_edges = replace_files(old_nodes, old_edges.where(OWN), nodes, edges, site)
         all_refs = old_refs.join(site, "source_file", "left_anti").unionByName(refs, True)
         now = found.select("path", F.col("path").alias("abs_identity"), "file_type", "lang", "content_sha256", F.col("content_sha256").alias("ast_hash"), F.lit("present").alias("status"))
         kept = known.join(now.select("path"), "path", "left_anti").unionByName(now.join(known.select("path", "semantic_hash"), "path", "left"), True)
@@ -69,10 +73,11 @@ class GraphEngine:
         ).withColumn("id", F.shiftrightunsigned(F.xxhash64("src", "dst", "source_location"), 1))
         return self._file_nodes(docs, F.lit(kind)).unionByName(heads, True), held
 
-    def _finish(self, nodes: DataFrame, edges: DataFrame, refs: DataFrame, files: DataFrame, resolve_imports: bool = False, head: str | None = None) -> None:
+    def _finish(self, nodes: DataFrame, edges: DataFrame, refs: DataFrame, files: DataFrame, resolve_imports: bool = False, head: str | None = None, resolved: bool = False) -> None:
+        """Stores a graph. Edges between files are made of refs, unless `resolved` says that edges hold them already."""
         refs, nodes = written(refs, "refs"), written(nodes, "nodes")
-        cross = resolve.resolve(refs, nodes, resolve_imports).withColumn("id", F.shiftrightunsigned(F.xxhash64("src", "dst", "relation", "source_file", "source_location"), 1)).withColumn("weight", F.lit(1.0))
-        edges = written(clean_edges(edges.where("evidence NOT LIKE 'xfile-%'").unionByName(cross, True), nodes), "edges")
+        cross = None if resolved else resolve.resolve(refs, nodes, resolve_imports).withColumn("id", F.shiftrightunsigned(F.xxhash64("src", "dst", "relation", "source_file", "source_location"), 1)).withColumn("weight", F.lit(1.0))
+        edges = written(clean_edges(edges if resolved else edges.where(OWN).unionByName(cross, True), nodes), "edges")
         found = written(community.detect(nodes, edges), "communities")
         ranked = nodes.drop("degree", "community", "community_name").join(graph.degrees(nodes, edges), "id").join(found, "id", "left")
         ranked = written(ranked, "ranked")
@@ -83,6 +88,18 @@ class GraphEngine:
 
     update = extract
 
+    def merge(self, graphs: dict[str, "GraphEngine"]) -> None:
+        """Stores the union of other engines' graphs: all nodes and edges, references, files and hyperedges, under the name of each graph."""
+        nodes, edges = analysis.merge({t: (e.nodes, e.edges) for t, e in graphs.items()})
+
+        def union(table: str, ids: list[str], files: list[str]) -> DataFrame:
+            parts = [analysis.tagged(e.store.table(table), t, ids, files) for t, e in graphs.items()]
+            return reduce(lambda a, b: a.unionByName(b, True), parts)
+
+        refs = union("raw_refs", ["caller_id"], ["source_file"])
+        self._finish(nodes, edges, refs, union("files", [], ["path", "abs_identity"]), resolved=True)
+        self.store.commit({"hyperedges": union("hyperedges", ["id", "members"], ["source_file"])})
+
     def check_update(self, files: DataFrame, patterns: list[str] | None = None) -> DataFrame:
         return file_diff(self.store.table("files").where("status = 'present'"), scan.catalogue(files, patterns))
 

@@ -91,6 +91,14 @@ def lesson(pos: Column, neg: Column, corroboration: int = 2) -> Column:
     return F.when((pos > 0) & (neg > 0), "contested").when(pos >= corroboration, "preferred").when(pos > 0, "tentative").otherwise("dead_end")
 
 
+def tagged(rows: DataFrame, tag: str, ids: list[str] = (), files: list[str] = ()) -> DataFrame:
+    """Rows of a graph's table under the graph's name: digests of name and id in the columns `ids` (arrays too), the name before what `files` hold."""
+    digest = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit(tag), c), 1)
+    kinds = dict(rows.dtypes)
+    new = {c: F.transform(c, digest) if kinds[c].startswith("array") else digest(F.col(c)) for c in ids if c in kinds}
+    return rows.withColumns(new | {c: F.concat(F.lit(tag + "/"), F.col(c)) for c in files if c in kinds})
+
+
 def merge(graphs: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of several graphs in one: slugs and files carry the graph's name, ids are digests of name and id."""
     tagged_nodes, tagged_edges = [], []

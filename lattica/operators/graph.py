@@ -129,17 +129,18 @@ def shortest_path(edges: DataFrame, source: int, target: int, max_hops: int = 8,
     return spark.createDataFrame([], "hops int, path array<long>, relations array<string>")
 
 
-def tree(nodes: DataFrame, edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(id, label, depth, sort_key): containment outline from nodes that nothing contains; children by location, then id."""
+def tree(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, label, depth, sort_key): containment outline from nodes that nothing contains, down to the last level (max_depth None); children by location, then id. A node doesn't contain what contains it."""
     held = edges.where(F.col("relation").isin("contains", "method")).select("src", "dst").distinct()
     key = F.concat(F.coalesce("source_location", F.lit("")), F.lit(":"), F.lpad(F.col("id").cast("string"), 20, "0"))
     named = nodes.select("id", "label", key.alias("k"))
     level = named.join(held.select(F.col("dst").alias("id")), "id", "left_anti").select("id", "label", F.lit(0).alias("depth"), F.col("k").alias("sort_key"))
     level = written(level, "tree")
     out, depth = level, 0
-    while depth < max_depth:
+    while max_depth is None or depth < max_depth:
         depth += 1
         child = level.select(F.col("id").alias("src"), "sort_key").join(held, "src").join(named.select(F.col("id").alias("dst"), "label", "k"), "dst")
+        child = child.where(~F.array_contains(F.split("sort_key", "/"), F.col("k")))
         level = written(child.select(F.col("dst").alias("id"), "label", F.lit(depth).alias("depth"), F.concat("sort_key", F.lit("/"), "k").alias("sort_key")), "tree")
         if level.isEmpty():
             break

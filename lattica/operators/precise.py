@@ -36,12 +36,23 @@ def graph_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return every.groupBy("path").agg(F.min_by("source_file", F.struct("rank", "source_file")).alias("source_file"))
 
 
+#: Lines of a bucket in which points and spans meet.
+BUCKET = 64
+
+
 def enclosing(points: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
-    """Points (source_file, line, ...) with node_id, the innermost node whose lines hold them: latest start, then earliest end, then least id. `key` names a point."""
+    """Points (source_file, line, ...) with node_id, the innermost node whose lines hold them: latest start, then earliest end, then least id. `key` names a point.
+
+    A span lies in each bucket of lines that it touches and a point in one, so they meet by file and bucket, whatever the
+    size of the file; the innermost is found by partial aggregation.
+    """
     spans = nodes.where("kind <> 'file'").select(F.col("id").alias("node_id"), F.col("source_file").alias("_f"), location_start(F.col("source_location")).alias("_a"), location_end(F.col("source_location")).alias("_b"))
-    hit = points.join(spans, (F.col("source_file") == F.col("_f")) & F.col("line").between(F.col("_a"), F.col("_b")))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_a"), "_b", "node_id"))
-    return hit.withColumn("_r", rank).where("_r = 1").drop("_f", "_a", "_b", "_r")
+    cell = lambda c: F.floor(F.col(c) / BUCKET)
+    spans = spans.where("_a <= _b").withColumn("_cell", F.explode(F.sequence(cell("_a"), cell("_b"))))
+    hit = points.withColumn("_own", cell("line")).join(spans, (F.col("source_file") == F.col("_f")) & (F.col("_own") == F.col("_cell")) & F.col("line").between(F.col("_a"), F.col("_b")))
+    rest = [c for c in points.columns if c not in key]
+    best = F.min_by(F.struct(*rest, "node_id"), F.struct(-F.col("_a"), "_b", "node_id"))
+    return hit.groupBy(*key).agg(best.alias("_p")).select(*[F.col(c) if c in key else F.col(f"_p.{c}").alias(c) for c in points.columns], F.col("_p.node_id").alias("node_id"))
 
 
 def scip_edges(found: DataFrame, nodes: DataFrame) -> DataFrame:

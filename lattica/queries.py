@@ -430,6 +430,12 @@ def merged_graphs(s, d):
     return analysis.merge({"a": (n, e), "b": (n, e)})[0].select("slug", "source_file")
 
 
+@query(f"WITH {GRAPH_SQL} SELECT relation, 2 * count(*) AS n, 2 * count(DISTINCT id) AS ids FROM edges GROUP BY relation")
+def merged_edges(s, d):
+    n, e = g(s, d)
+    return analysis.merge({"a": (n, e), "b": (n, e)})[1].groupBy("relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
 _NOW = 1_767_225_600.0  # 2026-01-01
 
 

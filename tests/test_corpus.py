@@ -55,6 +55,19 @@ def test_query_answers_in_budget_and_logs(engine):
         engine.save_result("q", "fine", [])
 
 
+def test_merged_graphs_keep_edges_between_files_references_and_files(spark, engine, tmp_path):
+    both = GraphEngine(spark, str(tmp_path / "both"))
+    both.merge({"a": engine, "b": engine})
+    kinds = lambda e: {r.evidence: r["count"] for r in e.edges.groupBy("evidence").count().collect()}
+    one = kinds(engine)
+    assert kinds(both) == {k: 2 * n for k, n in one.items()} and any(k.startswith("xfile") for k in one)
+    for t in ("raw_refs", "files", "hyperedges"):
+        assert both.store.table(t).count() == 2 * engine.store.table(t).count()
+    refs, nodes = both.store.table("raw_refs"), both.nodes.select(F.col("id").alias("caller_id"))
+    assert refs.join(nodes, "caller_id", "left_semi").count() == refs.count()
+    assert {p[:2] for (p,) in both.store.table("files").select("path").collect()} == {"a/", "b/"}
+
+
 def test_update_keeps_ids_and_equals_rebuild(spark, engine, tmp_path):
     new = FILES | {"api.py": API.replace("handle_request", "serve")}
     del new["docs/spec.md"]

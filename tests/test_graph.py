@@ -140,3 +140,26 @@ def test_triage_and_lessons(spark):
     prs = spark.createDataFrame([(7, "x", ["a.py"]), (8, "y", ["c.py"])], "number int, title string, files array<string>")
     found = [(r.number, r.blast_radius) for r in analysis.triage(prs, n, edges(spark, [(2, 1), (3, 2)])).collect()]
     assert found == [(7, 2), (8, 0)]
+
+
+def test_trees_have_every_level_and_end_at_a_cycle(spark):
+    from lattica.operators.graph import tree
+
+    nodes = spark.createDataFrame([(i, f"n{i}", f"L{i}") for i in range(20)], "id long, label string, source_location string")
+    steps = [(i, i + 1) for i in range(19)] + [(19, 10)]
+    edges = spark.createDataFrame([(a, b, "contains") for a, b in steps], "src long, dst long, relation string")
+    assert {r.id: r.depth for r in tree(nodes, edges).collect()} == {i: i for i in range(20)}
+
+
+def test_enclosing_is_brute_force_across_buckets(spark):
+    import random
+
+    from lattica.operators.precise import enclosing
+
+    r = random.Random(6)
+    spans = [(i, f"f{i % 2}", a, a + r.choice([0, 3, 70, 500])) for i in range(80) if (a := r.randint(1, 400))]
+    points = [(i, f"f{i % 2}", r.choice([1, 63, 64, 65, 128, r.randint(1, 600)]), f"t{i}") for i in range(120)]
+    nodes = spark.createDataFrame([(i, f, "function", f"L{a}-L{b}") for i, f, a, b in spans], "id long, source_file string, kind string, source_location string")
+    found = enclosing(spark.createDataFrame(points, "place long, source_file string, line int, note string"), nodes, ["place"])
+    want = {p: (min(hit)[2], note) for p, f, line, note in points if (hit := [(-a, b, i) for i, g, a, b in spans if g == f and a <= line <= b])}
+    assert {x.place: (x.node_id, x.note) for x in found.collect()} == want
