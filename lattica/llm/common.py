@@ -123,6 +123,7 @@ def _powers(base: np.uint64, name: str, n: int) -> np.ndarray:
     return have
 
 
+_MIXED = mixed(np.arange(1, 257, dtype=np.uint64))
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -144,21 +145,28 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
-def span_codes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def span_hashes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each span of a buffer (bytes or code points, none empty), the same for the same content wherever it lies. They only group: contents with one hash are easily made."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    codes = _MIXED[buffer] if buffer.dtype == np.uint8 else mixed(buffer.astype(np.uint64) + np.uint64(1))
+    codes *= _powers(_BASE, "base", len(buffer))[: len(buffer)]
+    sums = np.add.accumulate(codes, out=codes)
+    before = np.where(start > 0, sums[start - 1], np.uint64(0))
+    h = (sums[end - 1] - before) * _powers(_INVERSE, "inverse", len(buffer))[start]
+    return mixed(h ^ (end - start).astype(np.uint64))
+
+
+def span_codes(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(number of each span's content, first span of each content): equal numbers mean equal content, item by item.
 
-    Spans of a buffer (bytes or code points, none empty) are grouped by a hash; then each is compared with the first of its
-    group, whole. Hashes that collide only cost time: those spans are told apart by their bytes.
+    Spans of a buffer (bytes or code points, none empty) are grouped by a hash (hashes: these, if known); then each is compared
+    with the first of its group, whole. Hashes that collide only cost time: those spans are told apart by their bytes.
     """
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = mixed(buffer.astype(np.uint64) + np.uint64(1))
-    codes *= _powers(_BASE, "base", len(buffer))[: len(buffer)]
-    sums = np.add.accumulate(codes)
-    before = np.where(start > 0, sums[start - 1], np.uint64(0))
-    h = (sums[end - 1] - before) * _powers(_INVERSE, "inverse", len(buffer))[start]
     length = end - start
-    code, distinct = pd.factorize(mixed(h ^ length.astype(np.uint64)))
+    code, distinct = pd.factorize(span_hashes(buffer, start, end) if hashes is None else hashes)
     first = _firsts(code, len(distinct))
     if not _same(buffer, start, length, first[code]):
         content = [buffer[s:e].tobytes() for s, e in zip(start.tolist(), end.tolist())]
@@ -203,21 +211,60 @@ def word_digests(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
-class Words:
-    """The words of texts (UTF-8 bytes) together: those of text i are bounds[i]:bounds[i + 1]. code: a number of each word, the same for the same bytes only; distinct: the word of each number."""
+def rolled(values: np.ndarray, k: int) -> np.ndarray:
+    """64-bit hash of the k values from each place on; shorter by k - 1."""
+    n = len(values)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(values * _powers(_BASE, "base", n)[:n])))
+    return mixed((total[k:] - total[:-k]) * _powers(_INVERSE, "inverse", n)[: n - k + 1] + np.uint64(k))
+
+
+class Spans:
+    """The words of texts (UTF-8 bytes) together: those of text i are bounds[i]:bounds[i + 1]."""
 
     def __init__(self, raws: list[bytes], lower: bool = False):
         self.buffer = b" ".join(raws)
         if lower:
             self.buffer = self.buffer.translate(_LOWER)
-        raw = np.frombuffer(self.buffer, np.uint8)
-        self.start, self.end = word_spans(raw)
-        self.code, first = span_codes(raw, self.start, self.end)
-        self.distinct = [self.buffer[s:e] for s, e in zip(self.start[first].tolist(), self.end[first].tolist())]
+        self.raw = np.frombuffer(self.buffer, np.uint8)
+        self.start, self.end = word_spans(self.raw)
         sizes = np.array([len(r) for r in raws], np.int64)
         begin = np.cumsum(sizes + 1) - sizes - 1
         self.bounds = np.searchsorted(self.start, np.append(begin, len(self.buffer) + 1), "left")
-        self._lanes = None
+        self._hashes = None
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """64 bits of each word, which only group."""
+        if self._hashes is None:
+            self._hashes = span_hashes(self.raw, self.start, self.end)
+        return self._hashes
+
+    def marks(self, k: int) -> np.ndarray:
+        """64 bits of the k words from each place on, over the ends of texts too, which only group; shorter by k - 1."""
+        return rolled(self.hashes, k)
+
+    def numbered(self, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """(number of each of the words at some places, the word of each number): the same for the same bytes only."""
+        start, end = self.start[at], self.end[at]
+        code, first = span_codes(self.raw, start, end, self.hashes[at])
+        return code, [self.buffer[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
+
+
+class Words(Spans):
+    """Spans with code: a number of each word, the same for the same bytes only; distinct: the word of each number."""
+
+    def __init__(self, raws: list[bytes], lower: bool = False):
+        super().__init__(raws, lower)
+        self.code, self.first = span_codes(self.raw, self.start, self.end, self.hashes)
+        self._distinct = self._lanes = None
+
+    @property
+    def distinct(self) -> list[bytes]:
+        if self._distinct is None:
+            self._distinct = [self.buffer[s:e] for s, e in zip(self.start[self.first].tolist(), self.end[self.first].tolist())]
+        return self._distinct
 
     def lane(self, k: int) -> np.ndarray:
         """64 bits of each word's digest."""
@@ -227,18 +274,14 @@ class Words:
 
     def grams(self, k: int, lane: int = 0) -> np.ndarray:
         """64-bit hash of the k words from each place on, over the ends of texts too; shorter by k - 1. Lanes are independent."""
-        n = len(self.code)
-        if n < k:
-            return np.zeros(0, np.uint64)
-        total = np.concatenate((np.zeros(1, np.uint64), np.add.accumulate(self.lane(lane) * _powers(_BASE, "base", n)[:n])))
-        return mixed((total[k:] - total[:-k]) * _powers(_INVERSE, "inverse", n)[: n - k + 1] + np.uint64(k))
+        return rolled(self.lane(lane), k)
 
     def gram_codes(self, k: int) -> np.ndarray:
         """A number of the k words from each place on, the same for the same words only."""
         n = len(self.code)
         if n < k:
             return np.zeros(0, np.int64)
-        out, many = self.code[: n - k + 1], np.uint64(len(self.distinct))
+        out, many = self.code[: n - k + 1], np.uint64(len(self.first))
         for i in range(1, k):  # both factors are below 2 ** 32, so a pair is one 64-bit word
             out, _ = pd.factorize(out.astype(np.uint64) * many + self.code[i : n - k + 1 + i].astype(np.uint64))
         return out

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bucketed, byte_slices, discard, documents, in_batches, stage_path, staged, utf8
+from .common import Spans, Words, bucketed, byte_slices, discard, documents, in_batches, stage_path, staged, utf8
 
 WINDOW, GRAM = 20, 8
 #: Bits of a fingerprint.
@@ -57,8 +57,8 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         for batch in batches:
             ids, raws = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1))
             for a, b in byte_slices(raws):
-                w = Words(raws[a:b])
-                keys = fingerprint_keys(w.grams(gram), window, gram)
+                w = Spans(raws[a:b])
+                keys = fingerprint_keys(w.marks(gram), window, gram)
                 n = np.maximum(0, np.diff(w.bounds) - window + 1)  # windows of each text
                 at = np.repeat(w.bounds[:-1], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 owner, keys = np.repeat(np.arange(b - a), n), keys[at] if len(at) else keys[:0]
@@ -208,25 +208,36 @@ def _windows(docs: DataFrame, window: int, gram: int, blocks: int) -> DataFrame:
         for batch in batches:
             prints = batch.column(2)
             batch = batch.filter(pc.greater(pc.fill_null(pc.list_value_length(prints), 0), 0))
-            ids, raws, prints = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1)), batch.column(2).to_pylist()
+            ids, raws, prints = batch.column(0).to_numpy(zero_copy_only=False), utf8(batch.column(1)), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+            upto = np.append(0, np.cumsum(pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)))  # prints of the texts before each
             for a, b in byte_slices(raws):
-                w = Words(raws[a:b])
-                full, keys = w.grams(window), fingerprint_keys(w.grams(gram), window, gram)
-                numbers = np.array([number.setdefault(x, len(number)) for x in w.distinct], np.int32)
-                slices.append((numbers[w.code] if len(w.code) else numbers, w.buffer.translate(_PLAIN), w.start, w.end))
-                for i in range(b - a):
-                    lo, hi = int(w.bounds[i]), int(w.bounds[i + 1]) - window + 1
-                    if hi <= lo:
-                        continue
-                    own, given = _short(keys[lo:hi]), np.array(prints[a + i], np.int64)
-                    heavy = given[given < 0]
-                    start = np.flatnonzero(np.isin(own, np.where(given < 0, -1 - given, given)))
-                    f = own[start]
-                    if len(heavy):
-                        f = np.where(np.isin(f, -1 - heavy), -1, f)
-                    kept.append((full[lo + start], np.full(len(start), int(ids[a + i]), np.int64), start, f, have[1] + lo + start))
-                    have[0] += len(start)
-                have[1] += len(w.code)
+                w = Spans(raws[a:b])
+                n = np.maximum(0, np.diff(w.bounds) - window + 1)  # windows of each text
+                at = np.repeat(w.bounds[:-1], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                if not len(at):
+                    continue
+                owner, own = np.repeat(np.arange(b - a), n), _short(fingerprint_keys(w.marks(gram), window, gram)[at])
+                head = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])))
+                given, of = prints[upto[a] : upto[b]], np.repeat(np.arange(b - a), np.diff(upto[a : b + 1]))
+                heavy = given < 0
+                keyed = lambda text, f: text.astype(np.uint64) << np.uint64(BITS) | f.astype(np.uint64)
+                mine, given = keyed(owner[head], own[head]), keyed(of, np.where(heavy, -1 - given, given))
+                asked, alike = np.isin(mine, given), np.diff(np.append(head, len(own)))
+                pick = np.repeat(asked, alike)
+                f, at, owner = np.repeat(np.where(np.isin(mine, given[heavy]), -1, own[head]), alike)[pick], at[pick], owner[pick]
+                if not len(at):
+                    continue
+                used = np.zeros(len(w.start) + 1, np.int32)  # words of some window that is asked for
+                used[at] += 1
+                used[at + window] -= 1
+                places = np.flatnonzero(np.cumsum(used[:-1]))
+                code, distinct = w.numbered(places)
+                numbers = np.full(len(w.start), -1, np.int32)
+                numbers[places] = np.array([number.setdefault(x, len(number)) for x in distinct], np.int32)[code]
+                slices.append((numbers, w.buffer.translate(_PLAIN), w.start, w.end))
+                kept.append((w.marks(window)[at], ids[a + owner].astype(np.int64), at - w.bounds[owner], f, have[1] + at))
+                have[0] += len(at)
+                have[1] += len(numbers)
                 if have[0] > FLUSH:
                     yield from flush()
                     kept, slices, number, have = [], [], {}, [0, 0]
@@ -295,7 +306,7 @@ def _repeats(blocks: DataFrame, window: int) -> DataFrame:
             n = rows["length"].astype(np.int64)
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             d, s, at = np.repeat(rows["doc"], n), np.repeat(rows["start"].astype(np.int64), n) + inside, np.repeat(w.bounds[:-1], n) + inside
-            later = _later(w.grams(window)[at], d, s, at, w.code, window)
+            later = _later(w.marks(window)[at], d, s, at, w.code, window)
             yield from _marks(d[later], s[later])
 
         for batch in batches:

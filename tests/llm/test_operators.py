@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, exact, langid, media, mix, near, secretscan, substring, tokenfile, toxicity
+from lattica.llm import bpe, common, exact, langid, media, mix, near, secretscan, substring, tokenfile, toxicity
 from lattica.llm.common import staged, tokenizer_path
 
 from .fixture import empty, rows, table
@@ -88,6 +88,21 @@ def test_substring_index_without_history_raises(spark):
         substring.deduplicate(table(spark).where("doc_id >= 10"), index)
 
 
+def test_substring_marks_only_group_and_need_no_digests(spark, monkeypatch):
+    """Fingerprints come from arrays alone: a digest of each distinct word took more time than all else in them."""
+    monkeypatch.setattr(common, "word_digests", lambda words: pytest.fail("a digest of each word"))
+    w = common.Spans([b"a b  c d", b"x a\tb c", f"{TWIN_A} b c".encode(), f"{TWIN_B} b c".encode()])
+    assert w.bounds.tolist() == [0, 4, 8, 11, 14]
+    marks = w.marks(3)
+    assert marks[0] == marks[5] and marks[8] == marks[11]  # equal words, and twins
+    assert len({int(marks[i]) for i in (0, 1, 4, 8)}) == 4
+    code, distinct = w.numbered(np.array([0, 5, 8, 11, 13]))
+    assert [distinct[c] for c in code] == [b"a", b"a", TWIN_A.encode(), TWIN_B.encode(), b"c"] and len(distinct) == 4
+    texts = {1: " ".join(f"w{i}" for i in range(60)), 2: "z " + "  ".join(f"w{i}" for i in range(20, 50)), 3: None}
+    found = got(substring.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert {d: (r.n_words, r.n_removed, r.kept_sha256) for d, r in found.items()} == without_repeats(texts)
+
+
 def test_substring_edges(spark):
     assert substring.deduplicate(empty(spark)).count() == substring.deduplicate_in_batches(empty(spark)).count() == 0
     twice = table(spark).unionByName(table(spark).where("doc_id = 12"))
