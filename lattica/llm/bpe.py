@@ -8,7 +8,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucketed, documents, in_batches, tokenizer_path
-from .segment import Points, WordTable, byte_level_pieces, distinct_words, slices, text_ranges, word_level_pieces
+from .segment import TABLE_ROWS, Points, byte_level_pieces, distinct_words, slices, text_ranges, word_level_pieces
 
+#: Words that are merged in one call, where that is exact, and code points that are encoded at once.
+JOINED, POINTS = 64, 1 << 20
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -49,8 +51,49 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces_of = word_level_pieces if self.lower else byte_level_pieces
-        self.table = WordTable(self.words)
+        self.table = IdTable(self.flat)
         self.bytes = _byte_characters()
+        pieces = {} if self.lower else self.tok.get_vocab(with_added_tokens=False)
+        self.ends = {a for piece in pieces for a, b in zip(piece, piece[1:]) if b == self.bytes[32]}  # what some piece has before a blank
+        self.lengths = np.zeros(max(pieces.values(), default=-1) + 1, np.int64)
+        for piece, i in pieces.items():
+            self.lengths[i] = len(piece)
+
+    def flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each word begin, how many they are).
+
+        Byte-level words that begin with a blank are merged some JOINED in a call: no merge reaches over a border where no piece
+        of the vocabulary has that letter before a blank. Borders are found again by the lengths of the pieces.
+        """
+        table, special, blank, ends = self.bytes, self.special, self.bytes[32], self.ends
+        joined, shown, lone = [], [], []
+        for k, w in enumerate(words if len(self.lengths) else ()):
+            if w[0] == " " and w not in special:
+                body = w[1:]
+                x = blank + body if body.isascii() and body.isalnum() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(table)
+                if x[-1] not in ends and blank not in x[1:]:
+                    joined.append(k)
+                    shown.append(x)
+                    continue
+            lone.append(k)
+        if not len(self.lengths):
+            lone = list(range(len(words)))
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        tokenize, ids = self.tok.model.tokenize, []
+        for i in range(0, len(shown), JOINED):
+            ids += [t.id for t in tokenize("".join(shown[i : i + JOINED]))]
+        ids = np.array(ids, np.uint32)
+        if joined:
+            upto, border = np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in shown])
+            last = np.searchsorted(upto, border)
+            if len(upto) <= last[-1] or not np.array_equal(upto[last], border):
+                raise ValueError("pieces don't end where words end")
+            size[joined] = np.diff(np.append(-1, last))
+            first[joined] = last + 1 - size[joined]
+        made = self.words([words[k] for k in lone])
+        size[lone] = [len(x) // 4 for x in made]
+        first[lone] = len(ids) + np.cumsum(size[lone]) - size[lone]
+        return np.concatenate((ids, np.frombuffer(b"".join(made), np.uint32))), first, size
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as 32-bit integers."""
@@ -97,26 +140,58 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
-        for a, b in slices(texts):
+        for a, b in slices(texts, POINTS):
             p, start, end, bounds = self.pieces(texts[a:b])
-            code, known = self.table.look_up(p, start, end)
-            ids, upto = spread(known, code)
+            ids, upto = self.table.look_up(p, start, end)
             for k in range(b - a):
                 yield ids[upto[bounds[k]] : upto[bounds[k + 1]]]
 
 
-def spread(known: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of words by position, ends of each word in them), from the ids of distinct words and the number of the word at each position."""
-    return spread_flat(np.frombuffer(b"".join(known), np.uint32), np.array([len(x) // 4 for x in known], np.int64), code)
-
-
-def spread_flat(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    first = np.cumsum(size) - size
+class IdTable:
+    """Ids of the distinct words of the slices so far, in one array, and where those of each word lie; it starts anew when it has many rows."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = TABLE_ROWS):
+        self.encode, self.rows = encode, rows
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}  # first place << 32 | how many
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _learn(self, words: list[str]) -> list[int]:
+        ids, first, size = self.encode(words)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(self.used + len(ids), np.uint32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = ((self.used + first) << 32 | size).tolist()
+        self.used += len(ids)
+        self.known.update(zip(words, at))
+        return at
+
+    def look_up(self, p: Points, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the spans, ends of each span in them)."""
+        code, words = distinct_words(p, start, end)
+        if len(self.known) > self.rows:
+            self._clear()
+        at = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(at) if x is None]
+        for i, x in zip(new, self._learn([words[i] for i in new]) if new else ()):
+            at[i] = x
+        place = np.array(at, np.int64)
+        return placed(self.flat, place >> 32, place & 0xFFFFFFFF, code)
+
+
+def placed(flat: np.ndarray, first: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of words by position, ends of each word in them), from the number of the word at each position, and where in `flat` the ids of each number lie."""
     per = size[code]
     upto = np.concatenate(([0], np.cumsum(per)))
     return flat[np.repeat(first[code] - upto[:-1], per) + np.arange(upto[-1])], upto
 
 
+def spread_flat(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return placed(flat, np.cumsum(size) - size, size, code)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

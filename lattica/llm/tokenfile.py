@@ -24,6 +24,37 @@ MAGIC = b"S8BTOK1\n"
 #: Ids after which a file ends, and ids that are packed together, about.
 FILE_TOKENS, GROUP = 8_000_000, 1 << 19
 END_ID = 2
+#: More blocks than this find their words side by side.
+SIDE = 32
+
+
+_LENGTHS = np.array([i.bit_length() for i in range(1 << 17)], np.uint8)
+_POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Bits of each 64-bit integer without leading zeros."""
+    if not len(values) or values.max() < len(_LENGTHS):
+        return _LENGTHS[values]
+    return np.searchsorted(_POWERS, values, "right").astype(np.uint8)
+
+
+def _word_starts(step: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Places in ascending order where words start, if a word that starts at i takes step[i] places and the first of each block starts at its beginning. Blocks go on side by side while there are many."""
+    heads = np.zeros(len(step), bool)
+    live = begin < end
+    while live.sum() > SIDE:
+        begin, end = begin[live], end[live]
+        heads[begin] = True
+        begin = begin + step[begin]
+        live = begin < end
+    steps, at = step.tobytes(), []
+    for i, last in zip(begin[live].tolist(), end[live].tolist()):
+        while i < last:
+            at.append(i)
+            i += steps[i]
+    heads[at] = True
+    return np.flatnonzero(heads)
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,22 +67,16 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = np.zeros(int(room.sum()), np.uint64)
     values[np.repeat(begin - old, sizes) + np.arange(len(ids))] = ids
     choice = np.full(len(values), len(COUNTS) - 1, np.uint8)
+    width = bit_lengths(values)
+    most, have = width, 1  # the widest of the `have` ids from each place on
     for s in range(len(COUNTS) - 2, -1, -1):  # from few ids to many: the last that fits stays
         c = int(COUNTS[s])
-        wide = np.concatenate(([0], np.cumsum(values >= np.uint64(1 << int(BITS[s])), dtype=np.int32)))
-        fits = np.flatnonzero(wide[c:] == wide[: len(wide) - c])
-        choice[fits] = s
-    choice[values >= np.uint64(1 << 60)] = ESCAPE
-    step = np.append(COUNTS, [1, 1])[choice].astype(np.uint8).tobytes()
-    at: list[int] = []
-    per: list[int] = []
-    for b, n in zip(begin.tolist(), sizes.tolist()):
-        i, end, before = b, b + n, len(at)
-        while i < end:
-            at.append(i)
-            i += step[i]
-        per.append(len(at) - before)
-    where = np.array(at, np.int64)
+        n = len(values) - c + 1
+        most, have = np.maximum(most[:n], most[c - have : c - have + n]), c
+        np.copyto(choice[:n], s, where=most <= BITS[s])
+    choice[width > 60] = ESCAPE
+    where = _word_starts(np.append(COUNTS, [1, 1])[choice].astype(np.uint8), begin, begin + sizes)
+    per = np.searchsorted(where, begin + sizes) - np.searchsorted(where, begin)
     kind = choice[where]
     length = 1 + (kind == ESCAPE)
     place = np.cumsum(length) - length

@@ -438,6 +438,41 @@ def test_token_files_are_the_library(spark, tmp_path):
     assert tokenfile.read_tokens(none, f"file://{tmp_path}/e").count() == 0
 
 
+def test_words_are_merged_together_and_packed_side_by_side():
+    """What op8 spends its time on: a call a distinct word, and a step a packed word."""
+    e = bpe.Encoder(tokenizer_path(bpe.BYTE_FILE))
+    calls, model = [], e.tok.model
+
+    class Counted:
+        def tokenize(self, x):
+            calls.append(x)
+            return model.tokenize(x)
+
+    class Tok:
+        model = Counted()
+
+    library, e.tok = e.tok, Tok()
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    texts = [" ".join(f"wo{letters(i)}x{letters(k)}ć" for i in range(400)) + "  \n x  à é\xa0 \xa0y 's <|endoftext|> z" for k in range(5)]
+    found = list(e.encode([*texts, "", texts[0]]))
+    assert [x.tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in [*texts, "", texts[0]]]
+    assert len(calls) < 100  # of 2,000 distinct words
+
+    r = np.random.default_rng(7)
+    sizes = np.append(r.integers(0, 40, 3 * tokenfile.SIDE), [9000, 1])
+    begin = np.cumsum(sizes) - sizes
+    step = r.integers(1, 61, int(sizes.sum())).astype(np.uint8)
+    want = []
+    for b, n in zip(begin.tolist(), sizes.tolist()):
+        i = b
+        while i < b + n:
+            want.append(i)
+            i += int(step[i])
+    assert tokenfile._word_starts(step, begin, begin + sizes).tolist() == want
+    wide = r.integers(0, 1 << 63, 50, dtype=np.uint64) >> r.integers(0, 64, 50, dtype=np.uint64)
+    assert tokenfile.bit_lengths(wide).tolist() == [int(x).bit_length() for x in wide] and tokenfile.bit_lengths(np.uint64([0, 1, 2, 131071])).tolist() == [0, 1, 2, 17]
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
     for k in range(60):
