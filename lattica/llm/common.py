@@ -194,20 +194,20 @@ def _same(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.n
 #: Digests of words are keyed; a process remembers so many of words up to so many bytes.
 _KEY, _KNOWN, _SHORT = b"lattica words", 200_000, 64
 _DIGESTS: dict[bytes, bytes] = {}
+_KEYED = hashlib.blake2b(digest_size=16, key=_KEY)
 
 
 def word_digests(words: list[bytes]) -> np.ndarray:
     """128 bits of a keyed digest of each word, as two 64-bit lanes."""
     if len(_DIGESTS) > _KNOWN:
         _DIGESTS.clear()
-    out = []
-    for w in words:
-        d = _DIGESTS.get(w)
-        if d is None:
-            d = hashlib.blake2b(w, digest_size=16, key=_KEY).digest()
-            if len(w) <= _SHORT:
-                _DIGESTS[w] = d
-        out.append(d)
+    out = list(map(_DIGESTS.get, words))
+    for i in [i for i, d in enumerate(out) if d is None]:
+        w, h = words[i], _KEYED.copy()
+        h.update(w)
+        out[i] = d = h.digest()
+        if len(w) <= _SHORT:
+            _DIGESTS[w] = d
     return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 

@@ -23,6 +23,8 @@ CENTRES, BESIDE = 8, 256
 FILTER_BITS, SEGMENT_BITS = 1 << 28, 1 << 20
 #: Bytes of text of pairs that are confirmed together, about.
 PAIR_BYTES = 4 << 20
+#: Up to so many distinct edges, counted, components are found in one task; above it by rounds of stars in the cluster, with the same result.
+TOGETHER = 1_000_000
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -120,9 +122,36 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, sig binary, bands array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of the ends of edges (u, v): root is the least id that links reach; by large and small stars, round by round."""
+def _joined_together(pairs: DataFrame) -> DataFrame:
+    """(id, root) of the ends of pairs (u, v) but roots, in one task: roots hook to lesser ones, then all ids jump to their root, until no pair has two."""
+
+    def join(batches):
+        parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        u, v = (np.concatenate(x) for x in zip(*parts))
+        ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        u, v, root = at[: len(u)], at[len(u) :], np.arange(len(ids))
+        while True:
+            x, y = root[u], root[v]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root[root] != root).any():
+                root = root[root]
+        other = np.flatnonzero(root != np.arange(len(ids)))
+        for i in range(0, len(other), 1 << 16):
+            own = other[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], names=["id", "root"])
+
+    return pairs.coalesce(1).mapInArrow(join, "id long, root long")
+
+
+def components(edges: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """(id, root) of the ends of edges (u, v) but roots: root is the least id that links reach; in one task, or by large and small stars, round by round."""
     pairs = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "near-edges")
+    if pairs.count() <= together:
+        return staged(_joined_together(pairs), "near-stars")
     mark = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -231,8 +260,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return right.join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(check, "u long, v long")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a < b) whose sizes allow the similarity and whose signatures don't rule it out."""
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int, judged: DataFrame | None = None) -> DataFrame:
+    """The distinct pairs (a < b), without those judged before, whose sizes allow the similarity and whose signatures don't rule it out."""
     least = least_estimate(percent)
 
     def judge(batches):
@@ -244,6 +273,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    if judged is not None:
+        pairs = pairs.join(judged, ["a", "b"], "left_anti")
     one = pairs.join(reps.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
     two = one.join(reps.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -254,15 +285,27 @@ def _stars(members: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) of buckets, and the members that were a centre.
 
     members: key, cls, label, part, done. Of each part of a bucket the first `centres` members that were none yet become
-    centres, and each meets all members of the bucket with another label: in one task per part, so that no task holds a bucket.
+    centres, and each meets the members of the bucket with another label: in one task per part, so that no task holds a bucket.
+    Members that were a centre before have met all others then; those with their label had it ever since.
     """
     order = F.row_number().over(Window.partitionBy("key", "part").orderBy("cls"))
     chosen = staged(members.where("NOT done").withColumn("rank", order).where(F.col("rank") <= centres).select("key", "cls", "label"), "near-centres")
     everywhere = chosen.join(members.select("key", "part").distinct(), "key").select("key", "part", F.col("cls").alias("c"), F.col("label").alias("l"))
-    return members.join(everywhere, ["key", "part"]).where("label <> l").select(F.col("c").alias("a"), F.col("cls").alias("b")), chosen.select("key", "cls")
+    return members.where("NOT done").join(everywhere, ["key", "part"]).where("label <> l").select(F.col("c").alias("a"), F.col("cls").alias("b")), chosen.select("key", "cls")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def _merged(labels: DataFrame | None, links: DataFrame, together: int) -> DataFrame:
+    """labels (id, root; None: none yet) after links (u, v): only the links' roots are joined, and take what has them along."""
+    if labels is None:
+        return components(links, together)
+    ends = links.join(labels.select(F.col("id").alias("u"), F.col("root").alias("ru")), "u", "left").join(labels.select(F.col("id").alias("v"), F.col("root").alias("rv")), "v", "left")
+    roots = components(ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")), together)
+    moved = roots.select(F.col("id").alias("root"), F.col("root").alias("to"))
+    told = labels.join(moved, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return staged(told.unionByName(roots.join(labels.select("id"), "id", "left_anti").select("id", "root")), "near-labels")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, together: int = TOGETHER) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts lower-case A-Z and split at ASCII white space; a text's set has its distinct shingles of `words` words, or its whole
@@ -276,6 +319,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bands disagree with chance 5e-8), and is linked only when its texts' shingles, compared word for word, are similar enough.
     In each bucket stars are confirmed, round by round, from one centre and then from more, against all members that are not yet
     in the centre's component, until a bucket is one component or every member was a centre: no bucket is cut, no pair left out.
+    A pair is judged once, in whichever bucket it comes up first. together: as many edges as components are found of in one task.
     """
     rows = staged(signatures(in_batches(docs), words), "near-signatures")
     reps = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cls"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
@@ -288,12 +332,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     members = staged(members, "near-buckets")
     texts = staged(_texts_of(docs, staged(members.select("cls").distinct(), "near-wanted")), "near-texts")
 
-    found, labels, centres = None, None, 1
+    judged, labels, centres = None, None, 1
     while members.limit(1).count():
         pairs, chosen = _stars(members, centres)
-        links = staged(_confirmed(_likely(pairs, reps, percent), texts, words, percent), "near-links")
-        found = links if found is None else found.unionByName(links)
-        labels = components(found)
+        likely = _likely(pairs, reps, percent, judged)
+        likely = staged(likely, "near-likely")
+        judged = likely if judged is None else judged.unionByName(likely)
+        links = staged(_confirmed(likely, texts, words, percent), "near-links")
+        labels = _merged(labels, links, together)
         was = members.join(chosen.withColumn("now", F.lit(True)), ["key", "cls"], "left").select("key", "cls", "part", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         told = was.join(labels, was["cls"] == labels["id"], "left").select("key", "cls", F.coalesce("root", "cls").alias("label"), "part", "done")
         open_keys = told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("done").alias("all")).where("l <> h AND NOT all").select("key")

@@ -603,6 +603,29 @@ def test_near_edges_and_hot_buckets(spark, monkeypatch):
     assert [(r.component_id, r.kept) for r in null_id] == [(None, True)]
 
 
+@pytest.mark.parametrize("together", [0, 1_000_000])
+def test_near_judges_a_pair_once_and_merges_rounds(spark, monkeypatch, together):
+    """Buckets of texts that share bands but aren't similar stay open for many rounds; components are the same in one task and in the cluster."""
+    import random
+
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(40)]
+    texts = {i: " ".join([*base[: r.randint(25, 40)], *(f"n{i}x{j}" for j in range(r.randint(2, 12)))]) for i in range(40)}
+    judged, confirmed = [], near._confirmed
+    monkeypatch.setattr(near, "CENTRES", 2)
+    monkeypatch.setattr(near, "_confirmed", lambda pairs, *a: (judged.append({(x.a, x.b) for x in pairs.collect()}), confirmed(pairs, *a))[1])
+    found = got(near.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=2, together=together))
+    assert {d: tuple(x)[1:] for d, x in found.items()} == components(texts, 2, 80)
+    assert len(judged) > 2 and sum(map(len, judged)) == len(set().union(*judged)) > 100
+
+
+def test_labels_follow_links(spark):
+    old = spark.createDataFrame([(4, 1), (8, 6)], "id long, root long")
+    for together in (0, 10):
+        found = near._merged(old, spark.createDataFrame([(8, 4), (9, 10), (5, 9), (2, 8)], "u long, v long"), together)
+        assert {x.id: x.root for x in found.collect()} == {2: 1, 4: 1, 6: 1, 8: 1, 9: 5, 10: 5}
+
+
 def test_collision_corrected_estimate():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
