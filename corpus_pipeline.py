@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.bpe import bpe_documents
-from lattica.llm.common import discard, documents, stage_path
+from lattica.llm.common import discard, documents, stage_path, staged, without_ids
 from lattica.llm.exact import without_duplicates
 from lattica.llm.langid import UNDETERMINED, learned, predicted
 from lattica.llm.mix import mixed_shards
@@ -35,9 +35,8 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: five words a shingle, similarity 0.8. Rows without doc_id stay."""
-    kept = near_duplicates(docs, words=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    told = near_duplicates(docs, words=5, percent=80).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return without_ids(docs, staged(told.where("NOT kept").select("doc_id"), "near-dropped")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

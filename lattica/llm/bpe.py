@@ -21,6 +21,8 @@ from .segment import TABLE_ROWS, Points, byte_level_pieces, distinct_words, slic
 
 #: Words that are merged in one call, where that is exact, and code points that are encoded at once.
 JOINED, POINTS = 64, 1 << 20
+#: From the first combining mark on, a letter may be composed otherwise.
+_COMBINED = re.compile("[\u0300-\U0010ffff]")
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
@@ -113,7 +115,7 @@ class Encoder:
     def _normal(self, text: str) -> str:
         if not self.lower:
             return text
-        if text.isascii() or max(text) < "\u0300":  # composed, and lower() goes letter by letter
+        if text.isascii() or not _COMBINED.search(text):  # composed, and lower() goes letter by letter
             return text.lower()
         return self.tok.normalizer.normalize_str(text)
 

@@ -65,6 +65,16 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataF
     return spark.table(table), at
 
 
+#: Up to so many ids, counted, are broadcast to the rows that go by them; above it both are shuffled, with the same result.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, most: int | None = None) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids (staged; doc_id, each once, none null): up to `most` ids, texts stay where they are."""
+    few = ids.count() <= (BROADCAST_IDS if most is None else most)
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

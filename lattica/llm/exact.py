@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, staged
+from .common import SPACE, documents, staged, without_ids
 
 #: Copies of a text meet in so many parts before the parts meet; groups whose decisions are broadcast: the largest ones.
 SALTS, LARGEST = 32, 10_000
@@ -73,11 +73,24 @@ def _decided(docs: DataFrame, small: DataFrame, decisions: DataFrame, winners: D
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one of each group: of rows that agree in doc_id, length and text without white space too, the one with the least text."""
+    """The rows of docs that stay, one of each group: of rows that agree in doc_id, length and text without white space too, the one with the least text.
+
+    A doc_id of one row stays or goes by its decision alone. Rows without doc_id, or that repeat one, are found by their texts.
+    """
+    told = staged(exact_duplicates(docs).select("doc_id", "kept", "text_sha256"), "exact-told")
+    per = staged(told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).where("doc_id IS NULL OR n > 1 OR NOT kept"), "exact-others")
+    out = without_ids(docs.where("doc_id IS NOT NULL"), per.where("doc_id IS NOT NULL").select("doc_id"))
+    several = per.where("kept AND (doc_id IS NULL OR n > 1)").select(F.col("doc_id").alias("_several"))
+    if several.limit(1).count():
+        out = out.unionByName(_one_of_each(docs.join(several, F.col("doc_id").eqNullSafe(F.col("_several")), "left_semi"), told))
+    return out
+
+
+def _one_of_each(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """The rows of docs that told keeps, by doc_id and digest; of those with one digest the longest, then the least text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    sha = F.sha2(F.regexp_replace(text, SPACE, ""), 256)
-    kept = exact_duplicates(docs).where("kept").select(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_own", sha)
+    kept = told.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    marked = docs.withColumn("_own", F.sha2(F.regexp_replace(text, SPACE, ""), 256))
     same = F.col("_own") == F.col("_sha")
     mine = marked.join(kept, same & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     order = F.row_number().over(Window.partitionBy("_own").orderBy(F.length(text).desc(), F.col("doc_id").asc_nulls_last(), text))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, held_out, in_batches, mixed, tokenizer_path
-from .segment import LETTER, Points, WordTable, slices, text_ranges
+from .segment import LETTER, Points, distinct_words, slices, text_ranges
 
 PIECE_FILE = "piece_bpe_32k.model"
 #: Of each language at most so many labelled documents are learned from, each of at most so many code points.
@@ -22,6 +22,8 @@ SCALED = 60
 UNDETERMINED = "und"
 _MARK = 0x2581  # begins each word
 _CELLS = 1 << 19
+#: Bits of a hash that are left out where pieces may be ruled out. Words that a worker knows the scores of.
+_SHIFT, _KNOWN = 44, 100_000
 
 
 class Vocabulary:
@@ -35,6 +37,8 @@ class Vocabulary:
         pieces = sorted((p for p in pieces if p.strip("▁").isalpha() or p == "▁"), key=lambda p: (self._hash(p), p))
         self.hashes, self.size = np.array([self._hash(p) for p in pieces], np.uint64), len(pieces)
         self.longest = max(map(len, pieces))
+        self.begins = np.zeros(1 << (64 - _SHIFT), bool)  # by the first bits of a hash, whether what some piece begins with has them
+        self.begins[np.array([self._hash(x) for x in {p[:k] for p in pieces for k in range(1, len(p) + 1)}], np.uint64) >> np.uint64(_SHIFT)] = True
         self.letters = np.zeros((len(pieces), self.longest), np.uint32)
         for i, p in enumerate(pieces):
             self.letters[i, : len(p)] = [ord(c) for c in p]
@@ -48,23 +52,30 @@ class Vocabulary:
 
     def cells(self, words: np.ndarray) -> np.ndarray:
         """Of words, one per row of code points, the piece of each length (last axis) that begins at each position; size: none."""
-        code = mixed(words.astype(np.uint64))
+        code = mixed(words.astype(np.uint64)).ravel()
         n, m = words.shape
         out = np.full((n, m, min(self.longest, m)), self.size, np.int32)
-        h = np.zeros_like(code)
-        for k in range(out.shape[2]):
-            h = h[:, : m - k] * np.uint64(0x9E3779B97F4A7C15) + code[:, k:]
+        flat, letters, most = out.reshape(-1), words.ravel(), out.shape[2]
+        cell, left, h = np.arange(n * m), np.tile(np.arange(m, 0, -1), n), np.zeros(n * m, np.uint64)
+        for k in range(most):
+            if k:  # only where a piece may go on
+                go = left > k
+                cell, left, h = cell[go], left[go], h[go]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + code[cell + k]
+            go = self.begins[h >> np.uint64(_SHIFT)]
+            cell, left, h = cell[go], left[go], h[go]
+            if not len(cell):
+                break
             at = np.searchsorted(self.hashes, h)
             at[at == self.size] = 0
-            hit = self.hashes[at] == h
-            row, col = np.nonzero(hit)
-            same = np.ones(len(row), bool)
+            same = self.hashes[at] == h
+            own, at = cell[same], at[same]
+            same = np.ones(len(own), bool)
             for i in range(k + 1):
-                same &= words[row, col + i] == self.letters[at[row, col], i]
+                same &= letters[own + i] == self.letters[at, i]
             if k + 1 < self.longest:  # no longer piece with that hash
-                same &= self.letters[at[row, col], k + 1] == 0
-            hit[row[~same], col[~same]] = False
-            out[:, : m - k, k] = np.where(hit, at, self.size)
+                same &= self.letters[at, k + 1] == 0
+            flat[own[same] * most + k] = at[same]
         return out
 
 
@@ -114,9 +125,13 @@ def forward(cells: np.ndarray, chances: np.ndarray) -> np.ndarray:
     known[none] = 0
     scale = np.zeros(n)
     back = [np.ones((n, k))]  # sums up to the last `most` positions, the newest last
+    used = (cells != none).any(axis=0)  # whether any word has a piece there
+    used[:, 0] = True
     for j in range(m):
         total = np.zeros((n, k))
         for size in range(1, min(most, j + 1) + 1):
+            if not used[j + 1 - size, size - 1]:
+                continue
             piece = cells[:, j + 1 - size, size - 1]
             share = chances[piece] if size == 1 else known[piece]
             total += back[-size] * share
@@ -207,7 +222,35 @@ def letters(p: Points) -> tuple[np.ndarray, np.ndarray]:
     return start[keep], end[keep]
 
 
-_TABLES: dict[str, tuple[Model, WordTable]] = {}
+class ScoreTable:
+    """Scores of the distinct words of the slices so far, in one array, each worked out once; it starts anew when it has many rows."""
+
+    def __init__(self, model: Model, rows: int = _KNOWN):
+        self.model, self.most = model, rows
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.scores = np.empty((1 << 14, len(self.model.langs)))
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The scores of distinct words, in order."""
+        if len(self.known) > self.most:
+            self._clear()
+        at = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(at) if x is None]
+        if new:
+            have, names = len(self.known), [words[i] for i in new]
+            if have + len(new) > len(self.scores):
+                self.scores = np.concatenate((self.scores[:have], np.empty((have + len(new), self.scores.shape[1]))))
+            self.scores[have : have + len(new)] = self.model.word_scores(names)
+            self.known.update(zip(names, range(have, have + len(new))))
+            for i, x in zip(new, range(have, have + len(new))):
+                at[i] = x
+        return self.scores[np.array(at, np.int64)]
+
+
+_TABLES: dict[str, tuple[Model, ScoreTable]] = {}
 
 
 def _predict(model: Model, key: str, texts: list[str]) -> list[tuple[str, float]]:
@@ -215,15 +258,15 @@ def _predict(model: Model, key: str, texts: list[str]) -> list[tuple[str, float]
         return [(UNDETERMINED, 0.0)] * len(texts)
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = model, WordTable(lambda words: list(model.word_scores(words)), 100_000)
+        _TABLES[key] = model, ScoreTable(model)
     model, table = _TABLES[key]
     out: list[tuple[str, float]] = []
     for a, b in slices(texts):
         p = Points([t.lower() for t in texts[a:b]])
         start, end = letters(p)
-        code, known = table.look_up(p, start, end)
+        code, words = distinct_words(p, start, end)
+        scores = table.look_up(words)
         bounds = text_ranges(p, start)
-        scores = np.array(known).reshape(len(known), len(model.langs))
         for i in range(b - a):
             if bounds[i] == bounds[i + 1]:
                 out.append((UNDETERMINED, 0.0))

@@ -77,11 +77,14 @@ def _sized(docs: DataFrame, blocks: int, seed: str) -> DataFrame:
     return out.withColumns({f"_{k}": F.pmod(_number(f"{seed}-{k}", F.col("_id"), F.col("_size")), F.lit(blocks)) for k in ("block", "part")})
 
 
+_ADDED = ["_id", "_source", "_size", "_block", "_part", "_mark"]
+
+
 def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, blocks: int = BLOCKS, shards: int | None = None, seed: str = "mix") -> Mixture:
+def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, blocks: int = BLOCKS, shards: int | None = None, seed: str = "mix", sized: DataFrame | None = None) -> Mixture:
     """What the mix takes of docs (doc_id, text, source).
 
     A source's documents fall into permuted blocks by a digest of doc_id and text size. Its quota is the number of blocks whose
@@ -93,8 +96,9 @@ def mixture(docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, block
 
     Null texts and empty ones have size 0 and are never drawn; a null source is a source; a repeated row, or one without
     doc_id, is a document of its own. An empty table draws nothing. shards None: LEAST_SHARDS or more, of SHARD_WORDS at most.
+    sized: what _sized adds to docs, where it lies staged.
     """
-    sized = staged(_sized(docs, blocks, seed).select("_id", "_source", "_size", "_block", "_part", "_mark"), "mix-sized")
+    sized = staged(_sized(docs, blocks, seed).select(*_ADDED), "mix-sized") if sized is None else sized.select(*_ADDED)
     targets = staged(source_targets(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size")), share, repeats), "mix-targets")
     total = targets.agg(F.sum("target")).first()[0] or 0
     if shards is None:
@@ -142,8 +146,9 @@ def _with_draws(rows: DataFrame, m: Mixture) -> DataFrame:
 
 def mixed_shards(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs repeated as drawn, cut to the words taken (n_chars, where there is one, follows), each shard in its own random order; columns of docs, then _copy, _shard."""
-    m = mixture(docs, **options)
-    rows = _with_draws(_sized(docs, options.get("blocks", BLOCKS), m.seed).where("_size > 0"), m)
+    sized = staged(_sized(docs, options.get("blocks", BLOCKS), options.get("seed", "mix")), "mix-rows")  # words are counted once: filters on a size that is not staged count them again
+    m = mixture(docs, **options, sized=sized)
+    rows = _with_draws(sized.where("_size > 0"), m)
     whole = F.transform(F.coalesce("whole", F.array().cast("array<struct<copy:int,shard:int>>")), lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"), F.col("_size").alias("words")))
     last = F.when(F.col("last") > 0, F.array(F.struct(F.col("edge.copy").alias("copy"), F.col("edge.shard").alias("shard"), F.col("last").alias("words")))).otherwise(F.array().cast("array<struct<copy:int,shard:int,words:bigint>>"))
     out = rows.withColumn("_turn", F.explode(F.concat(whole, last)))

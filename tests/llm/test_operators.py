@@ -213,6 +213,13 @@ def test_mix_counts_rows_without_and_with_repeated_ids(spark):
     assert {int(t): n for (_, t), n in per.items()} == {int(t): int(t) for _, t in per}
 
 
+def test_mix_counts_words_once(spark):
+    out = mix.mixed_shards(table(spark))
+    assert "regexp_count" not in out._jdf.queryExecution().optimizedPlan().toString()
+    m = mix.mix_summary(table(spark)).agg(F.sum("draws"), F.sum("taken")).first()
+    assert (out.count(), sum(len(words(r.text)) for r in out.collect())) == tuple(m)
+
+
 # 4 toxicity
 
 
@@ -546,6 +553,27 @@ def test_languages(spark):
     assert langid.languages(docs.limit(0)).count() == 0
 
 
+def test_pieces_are_found_by_what_they_begin_with():
+    v = langid.Vocabulary(tokenizer_path(langid.PIECE_FILE))
+    number = {"".join(map(chr, row[row > 0])): i for i, row in enumerate(v.letters)}
+    for w in ("\u2581thinkingly", "\u2581religious", "\u2581zzqxvvwkj", "\u2581é東", "sin"):
+        cells = v.cells(np.array([[ord(c) for c in w]] * 2, np.uint32))
+        for i in range(len(w)):
+            want = [number.get(w[i : i + k + 1], v.size) if i + k < len(w) else v.size for k in range(cells.shape[2])]
+            assert cells[:, i].tolist() == [want, want]
+
+
+def test_words_are_scored_once_until_the_table_is_full():
+    m = langid.fit([("a", "thing thinking ring"), ("b", "zorg zarg zirg")], tokenizer_path(langid.PIECE_FILE))
+    asked, score = [], m.word_scores
+    m.word_scores = lambda w: asked.extend(w) or score(w)
+    slices = [["thing", "zorg"], ["zorg", "q"], ["q", "thing", "zirg"], ["thing"]]
+    for most, times in ((100, 4), (2, 7)):
+        asked.clear()
+        t = langid.ScoreTable(m, most)
+        assert all(np.array_equal(t.look_up(w), score(w)) for w in slices) and len(asked) == times
+
+
 # 9 near-duplicates
 
 
@@ -682,6 +710,24 @@ def test_exact_survivors_are_one_of_each_group(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [(r := kept[0].__class__)(doc_id=None, text="a  b"), r(doc_id=1, text="c"), r(doc_id=1, text="d")]))
 
 
+def test_exact_survivors_with_one_digest_all_stay(spark, monkeypatch):
+    class Weak:
+        sha2 = staticmethod(lambda c, n: F.lit("00" * 32))
+        xxhash64 = staticmethod(lambda *c: F.lit(0).cast("long"))
+        __getattr__ = staticmethod(lambda name: getattr(F, name))
+
+    monkeypatch.setattr(exact, "F", Weak())
+    docs = spark.createDataFrame([(1, "abc"), (2, "a bc"), (3, "xyz"), (4, "xyz"), (5, "long")], "doc_id long, text string")
+    assert {r.doc_id for r in exact.without_duplicates(docs).collect()} == {2, 3, 5}
+
+
+def test_rows_go_by_ids_however_many(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (7,)], "doc_id long")
+    for most in (1, 2):
+        assert sorted(r.text for r in common.without_ids(docs, ids, most).collect()) == ["c", "d"]
+
+
 def test_exact_edges(spark):
     assert exact.exact_duplicates(empty(spark)).count() == 0
     ids = [2**63 - 1, -(2**63), None]
