@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, documents, in_batches, tokenizer_path
+from .common import bucketed, documents, in_batches, keeps, lean, lean_groups, tokenizer_path
 from .segment import TABLE_ROWS, Points, byte_level_pieces, distinct_words, slices, text_ranges, word_level_pieces
 
 #: Words that are merged in one call, where that is exact, and code points that are encoded at once.
@@ -195,6 +195,8 @@ def spread_flat(flat: np.ndarray, size: np.ndarray, code: np.ndarray) -> tuple[n
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_SHOWN: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+keeps("ids", lambda: (_ENCODERS.clear(), _SHOWN.clear()))
 
 
 def encoder(file: str) -> Encoder:
@@ -222,6 +224,14 @@ def pieces_by_id(file: str) -> np.ndarray:
     return np.array([tok.id_to_token(i) or "" for i in range(n)], object)
 
 
+def shown_by_id(file: str) -> tuple[np.ndarray, np.ndarray]:
+    """(the piece, the decimal) of each id, made once in a process: words share these strings."""
+    if file not in _SHOWN:
+        pieces = pieces_by_id(file)
+        _SHOWN[file] = pieces, np.array([str(i) for i in range(len(pieces))], object)
+    return _SHOWN[file]
+
+
 def decoded(ids: Column, file: str) -> Column:
     """Text of an array of ids, for a vocabulary whose pieces are joined by blanks when decoded. Null counts as empty."""
 
@@ -241,7 +251,7 @@ WORDS = 2_000_000
 
 def _squeezed(x: np.ndarray) -> bytes:
     """32-bit integers as zlib data, their bytes in planes."""
-    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zlib.compress(np.ascontiguousarray(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T).reshape(-1), 1)
 
 
 def _loosed(data: bytes) -> np.ndarray:
@@ -292,9 +302,10 @@ def _chunks(docs: DataFrame, file: str, buckets: int) -> DataFrame:
             while spark_bucket(chunk, buckets) != pid % buckets:
                 chunk += 1
             made += 1
-            every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
+            every = np.concatenate(codes)
+            codes.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([_squeezed(np.array(sizes))], pa.binary()), pa.array([_squeezed(place[every] if len(every) else every)], pa.binary()), pa.array([parts.tolist()], pa.list_(pa.int32())), pa.array([lists], pa.list_(pa.binary()))],
+                [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([_squeezed(np.array(sizes))], pa.binary()), pa.array([_squeezed(place[every])], pa.binary()), pa.array([parts.tolist()], pa.list_(pa.int32())), pa.array([lists], pa.list_(pa.binary()))],
                 names=["chunk", "doc_ids", "sizes", "codes", "parts", "words"],
             )
 
@@ -303,7 +314,7 @@ def _chunks(docs: DataFrame, file: str, buckets: int) -> DataFrame:
             for a, b in slices(texts):
                 p, start, end, bounds = e.pieces(texts[a:b])
                 code, words = distinct_words(p, start, end)
-                codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.int64)[code] if len(words) else np.zeros(0, np.int64))
+                codes.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32)[code])
                 doc_ids += ids[a:b]
                 sizes += np.diff(bounds).tolist()
                 have += len(p.cp)
@@ -314,7 +325,7 @@ def _chunks(docs: DataFrame, file: str, buckets: int) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(make, "chunk long, doc_ids array<long>, sizes binary, codes binary, parts array<int>, words array<binary>")
+    return rows.mapInArrow(lean("ids", make), "chunk long, doc_ids array<long>, sizes binary, codes binary, parts array<int>, words array<binary>")
 
 
 def _encoded_words(words: DataFrame, file: str) -> DataFrame:
@@ -336,7 +347,7 @@ def _encoded_words(words: DataFrame, file: str) -> DataFrame:
             types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["chunk", "part", "sizes", "ids"])
 
-    return words.mapInArrow(make, "chunk long, part int, sizes binary, ids binary")
+    return words.mapInArrow(lean("ids", make), "chunk long, part int, sizes binary, ids binary")
 
 
 def _word_ids(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -368,17 +379,21 @@ def _digests(file: str):
     def make(left: pa.Table, right: pa.Table) -> pa.Table:
         flat, size = _word_ids(right)
         cut = np.concatenate(([0], np.cumsum(size))).tolist()
-        pieces, decimal = pieces_by_id(file)[flat].tolist(), flat.astype("U10").tolist()
-        text = np.array([" ".join(pieces[a:b]) for a, b in zip(cut, cut[1:])], object)
-        number = np.array([" ".join(decimal[a:b]) for a, b in zip(cut, cut[1:])], object)
-        sha = lambda x: hashlib.sha256(" ".join(x.tolist()).encode("utf-8", "surrogatepass")).hexdigest()
-        out: list[list] = [[], [], [], []]
+        doc_ids, own = [], []
         for row in left.to_pylist():
             codes, end = _loosed(row["codes"]), np.cumsum(_loosed(row["sizes"]).astype(np.int64))
-            for doc_id, a, b in zip(row["doc_ids"], np.append(0, end[:-1]).tolist(), end.tolist()):
-                own = codes[a:b]
-                for x, y in zip(out, (doc_id, int(size[own].sum()), sha(number[own]), sha(text[own]))):
-                    x.append(y)
+            own += [codes[a:b] for a, b in zip(np.append(0, end[:-1]).tolist(), end.tolist())]
+            doc_ids += row["doc_ids"]
+        n_tokens = [int(size[x].sum()) for x in own]
+
+        def digests(shown: np.ndarray) -> list[str]:
+            each = shown[flat].tolist()
+            word = np.array([" ".join(each[a:b]) for a, b in zip(cut, cut[1:])], object)
+            del each
+            return [hashlib.sha256(" ".join(word[x].tolist()).encode("utf-8", "surrogatepass")).hexdigest() for x in own]
+
+        pieces, decimal = shown_by_id(file)
+        out = doc_ids, n_tokens, digests(decimal), digests(pieces)  # one after the other: the words' strings of both are large
         types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array(x, t) for x, t in zip(out, types)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -398,7 +413,7 @@ def _in_place(docs: DataFrame, file: str, make, schema: str) -> DataFrame:
     chunks, _ = bucketed(_chunks(in_batches(docs), file, buckets), "bpe-chunks", "chunk", buckets)
     words = chunks.select("chunk", F.explode(F.arrays_zip("parts", "words")).alias("w")).select(F.col("w.parts").alias("part"), "chunk", F.col("w.words").alias("words"))
     back = _encoded_words(words.repartitionById(buckets, "part"), file)
-    return chunks.select("chunk", "doc_ids", "sizes", "codes").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(make, schema)
+    return chunks.select("chunk", "doc_ids", "sizes", "codes").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lean_groups("ids", make), schema)
 
 
 def token_ids(docs: DataFrame, file: str | None = None) -> DataFrame:

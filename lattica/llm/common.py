@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,57 @@ def in_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+#: By operator, what empties the tables that a Python worker keeps from task to task.
+_EMPTY: dict[str, Callable[[], None]] = {}
+_TRIM = getattr(ctypes.pythonapi, "malloc_trim", None)  # the GNU C library has it
+
+
+def keeps(operator: str, empty: Callable[[], None]) -> None:
+    """Says how to empty the tables that this process keeps for an operator."""
+    _EMPTY[operator] = empty
+
+
+def begin(operator: str) -> None:
+    """Empties the tables of all other operators."""
+    for name, empty in _EMPTY.items():
+        if name != operator:
+            empty()
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system, which its allocators would keep."""
+    if _TRIM:
+        _TRIM(0)
+    pa.default_memory_pool().release_unused()
+
+
+def lean(operator: str, work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, for the Python workers of an executor, which live on beside its heap when a task or a stage is over: they keep the tables of one operator, and nothing that is free."""
+
+    def run(batches: Iterator) -> Iterator:
+        begin(operator)
+        for out in work(batches):
+            yield out
+            out = None
+            give_back()
+        give_back()
+
+    return run
+
+
+def lean_groups(operator: str, work: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """What lean is for iterators, for a function of two groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        begin(operator)
+        try:
+            return work(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def held_out(doc_id) -> "F.Column":
     """True for the rows that no model may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -205,6 +258,7 @@ def _same(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.n
 _KEY, _KNOWN, _SHORT = b"lattica words", 200_000, 64
 _DIGESTS: dict[bytes, bytes] = {}
 _KEYED = hashlib.blake2b(digest_size=16, key=_KEY)
+keeps("words", _DIGESTS.clear)
 
 
 def word_digests(words: list[bytes]) -> np.ndarray:

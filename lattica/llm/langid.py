@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, in_batches, mixed, tokenizer_path
+from .common import documents, held_out, in_batches, keeps, lean, mixed, tokenizer_path
 from .segment import LETTER, Points, distinct_words, slices, text_ranges
 
 PIECE_FILE = "piece_bpe_32k.model"
@@ -251,6 +251,7 @@ class ScoreTable:
 
 
 _TABLES: dict[str, tuple[Model, ScoreTable]] = {}
+keeps("languages", _TABLES.clear)
 
 
 def _predict(model: Model, key: str, texts: list[str]) -> list[tuple[str, float]]:
@@ -289,7 +290,7 @@ def predicted(text: Column, model: Model) -> Column:
         for s in batches:
             yield pd.DataFrame(_predict(model, key, s.fillna("").tolist()), columns=["lang_pred", "score"])
 
-    return F.pandas_udf(predict, "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(lean("languages", predict), "lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)(text)
 
 
 def learned(docs: DataFrame, file: str | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:

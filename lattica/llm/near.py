@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, byte_slices, documents, in_batches, mixed, staged, utf8
+from .common import Words, byte_slices, documents, in_batches, lean, mixed, staged, utf8
 
 #: Minima of a signature, bands and rows of a band, low bits kept of each minimum.
 HASHES, BANDS, ROWS, LOW = 128, 32, 4, 4
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 names=["doc_id", "n", "digest", "sig", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, digest binary, sig binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean("words", sign), "doc_id long, n long, digest binary, sig binary, bands array<long>")
 
 
 def _joined_together(pairs: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("cls"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(make, "cls long, text binary")
+    made = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("cls"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(lean("words", make), "cls long, text binary")
     return made.join(wanted, "cls", "left_semi").distinct()  # a doc_id on several rows may have several texts
 
 
@@ -257,7 +257,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     pairs = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     right = pairs.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("right")), "b")
     left = parts.join(texts, F.col("a") == F.col("cls")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("left"))
-    return right.join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(check, "u long, v long")
+    return right.join(left, ["a", "part"]).select("a", "b", "left", "right").mapInArrow(lean("words", check), "u long, v long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, percent: int, judged: DataFrame | None = None) -> DataFrame:

@@ -59,6 +59,60 @@ def test_bpe_stage_is_the_library(stages):
     assert sorted((r.doc_id, r.ids_sha256) for r in after.collect()) == want
 
 
+class Given:
+    """Stands for a table; keeps what would run in a Python worker."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, work, schema):
+        self.work = work
+        return self
+
+
+def test_a_worker_keeps_the_tables_of_one_stage(spark, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    from lattica.llm import bpe, common, langid, near
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    file, given = common.tokenizer_path(bpe.WORD_FILE), Given()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["der lange weg", "the long way there and back"]})
+    model = langid.fit([("de", "der lange weg"), ("en", "the long way")], common.tokenizer_path(langid.PIECE_FILE))
+    held = lambda: (len(langid._TABLES), len(common._DIGESTS) > 0, len(bpe._ENCODERS))
+    langid._predict(model, "a table", ["der weg"])
+    near.signatures(given, 5)
+    assert sum(x.num_rows for x in given.work(iter([batch]))) == 2 and held() == (0, True, 0)
+    langid._predict(model, "a table", ["der weg"])
+    bpe._chunks(given, file, 4)
+    assert [x.column(1).to_pylist() for x in given.work(iter([batch]))] == [[[1, 2]]] and held() == (0, False, 1)
+
+
+def test_a_worker_gives_back_what_is_free():
+    import re
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from lattica.llm.common import lean
+
+    own = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    kept = []
+
+    def work(batches):
+        for b in batches:
+            many = [bytes(2000) for _ in range(50_000)]
+            kept.append(many[-1])  # so that the end of the heap is in use
+            del many
+            yield b
+
+    before = own()
+    for _ in lean("nothing", work)(iter([pa.RecordBatch.from_pydict({"x": [1]})])):
+        held = own() - before
+    assert held > 50 and own() - before < held / 2
+
+
 def test_run_is_the_stages(spark, stages, tmp_path):
     import corpus_pipeline
 
