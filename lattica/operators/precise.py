@@ -36,22 +36,31 @@ def graph_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     return every.groupBy("path").agg(F.min_by("source_file", F.struct("rank", "source_file")).alias("source_file"))
 
 
-#: Lines of a bucket in which points and spans meet.
-BUCKET = 64
-
-
 def enclosing(points: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
     """Points (source_file, line, ...) with node_id, the innermost node whose lines hold them: latest start, then earliest end, then least id. `key` names a point.
 
-    A span lies in each bucket of lines that it touches and a point in one, so they meet by file and bucket, whatever the
-    size of the file; the innermost is found by partial aggregation.
+    Which of two spans is the inner one doesn't depend on the point, so each aligned block of 2**k lines keeps only the
+    innermost of the spans that it takes to make up their lines (at most two blocks of each size a span). A distinct line
+    of a file asks the blocks that hold it, one of each size, and points find their line's answer: no pairs of points and spans.
     """
-    spans = nodes.where("kind <> 'file'").select(F.col("id").alias("node_id"), F.col("source_file").alias("_f"), location_start(F.col("source_location")).alias("_a"), location_end(F.col("source_location")).alias("_b"))
-    cell = lambda c: F.floor(F.col(c) / BUCKET)
-    spans = spans.where("_a <= _b").withColumn("_cell", F.explode(F.sequence(cell("_a"), cell("_b"))))
-    hit = points.withColumn("_own", cell("line")).join(spans, (F.col("source_file") == F.col("_f")) & (F.col("_own") == F.col("_cell")) & F.col("line").between(F.col("_a"), F.col("_b")))
+    spans = nodes.where("kind <> 'file'").select(F.col("id").alias("node_id"), F.col("source_file").alias("_f"), location_start(F.col("source_location")).cast("long").alias("_a"), location_end(F.col("source_location")).cast("long").alias("_b"))
+    spans = spans.where("_a <= _b").groupBy("_f", "_a", "_b").agg(F.min("node_id").alias("node_id"))
+    longest = spans.agg(F.max(F.col("_b") - F.col("_a") + 1)).first()[0] or 0
+    blocks, asked = [], []
+    for k in range(longest.bit_length()):
+        first, after = F.shiftright(F.col("_a") + (2**k - 1), k), F.shiftright(F.col("_b") + 1, k)
+        block = lambda c, k=k: F.struct(F.lit(k).alias("k"), c.alias("n"))
+        blocks += [F.when((first < after) & (first.bitwiseAND(1) == 1), block(first)), F.when((first < after) & (after.bitwiseAND(1) == 1), block(after - 1))]
+        asked.append(block(F.shiftright(F.col("line").cast("long"), k)))
+    none = F.array().cast("array<struct<k:int,n:bigint>>")
+    each = spans.withColumn("_at", F.explode(F.filter(F.array(*blocks), lambda x: x.isNotNull()) if blocks else none))
+    kept = each.groupBy("_f", F.col("_at.k").alias("_k"), F.col("_at.n").alias("_n")).agg(F.min(F.struct((-F.col("_a")).alias("a"), F.col("_b").alias("b"), "node_id")).alias("_s"))
+    lines = points.select("source_file", "line").distinct()
+    ask = lines.withColumn("_at", F.explode(F.array(*asked) if asked else none)).select("source_file", "line", F.col("_at.k").alias("_k"), F.col("_at.n").alias("_n"))
+    found = ask.withColumnRenamed("source_file", "_f").join(kept, ["_f", "_k", "_n"]).groupBy("_f", F.col("line").alias("_line")).agg(F.min("_s").alias("_s"))
+    hit = points.join(found, (F.col("source_file") == F.col("_f")) & (F.col("line") == F.col("_line")))
     rest = [c for c in points.columns if c not in key]
-    best = F.min_by(F.struct(*rest, "node_id"), F.struct(-F.col("_a"), "_b", "node_id"))
+    best = F.min_by(F.struct(*rest, "_s.node_id"), F.col("_s"))
     return hit.groupBy(*key).agg(best.alias("_p")).select(*[F.col(c) if c in key else F.col(f"_p.{c}").alias(c) for c in points.columns], F.col("_p.node_id").alias("node_id"))
 
 

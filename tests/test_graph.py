@@ -163,3 +163,31 @@ def test_enclosing_is_brute_force_across_buckets(spark):
     found = enclosing(spark.createDataFrame(points, "place long, source_file string, line int, note string"), nodes, ["place"])
     want = {p: (min(hit)[2], note) for p, f, line, note in points if (hit := [(-a, b, i) for i, g, a, b in spans if g == f and a <= line <= b])}
     assert {x.place: (x.node_id, x.note) for x in found.collect()} == want
+
+
+def joined_rows(spark, make):
+    """The most rows that one step of a plan gives."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = make()
+        df.collect()
+        most, rest = 0, [df._jdf.queryExecution().executedPlan()]
+        while rest:
+            node = rest.pop()
+            if node.metrics().contains("numOutputRows"):
+                most = max(most, node.metrics().apply("numOutputRows").value())
+            rest += [node.children().apply(i) for i in range(node.children().size())]
+        return most
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_enclosing_makes_no_pairs_of_points_and_spans(spark):
+    from lattica.operators.precise import enclosing
+
+    nodes = spark.createDataFrame([(i, "f", "function", f"L{1 + i % 50}-L{200 - i % 50}") for i in range(600)], "id long, source_file string, kind string, source_location string")
+    points = spark.createDataFrame([(i, "f", 60 + i % 40) for i in range(600)], "place long, source_file string, line int")
+    make = lambda: enclosing(points, nodes, ["place"])
+    assert {r.node_id for r in make().collect()} == {49} and make().count() == 600
+    assert joined_rows(spark, make) <= 10_000
+    assert enclosing(points, nodes.limit(0), ["place"]).isEmpty()
