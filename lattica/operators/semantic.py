@@ -57,13 +57,29 @@ def names_of(responses: DataFrame) -> DataFrame:
 
 
 def nearest_node(annotations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Annotations with the id of the node in their file that has their label and lies nearest to their line; without a line the first one. An as-of join by rank inside equal keys."""
+    """Annotations with the id of the node in their file that has their label and lies nearest to their line, of equally near ones the least id; without a line the first one. A node without a place is at every line.
+
+    Nodes are told apart by file, label and place, and questions by file, label and line: sorted together, each question
+    takes the last place before it and the first after it, so there are no pairs of annotations and nodes.
+    """
     key = lambda c: plain_label(F.trim(c))
-    named = nodes.select("id", F.col("source_file").alias("f"), key(F.col("label")).alias("k"), location_start(F.col("source_location")).alias("at"))
-    a = annotations.withColumn("_a", F.xxhash64("source_file", "label", "line", F.monotonically_increasing_id()))
-    hit = a.join(named, (F.col("source_file") == F.col("f")) & (key(F.col("label")) == F.col("k")))
-    rank = F.row_number().over(Window.partitionBy("_a").orderBy(F.coalesce(F.abs(F.col("line") - F.col("at")), F.lit(0)), "id"))
-    return hit.withColumn("_r", rank).where("_r = 1").drop("_r", "_a", "f", "k", "at")
+    named = nodes.select(F.col("source_file").alias("_f"), key(F.col("label")).alias("_k"), location_start(F.col("source_location")).cast("long").alias("_at"), "id")
+    spots = named.groupBy("_f", "_k", "_at").agg(F.min("id").alias("id"))
+    anywhere = named.groupBy("_f", "_k").agg(F.min("id").alias("first"), F.min(F.when(F.col("_at").isNull(), F.col("id"))).alias("loose"))
+    asked = annotations.select(F.col("source_file").alias("_f"), key(F.col("label")).alias("_k"), F.col("line").cast("long").alias("_at")).distinct()
+    lines = asked.where("_at IS NOT NULL").join(anywhere.select("_f", "_k", "loose"), ["_f", "_k"])
+    spot = F.struct("_at", "id")
+    none = F.lit(None)
+    both = spots.where("_at IS NOT NULL").select("_f", "_k", "_at", spot.alias("spot"), none.cast("long").alias("loose"), F.lit(False).alias("asks"))
+    both = both.unionByName(lines.select("_f", "_k", "_at", F.when(F.lit(False), F.struct("_at", F.col("loose").alias("id"))).alias("spot"), "loose", F.lit(True).alias("asks")))
+    here = Window.partitionBy("_f", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("before", F.last("spot", ignorenulls=True).over(here.orderBy("_at", "asks"))).withColumn("after", F.last("spot", ignorenulls=True).over(here.orderBy(F.desc("_at"), "asks")))
+    choice = [F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_at") - F.col(f"{c}._at")).alias("d"), F.col(f"{c}.id").alias("id"))) for c in ("before", "after")]
+    loose = F.when(F.col("loose").isNotNull(), F.struct(F.lit(0).cast("long").alias("d"), F.col("loose").alias("id")))
+    found = near.where("asks").select("_f", "_k", "_at", F.least(*choice, loose)["id"].alias("id"))
+    found = found.unionByName(asked.where("_at IS NULL").join(anywhere.select("_f", "_k", F.col("first").alias("id")), ["_f", "_k"]))
+    same = (F.col("source_file") == F.col("_f")) & (key(F.col("label")) == F.col("_k")) & F.col("line").cast("long").eqNullSafe(F.col("_at"))
+    return annotations.join(found, same).select(*[annotations[c] for c in annotations.columns], "id")
 
 
 def apply_annotations(nodes: DataFrame, annotations: DataFrame) -> DataFrame:

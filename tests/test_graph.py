@@ -191,3 +191,20 @@ def test_enclosing_makes_no_pairs_of_points_and_spans(spark):
     assert {r.node_id for r in make().collect()} == {49} and make().count() == 600
     assert joined_rows(spark, make) <= 10_000
     assert enclosing(points, nodes.limit(0), ["place"]).isEmpty()
+
+
+def test_nearest_node_is_brute_force_without_pairs(spark):
+    from lattica.operators.semantic import nearest_node
+
+    r = random.Random(8)
+    nodes = [(i, f"f{i % 2}", r.choice(["run()", "Run", "stop"]), r.choice([None, *[f"L{r.randint(1, 90)}"] * 30])) for i in range(150, 0, -1)] + [(900 + i, "g", "go", f"L{i % 40}") for i in range(600)]
+    asks = [(i, f"f{r.randrange(3)}", r.choice(["run", "STOP()", "none"]), r.choice([None, r.randint(0, 99), r.randint(0, 99)])) for i in range(200)] + [(900 + i, "g", "go", i % 45) for i in range(600)]
+    n = spark.createDataFrame(nodes, "id long, source_file string, label string, source_location string")
+    a = spark.createDataFrame(asks, "place long, source_file string, label string, line int")
+    bare = lambda x: x.lower().strip("()")
+    far = lambda line, at: abs(line - int(at[1:])) if line is not None and at else 0
+    want = {p: min(hit)[1] for p, f, k, line in asks if (hit := [(far(line, at), i) for i, g, label, at in nodes if g == f and bare(label) == bare(k)])}
+    make = lambda: nearest_node(a, n)
+    assert make().columns == ["place", "source_file", "label", "line", "id"]
+    assert {x.place: x.id for x in make().collect()} == want and make().count() == len(want)
+    assert joined_rows(spark, make) <= 10_000
