@@ -32,14 +32,15 @@ def norm_label_text(s: str | None) -> str | None:
 
 
 def _unicode(python, column: Column, ascii_form: Column) -> Column:
-    """ascii_form where the text is ASCII; the Python function, batch by batch, elsewhere."""
+    """ascii_form where the text is ASCII; the Python function, batch by batch, elsewhere. A condition doesn't keep a row from Python, so ASCII texts are null there."""
 
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(python, na_action="ignore")
 
     udf = F.pandas_udf(apply, "string", F.PandasUDFType.SCALAR_ITER)
-    return F.when(column.rlike(r"^[\x00-\x7F]*$"), ascii_form).otherwise(udf(column))
+    plain = column.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, ascii_form).otherwise(udf(F.when(~plain, column)))
 
 
 def normalize(column: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import infer_score, module_stem, norm_label, path_suffixes
 from ..plans.model import EDGE_KEY, FAN_IN, KINDS_OF, POPULAR
+from .staging import written
 
 
 def bare_name(column: Column) -> Column:
@@ -22,7 +23,7 @@ def definitions(nodes: DataFrame) -> DataFrame:
 
 def popular_names(refs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     """(name) of methods called without a known receiver type in fan_in files or more, and of names that are common everywhere."""
-    calls = refs.where("relation = 'calls' AND is_method AND coalesce(recv_type, '') = ''")
+    calls = refs.where("relation = 'calls' AND is_method AND coalesce(recv_type, '') = ''").select("callee", "source_file").distinct()
     wide = calls.groupBy(bare_name(F.col("callee")).alias("name")).agg(F.countDistinct("source_file").alias("n")).where(F.col("n") >= fan_in).select("name")
     fixed = refs.sparkSession.createDataFrame([(w,) for w in POPULAR], "name string")
     return wide.union(fixed).distinct()
@@ -34,32 +35,46 @@ def module_files(nodes: DataFrame) -> DataFrame:
     return files.select("def_file", F.explode(path_suffixes(module_stem(F.col("def_file")))).alias("want")).distinct()
 
 
+#: What decides what a reference means; the caller only can't mean itself.
+ASKS = ["callee", "relation", "source_file", "import_evidence", "is_method", "recv_type", "import_module", "import_symbol"]
+#: Kinds of evidence, least first, as equal scores choose among them.
+EVIDENCE = ["xfile-import", "xfile-infer", "xfile-recv"]
+
+
 def resolve(refs: DataFrame, nodes: DataFrame, resolve_imports: bool = False) -> DataFrame:
     """Edges that the references mean, where exactly one definition in another file is left: src, dst, relation, confidence, confidence_score, context, source_file, source_location, evidence.
 
-    A reference is counted by a digest of all its columns; equal references give one edge. An imported module narrows the
+    References that ask the same (ASKS) are answered once; equal references give one edge. An imported module narrows the
     candidates to its files; a module that no file matches is external and drops the reference. A method call with a known
     receiver class must find it there; a popular name needs an import that names it.
     """
-    wanted = refs.withColumns({"callee_name": bare_name(F.col("callee")), "lookup": F.when(F.coalesce("import_symbol", F.lit("")) != "", bare_name(F.col("import_symbol"))).otherwise(bare_name(F.col("callee")))})
-    wanted = wanted.where("relation <> 'imports' AND callee_name <> ''").dropDuplicates().withColumn("ref_id", F.sha2(F.to_json(F.struct(*refs.columns)), 256))
+    asked = refs.where("relation <> 'imports' AND source_file IS NOT NULL").select(*ASKS).distinct()
+    wanted = asked.withColumns({"callee_name": bare_name(F.col("callee")), "lookup": F.when(F.coalesce("import_symbol", F.lit("")) != "", bare_name(F.col("import_symbol"))).otherwise(bare_name(F.col("callee")))})
+    wanted = wanted.where("callee_name <> ''")
     kinds = {r: k for r, k in KINDS_OF.items()}
     allowed = F.create_map(*[x for r, k in kinds.items() for x in (F.lit(r), F.array(*map(F.lit, k)))])
     wanted = wanted.withColumn("kinds", F.coalesce(F.try_element_at(allowed, "relation"), F.array(*map(F.lit, KINDS_OF["calls"]))))
     want = F.regexp_replace(F.lower(F.coalesce("import_module", F.lit(""))), "^/+|/+$", "")
     wanted = wanted.withColumn("want", want)
     popular = popular_names(refs).withColumnRenamed("name", "callee_name").withColumn("popular", F.lit(True))
-    typed = F.coalesce("is_method", F.lit(False)) & (F.coalesce("recv_type", F.lit("")) != "")
     call = F.col("relation") == "calls"
+    typed = F.coalesce("is_method", F.lit(False)) & (F.coalesce("recv_type", F.lit("")) != "") & call
+    wanted = wanted.withColumns({"recv_match": typed, "recv": F.when(typed, bare_name(F.col("recv_type")))})
     # A popular name that nothing pins can't be resolved: it goes before the join, where it would meet every definition of that name.
-    hopeless = call & ~typed & F.coalesce("popular", F.lit(False)) & (F.col("want") == "") & ~F.coalesce("import_evidence", F.lit(False))
+    hopeless = call & ~F.col("recv_match") & F.coalesce("popular", F.lit(False)) & (F.col("want") == "") & ~F.coalesce("import_evidence", F.lit(False))
     wanted = wanted.join(popular, "callee_name", "left").where(~hopeless)
 
-    defs = definitions(nodes)
-    first = wanted.join(defs, (F.col("lookup") == F.col("name")) & F.array_contains("kinds", F.col("kind")))
-    ref = Window.partitionBy("ref_id")
-    first = first.withColumn("total", F.size(F.collect_set("def_id").over(ref)))
-    away = first.where("def_file <> source_file")
+    # Nor can a name that nothing narrows down and that two other files define: definitions are counted by name first.
+    defs = written(definitions(nodes), "definitions")
+    meant = F.explode(F.array(*[F.when(F.col("kind").isin(*k), F.array(*map(F.lit, k))) for k in sorted(set(map(tuple, kinds.values())))]))
+    by_kinds = defs.select("def_id", F.col("name").alias("lookup"), F.col("def_file").alias("source_file"), meant.alias("kinds")).where("kinds IS NOT NULL")
+    total = by_kinds.groupBy("lookup", "kinds").agg(F.countDistinct("def_id").alias("total"))
+    own = by_kinds.groupBy("lookup", "kinds", "source_file").agg(F.countDistinct("def_id").alias("own"))
+    wanted = wanted.join(total, ["lookup", "kinds"]).join(own, ["lookup", "kinds", "source_file"], "left")
+    wanted = wanted.where(F.col("recv_match") | (F.col("want") != "") | (F.col("total") - F.coalesce("own", F.lit(0)) <= 1)).drop("own")
+
+    ref = Window.partitionBy(*ASKS)
+    away = wanted.join(defs, (F.col("lookup") == F.col("name")) & F.array_contains("kinds", F.col("kind"))).where("def_file <> source_file")
 
     suffixes = module_files(nodes)
     known = suffixes.select("want").distinct().withColumn("known", F.lit(True))
@@ -70,24 +85,28 @@ def resolve(refs: DataFrame, nodes: DataFrame, resolve_imports: bool = False) ->
     away = away.where(~has | F.col("known")).where(~has | (F.col("n_module") == 0) | F.col("in_module"))
     away = away.withColumn("mod_match", has & (F.col("n_module") == 1))
 
-    away = away.withColumn("recv_match", call & typed).where(~F.col("recv_match") | (F.col("def_cls") == bare_name(F.col("recv_type"))))
+    away = away.where(~F.col("recv_match") | (F.col("def_cls") == F.col("recv")))
     evident = F.col("mod_match") | F.coalesce("import_evidence", F.lit(False))
-    away = away.where(~(call & ~typed & F.coalesce("popular", F.lit(False)) & ~evident))
+    away = away.where(~(call & ~F.col("recv_match") & F.coalesce("popular", F.lit(False)) & ~evident))
 
-    one = away.withColumn("left", F.size(F.collect_set("def_id").over(ref))).where("`left` = 1 AND def_id <> caller_id")
+    one = away.withColumn("left", F.size(F.collect_set("def_id").over(ref))).where("`left` = 1")
     same_root = F.split("source_file", "/")[0] == F.split("def_file", "/")[0]
     unique = F.col("total") == 1
     sure = F.when(~call | evident, "EXTRACTED").when(F.col("recv_match") & unique & same_root, "EXTRACTED").otherwise("INFERRED")
     score = F.when(sure == "EXTRACTED", 1.0).when(F.col("recv_match"), 0.85).when(F.coalesce("is_method", F.lit(False)), 0.65).otherwise(infer_score(unique, same_root))
     evidence = F.when(~call | evident, "xfile-import").when(F.col("recv_match"), "xfile-recv").otherwise("xfile-infer")
-    out = one.select(
-        F.col("caller_id").alias("src"), F.col("def_id").alias("dst"), "relation", sure.alias("confidence"), score.alias("confidence_score"), F.when(call, "call").otherwise("type").alias("context"),
-        "source_file", "source_location", evidence.alias("evidence"),
-    )
+    # The better of two edges has the higher score, then the later evidence: one number, so that edges are told apart by hash. Only sure ones score 1.
+    worth = F.round(score * 1_000_000).cast("long") * len(EVIDENCE) + F.array_position(F.array(*map(F.lit, EVIDENCE)), evidence) - 1
+    answers = one.select(*[F.col(c).alias("q_" + c) for c in ASKS], F.col("def_id").alias("dst"), worth.alias("worth")).groupBy(*["q_" + c for c in ASKS], "dst").agg(F.max("worth").alias("worth"))
+    same = [refs[c].eqNullSafe(answers["q_" + c]) for c in ASKS]
+    out = refs.join(answers, same).where("dst <> caller_id").select(F.col("caller_id").alias("src"), "dst", "relation", "source_file", "source_location", "worth")
     if resolve_imports:
-        out = out.unionByName(resolve_modules(refs, nodes))
-    return out.groupBy(*EDGE_KEY).agg(F.max_by(F.struct("confidence", "confidence_score", "context", "evidence"), F.struct("confidence_score", "evidence")).alias("e")).select(
-        "src", "dst", "relation", "e.confidence", "e.confidence_score", "e.context", "source_file", "source_location", "e.evidence"
+        out = out.unionByName(resolve_modules(refs, nodes).withColumn("worth", F.lit(1_000_000 * len(EVIDENCE)).cast("long")).select(*out.columns))
+    context = F.when(call, "call").when(F.col("relation") == "imports", "import").otherwise("type")
+    points = F.floor(F.col("worth") / len(EVIDENCE))
+    return out.groupBy(*EDGE_KEY).agg(F.max("worth").alias("worth")).select(
+        "src", "dst", "relation", F.when(points == 1_000_000, "EXTRACTED").otherwise("INFERRED").alias("confidence"), (points / 1_000_000).alias("confidence_score"), context.alias("context"),
+        "source_file", "source_location", F.element_at(F.array(*map(F.lit, EVIDENCE)), (F.col("worth") % len(EVIDENCE) + 1).cast("int")).alias("evidence"),
     )
 
 

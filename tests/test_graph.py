@@ -208,3 +208,15 @@ def test_nearest_node_is_brute_force_without_pairs(spark):
     assert make().columns == ["place", "source_file", "label", "line", "id"]
     assert {x.place: x.id for x in make().collect()} == want and make().count() == len(want)
     assert joined_rows(spark, make) <= 10_000
+
+
+def test_references_to_a_name_of_many_files_meet_none_of_them(spark):
+    from lattica.operators.resolve import resolve
+
+    nodes = spark.createDataFrame([(i, "go()", "go()", "function", f"w/d{i}.py", None) for i in range(60)] + [(99, "one()", "one()", "function", "w/d0.py", None)], "id long, label string, norm_label string, kind string, source_file string, cls string")
+    kind = "caller_id long, callee string, relation string, source_file string, source_location string, import_evidence boolean, lang string, is_method boolean, recv string, recv_kind string, recv_type string, caller_class string, import_module string, import_symbol string"
+    ref = lambda i, name: (1000 + i, name, "calls", f"w/f{i % 200}.py", None, False, None, False, *[None] * 6)
+    refs = spark.createDataFrame([ref(i, "go") for i in range(400)] + [ref(i, "one") for i in range(400)], kind)
+    make = lambda: resolve(refs, nodes)
+    assert {(r.src, r.dst, r.confidence_score) for r in make().collect()} == {(1000 + i, 99, 0.95) for i in range(400)}
+    assert joined_rows(spark, make) < 2_000
