@@ -267,3 +267,12 @@ def test_watch(spark, tmp_path):
         streams.watch(spark, f"file://{tmp_path}/in", lambda rows, b: seen.extend(r.path.rsplit("/", 1)[-1] for r in rows.select("path").collect()), f"file://{tmp_path}/ck").awaitTermination()
         (tmp_path / "in/b.py").write_text("def g(): pass\n")
     assert seen == ["a.py", "b.py"]
+
+
+def test_files_are_parsed_by_as_many_tasks_as_their_count_asks_for(spark, monkeypatch):
+    from lattica.sources import code
+
+    monkeypatch.setattr(code, "FILES_OF_TASK", 10)
+    files = spark.createDataFrame([(f"m/p{i}.py", f"def f{i}():\n    pass\n", "python") for i in range(95)], "path string, text string, lang string").coalesce(1)
+    rows = code.extract(files)
+    assert rows.rdd.getNumPartitions() == 10 and rows.where("kind = 'function'").count() == 95
