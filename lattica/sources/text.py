@@ -49,18 +49,33 @@ def sections(found: DataFrame) -> DataFrame:
     return out.select("path", "line", "level", "title", F.col("end").cast("int").alias("end"), "parent", "slug", label.alias("label"))
 
 
+#: What html.unescape takes for a character reference, each by itself.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
 def unescaped(column: Column) -> Column:
-    """Character references resolved: the five common ones in the JVM, texts with others in Python."""
-    plain = column
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(a), F.lit(b))
+    """Character references resolved: the five common ones in the JVM; of texts with others, Python gets each distinct reference, never the text."""
 
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(html.unescape, na_action="ignore")
-
-    rare = column.rlike(r"&(?!lt;|gt;|quot;|#39;|amp;)#?\w+;?|&amp;#?\w+;")
-    return F.when(rare, F.pandas_udf(apply, "string", F.PandasUDFType.SCALAR_ITER)(column)).otherwise(plain)
+            yield s.map(lambda found: [html.unescape(x) for x in found], na_action="ignore")
+
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    rare = lambda t: t.rlike(r"&(?!lt;|gt;|quot;|#39;|amp;)#?\w+;?|&amp;#?\w+;")
+    each = lambda t: F.regexp_extract_all(t, F.lit(_REFERENCE), 0)
+    distinct = once(column, lambda t: F.when(rare(t), F.array_distinct(each(t))))
+    resolved = F.pandas_udf(apply, "array<string>", F.PandasUDFType.SCALAR_ITER)(distinct)
+
+    def put(x: Column) -> Column:
+        t, known = x["text"], x["resolved"]
+        plain = t
+        for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            plain = F.replace(plain, F.lit(a), F.lit(b))
+        found = once(F.map_from_arrays(F.array_distinct(each(t)), known), lambda m: F.transform(each(t), lambda r: F.element_at(m, r)))
+        whole = F.array_join(F.zip_with(F.split(t, _REFERENCE, -1), F.concat(found, F.array(F.lit(""))), lambda between, r: F.concat(between, r)), "")
+        return F.when(known.isNotNull(), whole).otherwise(plain)
+
+    return once(F.struct(column.alias("text"), resolved.alias("resolved")), put)  # Python can't be called inside a lambda, its results can be used there
 
 
 def page_title(raw: Column) -> Column:

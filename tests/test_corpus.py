@@ -276,3 +276,23 @@ def test_files_are_parsed_by_as_many_tasks_as_their_count_asks_for(spark, monkey
     files = spark.createDataFrame([(f"m/p{i}.py", f"def f{i}():\n    pass\n", "python") for i in range(95)], "path string, text string, lang string").coalesce(1)
     rows = code.extract(files)
     assert rows.rdd.getNumPartitions() == 10 and rows.where("kind = 'function'").count() == 95
+
+
+def test_references_are_resolved_without_the_text(spark, monkeypatch):
+    import html
+
+    texts = ["&amp;lt; a", "&eacute;&#233;&#xe9 &notit; &amp &nosuch; &#0; x&amp;&#128512;", "&lt;b&gt;", "& &; &&copy", None, "no", "\U0001f600&hearts;" + "&nbsp;z" * 50, "&CounterClockwiseContourIntegral;" + "y" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.u for r in df.select("i", text.unescaped(F.col("t")).alias("u")).collect()}
+    assert got == {i: None if t is None else html.unescape(t) if i else "&lt; a" for i, t in enumerate(texts)}
+    sent = []
+    real = F.pandas_udf
+
+    def udf(f, *args):
+        made = real(f, *args)
+        return lambda *columns: sent.extend(columns) or made(*columns)
+
+    monkeypatch.setattr(F, "pandas_udf", udf)
+    text.unescaped(F.col("t"))
+    sizes = df.where("i = 6").select(F.length("t").alias("whole"), *[F.length(F.array_join(c, "")).alias("sent") for c in sent]).first()
+    assert len(sent) == 1 and sizes["sent"] * 10 < sizes["whole"]
