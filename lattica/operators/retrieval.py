@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from ..functions.fuzzy import embedded, hash_embedding, partial_ratios, stem, st
 from ..functions.scalars import norm_label_text, tokens, trigrams
 from ..plans.model import RELATIONAL, STOP_WORDS
 from .graph import expand, hub_limit, plain_label, touched_edges
+from .staging import written
 
 K1, B = 1.2, 0.75
 TEXT_LIMIT, FUZZY_LIMIT, SEEDS, SEED_SHARE = 200, 300, 8, 0.15
@@ -37,6 +40,19 @@ def doc_lengths(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.size(tokens(text)).cast("long").alias("len"))
 
 
+def terms_with(prefixes: list[str]):
+    """A test of a term: whether it begins with one of the prefixes."""
+    return lambda term: reduce(or_, [term.startswith(p) for p in dict.fromkeys(prefixes)], F.lit(False))
+
+
+def matched(docs: DataFrame, id_col: str, text: Column, prefixes: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(term, id, tf) of terms that begin with a prefix, and (id, len): each text is split once, and only terms that are asked for leave it."""
+    words = docs.select(F.col(id_col).alias("id"), tokens(text).alias("words"))
+    found = written(words.select("id", F.size("words").cast("long").alias("len"), F.filter("words", terms_with(prefixes)).alias("words")), "matched")
+    index = found.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    return index, found.select("id", "len")
+
+
 def bm25(index: DataFrame, lengths: DataFrame, prefixes: list[str], limit: int | None = TEXT_LIMIT) -> DataFrame:
     """(id, score): each prefix is a phrase, found in all terms that begin with it; Okapi weights with k1 = 1.2, b = 0.75."""
     spark = index.sparkSession

@@ -296,3 +296,17 @@ def test_references_are_resolved_without_the_text(spark, monkeypatch):
     text.unescaped(F.col("t"))
     sizes = df.where("i = 6").select(F.length("t").alias("whole"), *[F.length(F.array_join(c, "")).alias("sent") for c in sent]).first()
     assert len(sent) == 1 and sizes["sent"] * 10 < sizes["whole"]
+
+
+def test_only_terms_that_are_asked_for_leave_a_text(spark):
+    from lattica import queries
+    from lattica.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "Thing things other thing"), (2, None), (3, "none of it")], "doc_id long, text string")
+    index, lengths = retrieval.matched(docs, "doc_id", F.col("text"), ["thing", "zz"])
+    whole = retrieval.postings(docs, "doc_id", F.col("text"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(index) == rows(whole.where("term LIKE 'thing%'")) == [("thing", 1, 2), ("things", 1, 1)]
+    assert rows(lengths) == rows(retrieval.doc_lengths(docs, "doc_id", F.col("text")))
+    plan = queries.QUERIES["bm25_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("Generate explode") <= 2
