@@ -11,6 +11,7 @@ from ..functions.scalars import decay
 from ..plans.model import OUTCOMES
 from .community import doc_fraction, sizes
 from .graph import affected, entry_points, god_nodes
+from .staging import spread
 
 
 def stats(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -111,6 +112,12 @@ def merge(graphs: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, Da
     return union(tagged_nodes), union(tagged_edges)
 
 
+def edge_counts(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(relation, n, ids): edges and distinct edge ids of each relation. Of at most `rows` edges, where that is known."""
+    each = spread(edges.select("relation", "id"), rows, "relation", "id").groupBy("relation", "id").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("relation").agg(F.sum("n").alias("n"), F.count("id").alias("ids"))
+
+
 def pr_impact(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
     """(source_file, nodes): symbols, by file, that depend on the changed files (source_file); those files left out."""
     seeds = nodes.join(changed.select("source_file").distinct(), "source_file", "left_semi").select("id")

@@ -25,6 +25,17 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Rows that a task sorts or aggregates: so many fit its memory many times over.
+ROWS_OF_TASK = 500_000
+
+
+def spread(df: DataFrame, rows: int | None, *keys: str) -> DataFrame:
+    """df by keys in as many partitions as its rows ask for, whatever the session's number is and however it joins small ones. Unknown or few rows stay as they are."""
+    if (rows or 0) <= ROWS_OF_TASK:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_OF_TASK)), *keys)
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "n", parts: int | None = None) -> DataFrame:
     """df with a number from 0 on in the given order, without one task that sorts all: ranges are written, counted, and numbered each from where the one before ends."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import spread
+
 #: Ids are BASE[kind] + key.
 BASE = {k: (i + 1) * 10**12 for i, k in enumerate(("region", "nation", "customer", "supplier", "part", "order"))}
 
@@ -42,9 +44,19 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def edge_rows(spark: SparkSession, d: str) -> int:
+    """At least as many as there are edges, from what the files say of their rows."""
+    rows = {t: read(spark, d, t).count() for t in ("nation", "customer", "supplier", "orders", "lineitem")}
+    return sum(rows.values()) + rows["lineitem"]
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     lineitem = read(spark, d, "lineitem")
-    by_flag = F.when(F.col("f") == "A", "AMBIGUOUS").when(F.col("f") == "R", "INFERRED").otherwise("EXTRACTED")
+    rows = lineitem.count()
+    # The least flag counts. It is needed only as A, R or neither, so a number that has its order stands for it: that is aggregated by hash.
+    flag = F.col("l_returnflag")
+    order = F.when(flag < "A", 0).when(flag == "A", 1).when(flag < "R", 2).when(flag == "R", 3).otherwise(4)
+    by_flag = F.when(F.col("f") == 1, "AMBIGUOUS").when(F.col("f") == 3, "INFERRED").otherwise("EXTRACTED")
 
     def of(df: DataFrame, n: int, a: str, src: str, b: str, dst: str, relation: str, confidence=None) -> DataFrame:
         x, y = F.col(src).cast("long"), F.col(dst).cast("long")
@@ -53,8 +65,8 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
             (F.lit("EXTRACTED") if confidence is None else confidence).alias("confidence"), F.lit(a).alias("source_file"), F.concat(F.lit("L"), x).alias("source_location"),
         )
 
-    order_part = lineitem.groupBy("l_orderkey", "l_partkey").agg(F.min("l_returnflag").alias("f"))
-    part_supplier = lineitem.select("l_partkey", "l_suppkey").distinct()
+    order_part = spread(lineitem.select("l_orderkey", "l_partkey", order.alias("f")), rows, "l_orderkey", "l_partkey").groupBy("l_orderkey", "l_partkey").agg(F.min("f").alias("f"))
+    part_supplier = spread(lineitem.select("l_partkey", "l_suppkey"), rows, "l_partkey", "l_suppkey").distinct()
     parts = [
         of(read(spark, d, "nation"), 0, "region", "n_regionkey", "nation", "n_nationkey", "contains"),
         of(read(spark, d, "customer"), 1, "nation", "c_nationkey", "customer", "c_custkey", "contains"),
