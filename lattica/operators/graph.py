@@ -107,7 +107,6 @@ def shortest_path(edges: DataFrame, source: int, target: int, max_hops: int = 8,
     forward = edges.select("src", "dst", "relation")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("~").alias("relation"))
     steps = forward if directed in (True, None) else forward.unionByName(back)
-    steps = steps.groupBy("src", "dst").agg(F.max("relation").alias("relation"))
     spark = edges.sparkSession
     at = spark.createDataFrame([(source, [source], [])], "id long, path array<long>, relations array<string>")
     seen = at.select("id")
@@ -120,7 +119,8 @@ def shortest_path(edges: DataFrame, source: int, target: int, max_hops: int = 8,
         rows = at.count()
         if not rows:
             break
-        grown = steps.join(_sized(at, rows), steps["src"] == at["id"]).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"), F.concat("relations", F.array("relation")).alias("relations"))
+        met = steps.join(_sized(at, rows), steps["src"] == at["id"]).groupBy("src", "dst").agg(F.max("relation").alias("relation"), F.min(F.struct("path", "relations")).alias("b"))  # one path a node
+        grown = met.select(F.col("dst").alias("id"), F.concat("b.path", F.array("dst")).alias("path"), F.concat("b.relations", F.array("relation")).alias("relations"))
         best = grown.groupBy("id").agg(F.min(F.struct("path", "relations")).alias("b")).select("id", "b.path", "b.relations")
         at = written(best.join(seen, "id", "left_anti"), "path")
         seen = written(seen.unionByName(at.select("id")), "path-seen")
