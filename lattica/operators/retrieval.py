@@ -30,10 +30,15 @@ def postings(docs: DataFrame, id_col: str, text: Column, stems: bool = False) ->
     """(term, id, tf): how often each document has each term."""
     words = docs.select(F.col(id_col).alias("id"), F.explode(tokens(text)).alias("term"))
     counted = words.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    if stems:
-        distinct = counted.select("term").distinct().withColumn("stem", stemmed(F.col("term")))
-        counted = counted.join(distinct, "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"))
-    return counted
+    return by_stem(counted) if stems else counted
+
+
+def by_stem(index: DataFrame) -> DataFrame:
+    """(term, id, tf) with terms as their stems, each stemmed once. A term without a letter of a suffix is its own stem and stays out of Python."""
+    terms = index.select("term").distinct()
+    lettered = F.col("term").rlike("[a-z]")
+    stems = terms.where(~lettered).select("term", F.col("term").alias("stem")).unionByName(terms.where(lettered).select("term", stemmed(F.col("term")).alias("stem")))
+    return index.join(stems, "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"))
 
 
 def doc_lengths(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -67,16 +72,21 @@ def bm25(index: DataFrame, lengths: DataFrame, prefixes: list[str], limit: int |
     return out if limit is None else out.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def trigram_index(nodes: DataFrame) -> DataFrame:
-    """(trigram, id) of labels and slugs."""
+def trigrams_of(words: list[str]) -> list[str]:
+    return sorted({g for w in words for g in ([w[i : i + 3] for i in range(len(w) - 2)] or [w])})
+
+
+def trigram_index(nodes: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(trigram, id) of labels and slugs; only of the wanted trigrams, where these are given."""
     both = F.array_union(trigrams(F.coalesce("norm_label", F.lit(""))), trigrams(F.coalesce("slug", F.lit(""))))
+    if wanted is not None:
+        both = F.array_intersect(both, F.array(*map(F.lit, wanted)).cast("array<string>"))
     return nodes.select(F.explode(both).alias("trigram"), "id")
 
 
 def trigram_candidates(index: DataFrame, words: list[str], limit: int = FUZZY_LIMIT) -> DataFrame:
     """(id, overlap): nodes with most of the words' trigrams."""
-    wanted = sorted({g for w in words for g in ([w[i : i + 3] for i in range(len(w) - 2)] or [w])})
-    return index.where(F.col("trigram").isin(*wanted)).groupBy("id").agg(F.count(F.lit(1)).alias("overlap")).orderBy(F.desc("overlap"), "id").limit(limit)
+    return index.where(F.col("trigram").isin(*trigrams_of(words))).groupBy("id").agg(F.count(F.lit(1)).alias("overlap")).orderBy(F.desc("overlap"), "id").limit(limit)
 
 
 def vocabulary(nodes: DataFrame) -> DataFrame:
@@ -88,12 +98,14 @@ def vocabulary(nodes: DataFrame) -> DataFrame:
 def expanded_terms(nodes: DataFrame, words: list[str], least: float = 78.0, most: int = 3) -> list[str]:
     """The words, and for those that no label has, up to three like ones that labels have."""
     spark = nodes.sparkSession
-    known = vocabulary(nodes)
+    known = written(vocabulary(nodes), "vocabulary")
     q = F.broadcast(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "place int, term string"))
     have = {r["word"] for r in known.join(q.select(F.col("term").alias("word")), "word", "left_semi").collect()}
     missing = F.broadcast(spark.createDataFrame([(i, w) for i, w in enumerate(words) if w not in have] or [(0, None)], "place int, term string"))
     near = F.abs(F.length("word") - F.length("term")) < F.greatest(F.length("word"), F.length("term"))
-    scored = known.join(missing, near).withColumn("score", weighted_ratios(F.col("term"), F.col("word"))).where(F.col("score") >= least)
+    # Words without a letter of the term have ratio 0: they stay out of Python, which a condition after it wouldn't keep them from.
+    shared = F.arrays_overlap(F.split("word", ""), F.split("term", "")) if least > 0 else F.lit(True)
+    scored = written(known.join(missing, near).where(shared), "near-words").withColumn("score", weighted_ratios(F.col("term"), F.col("word"))).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "word"))
     extra = [r["word"] for r in scored.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("place", "rank").select("word").collect()]
     return list(dict.fromkeys([*words, *extra]))
@@ -102,7 +114,7 @@ def expanded_terms(nodes: DataFrame, words: list[str], least: float = 78.0, most
 def fuzzy_candidates(nodes: DataFrame, words: list[str], least: float = 70.0) -> DataFrame:
     """(id, score): best partial similarity of a word with label and slug, of the trigram candidates; 70 or more, over 100."""
     spark = nodes.sparkSession
-    few = trigram_candidates(trigram_index(nodes), words)
+    few = trigram_candidates(trigram_index(nodes, trigrams_of(words)), words)
     text = F.lower(F.concat_ws(" ", "norm_label", "slug"))
     q = F.broadcast(spark.createDataFrame([(w,) for w in words] or [("\0",)], "term string"))
     pairs = nodes.join(F.broadcast(few.select("id")), "id").select("id", text.alias("text")).join(q)  # FUZZY_LIMIT rows times the words
@@ -179,8 +191,9 @@ def query(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2, bud
     """(place, line) of the answer: a header, nodes (seeds first, then by degree), and edges between them, up to 4 * budget characters. No row if nothing matches."""
     words = expanded_terms(nodes, terms(question))
     text = F.concat_ws(" ", "label", "slug", "source_file", "rationale")
-    index = postings(nodes, "id", text, stems=True)
-    found = bm25(index, doc_lengths(nodes, "id", text), [stem(norm_label_text(w)) for w in words])
+    stems = [stem(norm_label_text(w)) for w in words]
+    index, lengths = matched(nodes, "id", text, [s[:1] for s in stems])  # a stem begins with its word's first letter
+    found = bm25(by_stem(index), lengths, stems)
     ranked = scores(nodes, words, found, fuzzy_candidates(nodes, words))
     if vectors is not None:
         ranked = vector_boost(ranked, nearest(vectors, hash_embedding(question)))
@@ -188,13 +201,15 @@ def query(nodes: DataFrame, edges: DataFrame, question: str, depth: int = 2, bud
     visited = expand(nodes, edges, first, depth)
     hubs = nodes.join(F.broadcast(hub_limit(nodes)), F.col("degree") >= F.col("hub")).select("id")
     shown = nodes.join(visited.select("id"), "id").join(first.select("id", "rank"), "id", "left")
-    order = F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), F.desc("degree"), F.col("id").cast("string")))
-    node_lines = shown.select(order.cast("long").alias("place"), F.format_string("NODE %s [%s %s]", "label", F.coalesce("source_file", F.lit("")), F.coalesce("source_location", F.lit(""))).alias("line"))
+    most = budget * 4  # a line takes two characters at least, so what comes after so many can't be within the budget
+    first_nodes = [F.col("rank").asc_nulls_last(), F.desc("degree"), F.col("id").cast("string")]
+    order = F.row_number().over(Window.orderBy(*first_nodes))
+    node_lines = shown.orderBy(*first_nodes).limit(most).select(order.cast("long").alias("place"), F.format_string("NODE %s [%s %s]", "label", F.coalesce("source_file", F.lit("")), F.coalesce("source_location", F.lit(""))).alias("line"))
     met = touched_edges(edges.select("id", "src", "dst", "relation", "confidence"), visited, hubs, depth)
     met = met.groupBy("src", "dst", "relation").agg(F.min_by("confidence", "id").alias("confidence"))  # the confidence of the first parallel edge
     names = nodes.select("id", "label")
     met = met.join(names.withColumnRenamed("id", "src").withColumnRenamed("label", "a"), "src").join(names.withColumnRenamed("id", "dst").withColumnRenamed("label", "b"), "dst")
     edge_order = F.row_number().over(Window.orderBy("src", "dst", "relation")) + 1_000_000_000
-    edge_lines = met.select(edge_order.cast("long").alias("place"), F.format_string("EDGE %s --%s [%s]--> %s", "a", "relation", F.coalesce("confidence", F.lit("")), "b").alias("line"))
+    edge_lines = met.orderBy("src", "dst", "relation").limit(most).select(edge_order.cast("long").alias("place"), F.format_string("EDGE %s --%s [%s]--> %s", "a", "relation", F.coalesce("confidence", F.lit("")), "b").alias("line"))
     header = first.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(0).cast("long").alias("place"), F.format_string("%d seeds for: %s", "n", F.lit(" ".join(words))).alias("line"))
     return budgeted(header.unionByName(node_lines).unionByName(edge_lines), budget * 4).select("place", "line").orderBy("place")

@@ -310,3 +310,19 @@ def test_only_terms_that_are_asked_for_leave_a_text(spark):
     assert rows(lengths) == rows(retrieval.doc_lengths(docs, "doc_id", F.col("text")))
     plan = queries.QUERIES["bm25_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and plan.count("Generate explode") <= 2
+
+
+def test_stems_and_like_words_ask_python_for_few(spark):
+    from lattica.operators import retrieval
+
+    assert all(fuzzy.stem(w)[:1] == w[:1] for w in ["ies", "sses", "sky", "sing", "eed", "agreed", "yes", "ss", "oed", "ation", "ied", "7s", "relational", "ee", "ying"])
+    n = spark.createDataFrame([(i, f"order {i}", f"order {i}", f"order:{i}", "a.py", "L1", "function", "code", 1, None) for i in range(1, 400)] + [(900, "happy suppliers", "happy suppliers", "s", "b.py", "L1", "function", "code", 2, None)],
+                              "id long, label string, norm_label string, slug string, source_file string, source_location string, kind string, file_type string, degree long, rationale string")
+    text = F.concat_ws(" ", "label", "slug")
+    index, _ = retrieval.matched(n, "id", text, ["h", "7"])
+    assert {r.term for r in index.collect()} == {"happy"} | {str(i) for i in range(1, 400) if str(i)[0] == "7"}
+    whole = retrieval.postings(n, "id", text, stems=True).where("substr(term, 1, 1) IN ('h', '7')")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(retrieval.by_stem(index)) == rows(whole)
+    assert retrieval.expanded_terms(n, ["happi"]) == ["happi", "happy"]
+    assert rows(retrieval.trigram_index(n, ["ord", "hap"])) == rows(retrieval.trigram_index(n).where("trigram IN ('ord', 'hap')"))
